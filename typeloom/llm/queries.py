@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, packing, toxicity, token_counts, url_filter
+from . import jaccard_join, license_scan, mixing, packing, token_counts, topk_search, toxicity, url_filter, vector_dedup
 from .common import load
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,12 +41,24 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(load(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"), threshold=0.98)
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(load(spark, sf_dir, "documents", "doc_id", "text"), words=5, percent=75)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER), capacity=1024, end_id=0)
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(load(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_license_scan, op4_url_filter, op5_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_license_scan, op4_url_filter, op5_toxicity, op6_vector_dedup, op7_jaccard_join, op9_packing, op10_topk_search)}
 
 
 def sql_text(s: str) -> str:
@@ -87,5 +99,24 @@ def url_sql() -> str:
         GROUP BY page_id"""
 
 
+TOPK_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+DEDUP_SQL = """
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+    r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.node),
+    n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+    FROM embeddings LEFT JOIN n ON a = vec_id JOIN (SELECT node, min(seen) AS c FROM r GROUP BY node) ON node = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_sql(), "op4_url_filter": url_sql()}
+    return {"op10_topk_search": TOPK_SQL, "op6_vector_dedup": DEDUP_SQL, "op3_license_scan": license_sql(), "op4_url_filter": url_sql()}

@@ -54,13 +54,14 @@ def level_hash(key: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), key)
 
 
-def build_level(keys: DataFrame, seed: int, bits_per_key: int) -> Level | None:
+def build_level(keys: DataFrame, seed: int, bits_per_key: int, most_bits: int = 1 << 62) -> Level | None:
     """A filter of the `key` column, built on the executors: positions become words of 64 bits
-    that are OR-ed per word, so only the filter itself (bits_per_key bits a key) is collected."""
+    that are OR-ed per word, so only the filter itself (bits_per_key bits a key, `most_bits` at most) is
+    collected. None if there are no keys."""
     n = keys.count()
     if not n:
         return None
-    size, probes = max(64, n * bits_per_key), max(1, round(bits_per_key * math.log(2)))
+    size, probes = max(64, min(most_bits, n * bits_per_key)), max(1, round(bits_per_key * math.log(2)))
 
     @F.pandas_udf("array<long>")
     def positions(h: pd.Series) -> pd.Series:
