@@ -266,3 +266,15 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rooted.select("doc_id", "n", "root").join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each group of linked texts the
+    row with the smallest doc_id stays (a null counts as largest; of equal ones the first row).
+    Texts without words are all kept."""
+    rows = docs.withColumn("row_of_join", F.monotonically_increasing_id())
+    groups = jaccard_join(rows.select(F.col("row_of_join").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("row_of_join"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_of_join")).alias("m")
+    best = groups.join(rows.select("row_of_join", "doc_id"), "row_of_join").groupBy("component_id").agg(first)
+    kept = best.select(F.col("m.row_of_join").alias("row_of_join"))
+    return rows.join(kept, "row_of_join", "left_semi").select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, license_scan, mixing, packing, token_counts, topk_search, toxicity, url_filter, vector_dedup
+from . import jaccard_join, license_scan, mixing, packing, pitman_yor, token_counts, topk_search, toxicity, url_filter, vector_dedup
 from .common import load
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -49,6 +49,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(load(spark, sf_dir, "documents", "doc_id", "text"), words=5, percent=75)
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.lm_scores(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER), capacity=1024, end_id=0)
 
@@ -58,7 +62,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_license_scan, op4_url_filter, op5_toxicity, op6_vector_dedup, op7_jaccard_join, op9_packing, op10_topk_search)}
+    return {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_license_scan, op4_url_filter, op5_toxicity, op6_vector_dedup, op7_jaccard_join, op8_pitman_yor, op9_packing, op10_topk_search)}
 
 
 def sql_text(s: str) -> str:
@@ -100,8 +104,8 @@ def url_sql() -> str:
 
 
 TOPK_SQL = """
-    WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-               WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
@@ -109,7 +113,7 @@ TOPK_SQL = """
 
 DEDUP_SQL = """
     WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
           WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
     r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.node),

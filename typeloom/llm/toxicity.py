@@ -243,3 +243,24 @@ def toxicity_scores(docs: DataFrame, model: Crf, offsets: bool = True) -> DataFr
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double, spans array<struct<start:int,end:int>>")
     out = out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     return out if offsets else out.drop("spans")
+
+
+def drop_toxic(docs: DataFrame, model: Crf) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below 0.5. One map over the scan; null
+    and empty texts stay, repeated rows are judged one by one."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def keep(batches):
+        crf = shared.value
+        known = crf.emissions()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                fine = []
+                for t in part.column(text).to_pylist():
+                    words = tokens_of(t)
+                    fine.append(crf.score(crf.raw(crf.marginals(np.fromiter(map(known.__getitem__, words), float, len(words))))) < 0.5)
+                yield part.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
