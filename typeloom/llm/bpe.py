@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +32,21 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def unsettled() -> re.Pattern:
+    """Finds characters whose class is not the same in Unicode 3.2 and now. Libraries follow
+    different versions of Unicode and may cut differently at these; only at these."""
+    old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
+    odd = [c for c in range(0x80, 0x110000) if old(ch := chr(c)) == "Cn" or old(ch) != new(ch)]
+    ranges, start = [], None
+    for c, after in zip(odd, [*odd[1:], -1]):
+        start = c if start is None else start
+        if after != c + 1:
+            ranges.append(f"\\U{start:08x}-\\U{c:08x}")
+            start = None
+    return re.compile(f"[{''.join(ranges)}]")
+
+
 class ByteBpe:
     """What a byte-level BPE file says, checked: other kinds of file raise ValueError."""
 
@@ -60,9 +77,12 @@ class ByteBpe:
             self._fast = tiktoken.Encoding("file", pat_str=PRE_TOKEN, mergeable_ranks=self.vocab, special_tokens=self.added) if self.ranked else None
         return self._fast
 
+    def settled(self, text: str) -> bool:
+        return text.isascii() or not unsettled().search(text)
+
     def ids(self, text: str) -> np.ndarray:
         """The ids that the library gives without added special tokens, as unsigned 32-bit."""
-        if self.fast is None or len(text) > LONG:
+        if self.fast is None or len(text) > LONG or not self.settled(text):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode(text, allowed_special="all"), np.uint32)
 
@@ -80,7 +100,7 @@ class ByteBpe:
             except UnicodeDecodeError:
                 continue
         got = self.lib.encode_batch([s for s, _ in known], add_special_tokens=False)
-        return [s for (s, i), e in zip(known, got) if e.ids == [i] and self.cut(s) == [s]]
+        return [s for (s, i), e in zip(known, got) if e.ids == [i] and self.cut(s) == [s] and self.settled(s)]
 
 
 @lru_cache(maxsize=4)
@@ -110,6 +130,8 @@ class TokenCounter(dict):
         if not text:
             return 0
         b = self.bpe
+        if not b.settled(text):
+            return len(b.lib.encode(text, add_special_tokens=False).ids)
         if b.special is None or not any(s in text for s in b.added):
             return sum(map(self.__getitem__, b.cut(text)))
         if not b.plain_added:
