@@ -24,6 +24,10 @@ SMALL = 12
 CHECK = 4
 #: Frequent shingles whose order tasks are told, at most; and bits of a pre-filter, at most.
 FREQUENT, FILTER_BITS = 100_000, 1 << 27
+#: Keys of a set that travel with it, so that a pair is met at the first that both have there.
+FRONT = 48
+#: Rounds with chance neighbours before all remaining pairs are met.
+TURNS = 2
 
 
 def need(s, t, percent: int = PERCENT):
@@ -192,6 +196,48 @@ def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, words: int, pe
     return out
 
 
+def opened(entries: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """The entries of lists in which sets of different components still meet and one of them may
+    yet find a partner: comp, cross (the set's keys in such lists) and able. A set is able if
+    so many keys leave room for a link to a set no smaller; every pair has such a side. Others
+    stay where an able set of a list is of a size that its own keys leave room for."""
+    rows = entries.select("key", "set", "n").join(comps.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "n", F.coalesce("component", "set").alias("comp"))
+    whole = Window.partitionBy("key")
+    rows = rows.withColumn("c0", F.min("comp").over(whole)).withColumn("c1", F.max("comp").over(whole)).filter("c0 != c1").drop("c0", "c1")
+    rows = materialize(rows, "mixed")
+    cross = rows.groupBy("set").agg(F.count("*").alias("cross"))
+    n = F.col("n")
+    able = F.col("cross") + F.floor(n * percent / 100 + 1 - 1e-9) - 1 >= need(n, n, percent)
+    rows = rows.join(cross, "set").withColumn("able", able)
+    lo, hi = F.min(F.when(F.col("able"), n)).over(whole), F.max(F.when(F.col("able"), n)).over(whole)
+    rows = rows.withColumn("lo", lo).withColumn("hi", hi).filter("lo IS NOT NULL")
+    smallest = F.greatest(F.col("lo"), F.ceil(n * percent / 100 - 1e-9).cast("long"))
+    fit = (n >= F.col("lo")) & (n * percent <= F.col("hi") * 100) & (F.col("cross") + F.floor(n * percent / 100 + 1 - 1e-9) - 1 >= need(smallest, n, percent))
+    rows = rows.filter(F.col("able") | fit).drop("lo", "hi")
+    out = materialize(rows, "open")
+    discard(rows)
+    return out
+
+
+def roomy(percent: int) -> Column:
+    """Whether pairs (na, sa, nb, sb) can be linked, sa and sb being keys that each shares with
+    any other component: all that lies beyond the prefix of either may be shared as well."""
+    room = lambda n, s: F.col(s) + F.floor(F.col(n) * percent / 100 + 1 - 1e-9) - 1
+    least = need(F.col("na"), F.col("nb"), percent)
+    return (room("na", "sa") >= least) & (room("nb", "sb") >= least)
+
+
+def joined(docs, found, pairs, edges, comps, words, percent):
+    """Edges and components with the links among `pairs` added."""
+    if pairs.isEmpty():
+        return edges, comps
+    more = verified(docs, found, pairs, words, percent)
+    if more.isEmpty():
+        return edges, comps
+    edges = materialize(edges.unionByName(more), "edges")
+    return edges, components(edges)
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Group texts whose shingle sets have a Jaccard similarity of at least percent / 100:
     doc_id, n_shingles, component_id (the smallest doc_id that links reach).
@@ -202,8 +248,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     near it also lie in the lists. No list is ever expanded into all its pairs: at first each
     entry is checked against its neighbour by size and against the list's pivot. Links so found
     join sets into components, and only lists that still hold several components are gone through
-    again, for pairs of different components whose sizes and whose numbers of shared prefix
-    shingles allow a link. What is dropped on the way cannot be linked or is joined already, so
+    again: in rounds with chance neighbours, and then for all pairs of different components whose
+    sizes and whose numbers of shared prefix shingles allow a link, at their first common key as far as it is among the first few of both. What is dropped on the way cannot be linked or is joined already, so
     components are exact. Rows are spread by shingle; no key gathers a group's texts.
 
     Null and empty texts and texts of white space have empty sets and link with nothing; fewer
@@ -212,8 +258,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     gives no rows; other columns are not read. Texts are used whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(described(docs, words, percent, frequent(docs, words)), "described")
-    sets = found.filter("front IS NOT NULL")
+    whole_rows = materialize(described(docs, words, percent, frequent(docs, words)), "described")
+    found = materialize(whole_rows.select("doc_id", "n", "set"), "found")
+    sets = whole_rows.filter("front IS NOT NULL")
     tiny = materialize(sets.filter("small IS NOT NULL").select("set", "n", "small").dropDuplicates(["set"]), "tiny")
     x = boundary({r.n: r.c for r in tiny.groupBy("n").agg(F.count("*").alias("c")).collect()}, percent)
     edges = small_edges(tiny.filter(F.col("n") <= x), x, percent)
@@ -224,16 +271,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     whole = Window.partitionBy("key")
     entry = entry.withColumn("before", F.lag("set").over(by_size)).filter("before IS NULL OR before != set")
     entry = entry.withColumn("prev", F.lag(F.struct("set", "n")).over(by_size)).withColumn("pivot", F.min(F.struct("set", "n")).over(whole)).withColumn("m", F.count("*").over(whole)).filter("m > 1")
-    lists = materialize(entry.select("key", "set", "n", "prev", "pivot", "m"), "lists")
+    lists = materialize(entry.select("key", "set", "n", "prev", "pivot"), "lists")
+    discard(whole_rows)
     shares = materialize(lists.groupBy("set").agg(F.count("*").alias("shared")), "shares")
 
     def pruned(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, na, b, nb), those whose prefixes leave room for a link."""
         for one in ("a", "b"):
             pairs = pairs.join(shares.select(F.col("set").alias(one), F.col("shared").alias(f"s{one}")), one)
-        room = lambda n, s: s + F.floor(n * percent / 100 + 1 - 1e-9) - 1  # noqa: E731  shared + (n - prefix)
-        least = need(F.col("na"), F.col("nb"), percent)
-        return pairs.filter((room(F.col("na"), F.col("sa")) >= least) & (room(F.col("nb"), F.col("sb")) >= least)).select("a", "b")
+        return pairs.filter(roomy(percent)).select("a", "b")
 
     def paired(p: DataFrame) -> DataFrame:
         swap = F.col("a") > F.col("b")
@@ -245,22 +290,33 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     edges = materialize(edges.unionByName(verified(docs, found, first, words, percent)), "edges")
     comps = components(edges)
 
-    # Lists that still hold several components: pairs across them.
-    rest = lists.filter("m > 2").select("key", "set", "n").join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
-    open_ = rest.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("key")
-    rest = rest.join(open_, "key").join(shares, "set")
-    rest = materialize(rest, "open")
-    room = F.col("shared") + F.floor(F.col("n") * percent / 100 + 1 - 1e-9) - 1
-    small_side = rest.filter(room >= need(F.col("n"), F.col("n"), percent)).select("key", F.col("set").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("shared").alias("sa"))
-    other_side = rest.select("key", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("shared").alias("sb"))
-    across = small_side.join(other_side, "key").filter("ca != cb AND (na < nb OR (na = nb AND a < b))").filter(fits(F.col("na"), F.col("nb"), percent))
-    pairs = paired(across).distinct().join(first, ["a", "b"], "left_anti")
-    second = materialize(pruned(pairs), "pairs")
-    if not second.isEmpty():
-        more = verified(docs, found, second, words, percent)
-        if not more.isEmpty():
-            comps = components(edges.unionByName(more))
-    discard(lists, rest, tiny)
+    # Lists that still hold several components are gone through again: some rounds with chance
+    # neighbours, which join most of what can be joined, then every pair that is left.
+    tried, open_ = first, lists
+    for turn in range(TURNS):
+        open_ = opened(open_, comps, percent)
+        by_chance = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "key", "set"), "set")
+        near = open_.withColumn("o", F.lag(F.struct("set", "n", "comp", "cross", "able")).over(by_chance)).filter("o.comp != comp AND (able OR o.able)")
+        near = near.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("cross").alias("sa"), F.col("o.set").alias("b"), F.col("o.n").alias("nb"), F.col("o.cross").alias("sb"))
+        near = near.filter(fits(F.col("na"), F.col("nb"), percent) & roomy(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(near.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = materialize(tried.unionByName(pairs), "tried")
+        edges, comps = joined(docs, found, pairs, edges, comps, words, percent)
+    open_ = opened(open_, comps, percent)
+    front = open_.groupBy("set").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FRONT).alias("front"))
+    open_ = open_.join(front, "set")
+    x = open_.filter("able").select("key", F.col("set").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("cross").alias("sa"), F.col("front").alias("fa"))
+    y = open_.select(F.col("key").alias("k"), F.col("set").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("cross").alias("sb"), F.col("front").alias("fb"), F.col("able").alias("able_b"))
+    left = lambda n: F.floor(n * percent / 100 + 1 - 1e-9) - 1  # noqa: E731  elements beyond the prefix
+    once = (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & ((F.col("a") < F.col("b")) | ~F.col("able_b"))))
+    # Fronts are the least keys of both, so up to the end of one front common keys are counted.
+    beyond = F.greatest(F.col("sa") - F.size("fa") + left(F.col("na")), F.col("sb") - F.size("fb") + left(F.col("nb")))
+    enough = F.size(F.array_intersect("fa", "fb")) + beyond >= need(F.col("na"), F.col("nb"), percent)
+    here = F.coalesce(F.array_min(F.array_intersect("fa", "fb")), F.col("key")) == F.col("key")
+    met = x.join(y, (F.col("key") == F.col("k")) & once & fits(F.col("na"), F.col("nb"), percent) & roomy(percent) & enough & here)
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    edges, comps = joined(docs, found, pairs, edges, comps, words, percent)
 
     rooted = found.select("doc_id", "n", "set").join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("component", "set"))
     least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
