@@ -14,6 +14,8 @@ from .vectors import kmeans, matrix, usable
 SAMPLE, PER_CELL, CODES = 8192, 48, 512
 #: Rows of a block, and the recall that the traversal must reach on the hardest pairs.
 BLOCK, RECALL = 512, 0.995
+#: Rows, about, that one call compares: many small blocks, or a few large ones.
+BUNDLE = 8192
 
 
 class MultiIndex:
@@ -131,34 +133,39 @@ def link(classes: DataFrame, dim: int, rows: int, threshold: float, seed: int) -
     own = cells.select("grp", F.col("home").alias("lo"), F.col("home").alias("hi"))
     pairs = visited.unionByName(own)
     for side in ("lo", "hi"):  # empty cells drop out here
-        pairs = pairs.join(cells.select("grp", F.col("home").alias(side), F.col("blocks").alias(f"b_{side}")), ["grp", side])
-    tasks = pairs.select("grp", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("b_lo") - 1)).alias("i"), "b_hi")
-    tasks = tasks.select("grp", "lo", "hi", "i", F.explode(F.sequence(F.lit(0), F.col("b_hi") - 1)).alias("j")).filter("lo != hi OR i <= j")
+        pairs = pairs.join(cells.select("grp", F.col("home").alias(side), F.col("blocks").alias(f"b_{side}"), (F.col("m") / F.col("blocks")).alias(f"m_{side}")), ["grp", side])
+    tasks = pairs.select("grp", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("b_lo") - 1)).alias("i"), "b_hi", (F.col("m_lo") + F.col("m_hi")).alias("weight"))
+    tasks = tasks.select("grp", "lo", "hi", "i", F.explode(F.sequence(F.lit(0), F.col("b_hi") - 1)).alias("j"), "weight").filter("lo != hi OR i <= j")
     tasks = materialize(tasks.withColumn("task", F.xxhash64("grp", "lo", "hi", "i", "j")), "tasks")
+    bundles = int((tasks.agg(F.sum("weight")).first()[0] or 0) // BUNDLE) + 1
     rows_ = placed.join(cells.select("grp", "home", "blocks"), ["grp", "home"]).withColumn("block", F.pmod(F.col("cls"), F.col("blocks")).cast("int")).select("grp", "home", "block", "cls", "n", "x")
     left = rows_.join(tasks.select("grp", F.col("lo").alias("home"), F.col("i").alias("block"), "task", "hi", "j", F.lit(0).alias("side"), ((F.col("lo") == F.col("hi")) & (F.col("i") == F.col("j"))).alias("same")), ["grp", "home", "block"])
     right = rows_.join(tasks.filter("lo != hi OR i != j").select("grp", F.col("hi").alias("home"), F.col("j").alias("block"), "task", F.lit(1).alias("side")), ["grp", "home", "block"])
     sent = left.select("task", "side", "cls", "n", "x").unionByName(right.select("task", "side", "cls", "n", "x"))
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
-        side = batch["side"].to_numpy()
-        p, q = batch[side == 0], batch[side == 1]
-        alone = not len(q)
-        q = p if alone else q
-        if not len(p):
-            return frame([], [], [], [])
-        x, y = matrix(p["x"]), matrix(q["x"])
-        near = x @ y.T >= threshold
-        if alone:
-            np.fill_diagonal(near, False)
-        links_p, links_q = near @ q["n"].to_numpy(float), near.T @ p["n"].to_numpy(float)
-        cls_p, cls_q = p["cls"].to_numpy(), q["cls"].to_numpy()
-        ids, counts = (cls_p, links_p) if alone else (np.concatenate([cls_p, cls_q]), np.concatenate([links_p, links_q]))
-        a, b = forest(near, cls_p, cls_q)
-        some = counts > 0
-        return frame(ids[some], counts[some].astype(np.int64), a, b)
-
-    return sent.groupBy("task").applyInPandas(compare, "cls long, links long, a long, b long")
+        batch = batch.sort_values(["task", "side"], kind="stable")
+        x, cls, n = matrix(batch["x"]), batch["cls"].to_numpy(), batch["n"].to_numpy(float)
+        task, side = batch["task"].to_numpy(), batch["side"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
+        ids, counts, a, b = [], [], [], []
+        for lo, end in zip(starts, [*starts[1:], len(task)]):
+            mid = lo + int((side[lo:end] == 0).sum())
+            p, q = slice(lo, mid), slice(mid, end) if mid < end else slice(lo, mid)
+            near = x[p] @ x[q].T >= threshold
+            if q == p:
+                np.fill_diagonal(near, False)
+            if not near.any():
+                continue
+            for one, links in ((p, near @ n[q]), (q, near.T @ n[p]))[: 1 if q == p else 2]:
+                ids += cls[one][links > 0].tolist()
+                counts += links[links > 0].astype(np.int64).tolist()
+            more_a, more_b = forest(near, cls[p], cls[q])
+            a += more_a
+            b += more_b
+        return frame(ids, counts, a, b)
+
+    return sent.groupBy(F.pmod("task", F.lit(bundles)).alias("bundle")).applyInPandas(compare, "cls long, links long, a long, b long")
 
 
 def unit(x: np.ndarray) -> np.ndarray:
