@@ -1,0 +1,3 @@
+"""typeloom: typing of part master data and extraction of dimensions, as Spark plans."""
+
+__version__ = "0.1.0"
