@@ -90,8 +90,8 @@ def words_of(text: str | None) -> list[bytes]:
 def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
     """Columns of Arrow batches as Python lists, in slices of bounded size."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
             yield tuple(part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
 
 

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_of
 
 TOKEN = regex.compile(r"[\p{L}\p{N}]+")
-#: The classifier is fitted on at most so many labelled rows of each class, taken by hash.
-SAMPLE_PER_CLASS = 2500
+#: The classifier is fitted on at most so many clean and toxic labelled rows, taken by hash.
+SAMPLE_CLEAN, SAMPLE_TOXIC = 4000, 1500
 PREFIXES = (4, 5, 6)
 
 
@@ -31,12 +31,12 @@ class Crf:
     def __init__(self, weights: dict[str, float], bias: float, move: np.ndarray, scale: tuple[float, float]):
         self.weights, self.bias, self.move, self.scale = weights, bias, move, scale
 
-    def emissions(self) -> defaultdict:
+    def emissions(self) -> dict:
         crf = self
 
         class Known(dict):
             def __missing__(self, word: str) -> float:
-                if len(self) > 300_000:
+                if len(self) > 150_000:
                     self.clear()
                 s = crf.bias + sum(crf.weights.get(f, 0.0) for f in features_of(word))
                 self[word] = s
@@ -92,8 +92,42 @@ def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def label_words(docs: list[tuple[list[str], int]], least: int = 4) -> dict[str, float]:
-    """Features that mark toxic words, and how strongly, from texts with labels.
+class Sample:
+    """Labelled texts as arrays of word numbers; far smaller than their words."""
+
+    def __init__(self, texts):
+        numbers: dict[str, int] = {}
+        self.docs = [(np.array([numbers.setdefault(w, len(numbers)) for w in tokens_of(t)], np.int32), int(y)) for t, y in texts]
+        self.words = list(numbers)
+
+    def feature_hashes(self) -> np.ndarray:
+        """A row for each word: hashes of its features, 0 where it has fewer."""
+        out = np.zeros((len(self.words), 1 + len(PREFIXES)), np.uint64)
+        for i, w in enumerate(self.words):
+            for k, f in enumerate(features_of(w)):
+                out[i, k] = xxhash.xxh3_64_intdigest(f) | 1
+        return out
+
+
+def contexts_of(sample: Sample, hashes: np.ndarray, label: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features in texts of a label, and in how many different contexts each stands."""
+    found, around = [], []
+    for ids, y in sample.docs:
+        if y == label and len(ids):
+            wide = np.concatenate([[-1], ids, [-1]]).astype(np.int64).view(np.uint64)
+            near = (wide[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (wide[2:] * np.uint64(0xC2B2AE3D27D4EB4F))
+            f = hashes[ids]
+            keep = (f != 0) if among is None else np.isin(f, among)
+            found.append(f[keep])
+            around.append((f * np.uint64(0xD6E8FEB86659FD93) + near[:, None])[keep])
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    _, first = np.unique(np.concatenate(around), return_index=True)
+    return np.unique(np.concatenate(found)[first], return_counts=True)
+
+
+def label_words(sample: Sample, least: int = 4) -> list[str]:
+    """Features that mark toxic words, from texts with labels.
 
     A feature's support in a class is the number of different contexts (word before, word after)
     in which it stands there, so copies and shared passages count once. A feature is kept if it
@@ -101,29 +135,26 @@ def label_words(docs: list[tuple[list[str], int]], least: int = 4) -> dict[str,
     share of words there so clearly that chance would give no such feature among all that were
     looked at (a Chernoff bound on the binomial tail, times the number of features).
     """
-    seen: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
-    totals = [1, 1]
-    for words, y in docs:
-        totals[y] += len(words)
-        for i, w in enumerate(words):
-            around = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-            for f in features_of(w):
-                seen[y][f].add(around)
-    share = totals[1] / sum(totals)
-    chance = math.log(1 + len(seen[1])) + 1
-    kept = {}
-    for f, around in seen[1].items():
-        one, zero = len(around), len(seen[0].get(f, ()))
+    hashes = sample.feature_hashes()
+    totals = [1 + sum(len(ids) for ids, y in sample.docs if y == label) for label in (0, 1)]
+    names, ones = contexts_of(sample, hashes, 1)
+    chance = math.log(1 + len(names)) + 1
+    names, ones = names[ones >= least], ones[ones >= least]
+    clean = dict(zip(*(x.tolist() for x in contexts_of(sample, hashes, 0, names))))
+    share, kept = totals[1] / sum(totals), set()
+    for f, one in zip(names.tolist(), ones.tolist()):
+        zero = clean.get(f, 0)
         q = one / (one + zero)
-        if one >= least and q > share:
+        if q > share:
             bound = (one + zero) * (q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0.0))
             odds = math.log(one / totals[1]) - math.log((zero + 0.5) / totals[0])
             if bound > chance and odds > 3.0:
-                kept[f] = odds
-    return kept
+                kept.add(f)
+    rows = np.flatnonzero(np.isin(hashes, np.array(sorted(kept), np.uint64)).any(1)) if kept else []
+    return sorted({f for i in rows for f in features_of(sample.words[i]) if (xxhash.xxh3_64_intdigest(f) | 1) in kept})
 
 
-def fit_crf(docs: list[tuple[list[str], int]], steps: int = 60, window: int = 24) -> Crf:
+def fit_crf(sample: Sample, steps: int = 60, window: int = 24) -> Crf:
     """Fit the field on texts with document labels.
 
     Words get labels first: 1 for a word of a toxic text that has a marking feature, else 0.
@@ -132,17 +163,18 @@ def fit_crf(docs: list[tuple[list[str], int]], steps: int = 60, window: int = 24
     forward-backward run over all windows at once. A logistic curve over the log-odds of whole
     texts then turns marginals into scores.
     """
-    marks = label_words(docs)
-    names = list(marks)
+    names = label_words(sample)
     where = {f: i for i, f in enumerate(names)}
+    marks = {i: hits for i, w in enumerate(sample.words) if (hits := [where[f] for f in features_of(w) if f in where])}
+    marked = np.zeros(len(sample.words), bool)
+    marked[list(marks)] = True
     windows, rng = [], np.random.default_rng(0)
-    for words, y in docs:
-        hits = [[where[f] for f in features_of(w) if f in where] for w in words]
-        starts = range(0, len(words), window)
-        hot = [s for s in starts if any(hits[s : s + window])]
-        cold = [s for s in starts if s not in set(hot)]
-        for s in hot + ([cold[i] for i in rng.permutation(len(cold))[:1]] if cold else []):
-            windows.append((hits[s : s + window], [int(bool(h) and y == 1) for h in hits[s : s + window]]))
+    for ids, y in sample.docs:
+        hot = np.unique(np.flatnonzero(marked[ids]) // window) * window
+        cold = np.setdiff1d(np.arange(0, len(ids), window), hot)
+        for s in [*hot.tolist(), *rng.permutation(cold)[:1].tolist()]:
+            hits = [marks.get(i, []) for i in ids[s : s + window].tolist()]
+            windows.append((hits, [int(bool(h) and y == 1) for h in hits]))
     if not windows or not names:
         return Crf({}, -6.0, np.zeros((2, 2)), (1.0, 0.0))
     n = len(windows)
@@ -187,8 +219,9 @@ def fit_crf(docs: list[tuple[list[str], int]], steps: int = 60, window: int = 24
         w, bias, move = w + up[: len(names)], bias + up[len(names)], move + up[len(names) + 1 :].reshape(2, 2)
     crf = Crf({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, float(bias), move, (1.0, 0.0))
     known = crf.emissions()
-    x = np.array([crf.raw(crf.marginals(np.array([known[v] for v in words]))) for words, _ in docs])
-    y = np.array([label for _, label in docs], float)
+    scores = np.array([known[w] for w in sample.words])
+    x = np.array([crf.raw(crf.marginals(scores[ids])) for ids, _ in sample.docs])
+    y = np.array([label for _, label in sample.docs], float)
     a, b = 1.0, 0.0
     weight = np.full(len(y), 1 / len(y))
     for _ in range(200):
@@ -204,15 +237,15 @@ def fit_crf(docs: list[tuple[list[str], int]], steps: int = 60, window: int = 24
     return crf
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, clean: int = SAMPLE_CLEAN, toxic: int = SAMPLE_TOXIC) -> Crf:
     """The field fitted on rows of docs (doc_id, text) with labels (doc_id, toxic) whose
-    crc32(doc_id as text) mod 5 is not 0: at most `per_class` of each label, those with the
-    smallest hashes of doc_id. That bounded sample is all that reaches the driver."""
+    crc32(doc_id as text) mod 5 is not 0: at most `clean` and `toxic` of each label, those
+    with the smallest hashes of doc_id. That bounded sample is all that reaches the driver."""
     mine = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).select("doc_id", "toxic")
-    picked = [mine.filter(F.col("toxic") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    picked = [mine.filter(F.col("toxic") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y, most in ((0, clean), (1, toxic))]
     rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return fit_crf([(tokens_of(r.text), r.toxic) for r in rows])
+    return fit_crf(Sample((r.text, r.toxic) for r in rows))
 
 
 def toxicity_scores(docs: DataFrame, model: Crf, offsets: bool = True) -> DataFrame:
@@ -255,8 +288,8 @@ def drop_toxic(docs: DataFrame, model: Crf) -> DataFrame:
         crf = shared.value
         known = crf.emissions()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 fine = []
                 for t in part.column(text).to_pylist():
                     words = tokens_of(t)
