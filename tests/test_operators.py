@@ -222,3 +222,22 @@ def test_landing_stream(spark, tmp_path):
     assert landing.safe_name("../a b.csv", 5) == "a_b.csv"
     with pytest.raises(ValueError):
         landing.safe_name("a.exe", 5)
+
+
+def test_linear_fit_is_a_minimum(spark):
+    from typeloom.operators import linear
+
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((120, 4))
+    y = np.where(x[:, 0] + 0.3 * rng.standard_normal(120) > 0.5, "a", np.where(x[:, 1] > 0, "b", "c"))
+    df = spark.createDataFrame([(v.tolist(), str(k)) for v, k in zip(x, y)], "v array<double>, y string")
+    m = linear.fit(df, "v", "y")
+    wide = np.hstack([x, np.ones((120, 1))])
+    for label, w in zip(m.labels, m.weights):
+        t = np.where(y == label, 1.0, -1.0)
+        gap = np.maximum(0, 1 - t * (wide @ w))
+        assert np.abs(w - 2 * (gap * t) @ wide).max() < 1e-4
+    got = linear.predict(m, df, "v").collect()
+    s = m.scores(x)
+    assert [r.predicted for r in got] == [m.labels[i] for i in s.argmax(1)]
+    assert [r.margin for r in got] == pytest.approx(np.sort(s)[:, -1] - np.sort(s)[:, -2])

@@ -143,7 +143,8 @@ def sample_sheets(queries: DataFrame, known: DataFrame, fallback: bool = True) -
     none = F.concat(F.lit("No mock datasheet defined for part number "), F.col("pn"), F.lit("."))
     text = F.when(found, F.col("_text")).otherwise(made if fallback else none)
     title = F.when(found, F.col("_title")).otherwise(F.concat(F.lit("[MOCK] Datasheet for "), F.col("pn")))
-    return met.select(*queries.columns, title.alias("title"), text.alias("text"), (found | F.lit(fallback)).alias("has_data"), F.lit("mock").alias("source_type"))
+    kept = [c for c in queries.columns if c not in ("title", "text")]
+    return met.select(*kept, title.alias("title"), text.alias("text"), (found | F.lit(fallback)).alias("has_data"), F.lit("mock").alias("source_type"))
 
 
 def enrich(items: DataFrame, results: DataFrame, pn: str) -> DataFrame:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass
 
-from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
+from . import linear
 from .clustering import cluster
 from .entities import min_class_size
-from .ranking import accuracy_threshold, every_kth_class, stratified_folds, top2_margin
+from .ranking import accuracy_threshold, every_kth_class, new_group_names, stratified_folds
 
 
 @dataclass
@@ -29,31 +30,14 @@ class Settings:
     seed: int = 0
 
 
-def fit_svm(df: DataFrame, vector: str, label: str, settings: Settings) -> tuple[OneVsRestModel, list[str]]:
-    """One linear classifier for each label. Labels are few; their list is kept with the model."""
-    labels = sorted(r[0] for r in df.select(label).distinct().collect())
-    number = F.create_map(*[x for i, s in enumerate(labels) for x in (F.lit(s), F.lit(float(i)))])
-    rows = df.select(array_to_vector(vector).alias("features"), number[F.col(label)].alias("label"))
-    svm = LinearSVC(regParam=1 / (settings.c * max(1, df.count())), standardization=False, maxIter=60)
-    return OneVsRest(classifier=svm).fit(rows), labels
-
-
-def score(model: OneVsRestModel, labels: list[str], df: DataFrame, vector: str) -> DataFrame:
-    """df with the predicted label and its margin."""
-    rows = model.transform(df.withColumn("features", array_to_vector(vector)))
-    names = F.array(*[F.lit(s) for s in labels])
-    margin = top2_margin(vector_to_array("rawPrediction"))
-    return rows.select(*df.columns, F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"), margin.alias("margin"))
-
-
 def out_of_fold(df: DataFrame, key: str, vector: str, label: str, settings: Settings) -> DataFrame:
     """Honest predictions: each row of a class that is large enough is scored by a model that has
     not seen its fold; rows of small classes only train."""
     folded = stored(stratified_folds(df, label, key, settings.folds, settings.least_scored, settings.seed))
     out = None
     for (k,) in folded.filter("fold IS NOT NULL").select("fold").distinct().orderBy("fold").collect():
-        model, labels = fit_svm(folded.filter((F.col("fold") != k) | F.col("fold").isNull()), vector, label, settings)
-        part = score(model, labels, folded.filter(F.col("fold") == k), vector)
+        model = linear.fit(folded.filter((F.col("fold") != k) | F.col("fold").isNull()), vector, label, settings.c)
+        part = linear.predict(model, folded.filter(F.col("fold") == k), vector)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else folded.withColumn("predicted", F.lit(None).cast("string")).withColumn("margin", F.lit(0.0)).filter("false")
 
@@ -75,7 +59,7 @@ class HybridClassifier:
 
     def __init__(self, settings: Settings | None = None):
         self.settings = settings or Settings()
-        self.model, self.labels, self.threshold, self.report = None, [], 0.0, None
+        self.model, self.threshold, self.report = None, 0.0, None
 
     def fit(self, df: DataFrame, key: str, vector: str, label: str, overrides: DataFrame | None = None) -> HybridClassifier:
         s = self.settings
@@ -89,18 +73,16 @@ class HybridClassifier:
         found = accuracy_threshold(scored, "margin", "correct", key, s.target).first()["threshold"]
         self.threshold = found if s.threshold is None else s.threshold
         self.report = quality(oof, label, self.threshold)
-        self.model, self.labels = fit_svm(rows, vector, label, s)
+        self.model = linear.fit(rows, vector, label, s.c)
         return self
 
     def predict(self, df: DataFrame, key: str, vector: str, overrides: DataFrame | None = None) -> DataFrame:
         """df with cluster_name, source, confidence and needs_review."""
-        rows = score(self.model, self.labels, df, vector)
+        rows = linear.predict(self.model, df, vector)
         named = overrides.select(F.col(key), F.col("cluster").alias("own")) if overrides is not None else None
         rows = stored(rows.join(named, key, "left") if named is not None else rows.withColumn("own", F.lit(None).cast("string")))
         declined = rows.filter(F.col("own").isNull() & (F.col("margin") < self.threshold))
         groups = cluster(declined, key, vector, self.settings.discovery)
-        from .ranking import new_group_names
-
         new = groups.join(new_group_names(groups, "cluster"), "cluster").select(key, F.col("name").alias("new"))
         met = rows.join(new, key, "left")
         source = F.when(F.col("own").isNotNull(), "override").when(F.col("new").isNull(), "classifier").otherwise("discovered")
@@ -108,18 +90,24 @@ class HybridClassifier:
         confidence = F.when(F.col("own").isNotNull(), 1.0).otherwise(F.col("margin"))
         return met.select(*df.columns, name.alias("cluster_name"), source.alias("source"), confidence.alias("confidence"), (source == "discovered").alias("needs_review"))
 
+    @property
+    def labels(self) -> list[str]:
+        return self.model.labels if self.model else []
+
     def save(self, spark: SparkSession, path: str) -> None:
-        """The fitted model, and beside it settings, labels and threshold; no training rows."""
-        self.model.write().overwrite().save(f"{path}/model")
-        facts = {"threshold": float(self.threshold), "labels": self.labels, **{k: v for k, v in asdict(self.settings).items() if k != "threshold"}}
-        spark.createDataFrame([facts]).write.mode("overwrite").json(f"{path}/facts")
+        """Settings, threshold, labels and weights; no training rows."""
+        facts = {**asdict(self.settings), "threshold": float(self.threshold)}
+        spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").parquet(f"{path}/facts")
+        rows = [(label, w.tolist()) for label, w in zip(self.model.labels, self.model.weights)]
+        spark.createDataFrame(rows, "label string, weights array<double>").write.mode("overwrite").parquet(f"{path}/weights")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> HybridClassifier:
-        facts = spark.read.json(f"{path}/facts").first().asDict()
-        threshold, labels = facts.pop("threshold"), list(facts.pop("labels"))
+        facts = json.loads(spark.read.parquet(f"{path}/facts").first()["facts"])
         self = cls(Settings(**facts))
-        self.model, self.labels, self.threshold = OneVsRestModel.load(f"{path}/model"), labels, threshold
+        self.threshold = facts["threshold"]
+        rows = spark.read.parquet(f"{path}/weights").orderBy("label").collect()
+        self.model = linear.LinearModel([r.label for r in rows], np.array([r.weights for r in rows]))
         return self
 
 
