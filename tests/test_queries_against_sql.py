@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from typeloom.plans import queries  # noqa: F401
+from typeloom.plans import more_queries, queries  # noqa: F401
 from typeloom.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
