@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -191,11 +192,18 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     spans = plan.docs.join(spans, "row").select(F.col("doc_id.mix_row").alias("mix_row"), "mix_spans")
     met = base.join(spans, "mix_row")
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([take_spans(t, [(s["start"], s["length"]) for s in ss]) for t, ss in zip(texts, spans)], dtype=object)
+    fields = [f"c{i}" for i in range(len(names))]
+    at = fields.index(text_)
 
-    new = met.withColumn(text_, cut(text_, "mix_spans"))
+    def cut(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                new = [take_spans(t, [(s["start"], s["length"]) for s in ss]) for t, ss in zip(part.column(at).to_pylist(), part.column(len(fields)).to_pylist())]
+                columns = [pa.array(new, part.schema.field(at).type) if i == at else part.column(i) for i in range(len(fields))]
+                yield pa.RecordBatch.from_arrays(columns, names=fields)
+
+    new = met.select(*fields, "mix_spans").mapInArrow(cut, met.select(*fields).schema)
     out = [F.length(text_).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
     return new.select(*out)
 
