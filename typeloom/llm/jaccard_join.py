@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, components, discard, materialize, rows_of, words_of
+from .common import components, discard, materialize, rows_of, words_of
 from .url_filter import build_level, level_hash
 
 #: Words of a shingle, and the similarity in per cent.
@@ -24,8 +24,10 @@ SMALL = 12
 CHECK = 4
 #: Frequent shingles whose order tasks are told, at most; and bits of a pre-filter, at most.
 FREQUENT, FILTER_BITS = 100_000, 1 << 27
-#: Keys of a set that travel with it, so that a pair is met at the first that both have there.
-FRONT = 48
+#: Lists of up to so many entries are paired whole at once.
+WHOLE = 4
+#: Entries from which a list is long, and keys that travel with the sets of long lists.
+LONG, FRONT = 32, 64
 #: Rounds with chance neighbours before all remaining pairs are met.
 TURNS = 2
 
@@ -48,18 +50,43 @@ def fits(s, t, percent: int = PERCENT):
     return (s * 100 >= t * percent) & (t * 100 >= s * percent)
 
 
-def shingle_set(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
+#: An odd multiplier and its inverse modulo 2**64, and words that are hashed at once.
+BASE = 0x9FB21C651E98DF25
+INVERSE = pow(BASE, -1, 1 << 64)
+CHUNK = 100_000
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """At least n powers of BASE and of its inverse; kept, and doubled when more are asked for."""
+    while len(_powers[0]) < n:
+        for i, base in enumerate((BASE, INVERSE)):
+            step = np.uint64(pow(base, len(_powers[i]), 1 << 64))
+            _powers[i] = np.concatenate([_powers[i], _powers[i] * step])
+    return _powers
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted 64-bit hashes of a text's different shingles of `words` words; a shorter text
-    is one shingle; without words the set is empty."""
-    h = hashes.of(words_of(text))
-    if not len(h):
-        return h
-    width = min(words, len(h))
-    out = np.full(len(h) - width + 1, np.uint64(width * 0x9E3779B97F4A7C15 % (1 << 64)))
-    for i in range(width):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[i : len(h) - width + 1 + i]
-    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(out ^ (out >> np.uint64(29)))
+    is one shingle; without words the set is empty. Hashes are differences of one running
+    polynomial over the bytes of the words, joined by single spaces."""
+    all_words = words_of(text)
+    if not all_words:
+        return np.zeros(0, np.uint64)
+    width, parts = min(words, len(all_words)), []
+    for at in range(0, len(all_words) - width + 1, CHUNK):
+        raw = np.frombuffer(b" ".join(all_words[at : at + CHUNK + width - 1]), np.uint8)
+        gaps = np.flatnonzero(raw == 32)
+        start, end = np.concatenate([[0], gaps + 1]), np.append(gaps, len(raw))
+        start, end = start[: len(start) - width + 1], end[width - 1 :]
+        up, down = powers(len(raw))
+        run = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=run[1:])
+        h = (run[end] - run[start]) * down[start]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        parts.append(h ^ (h >> np.uint64(29)))
+    out = np.sort(parts[0] if len(parts) == 1 else np.concatenate(parts))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def set_name(s: np.ndarray) -> int:
@@ -73,9 +100,9 @@ def frequent(docs: DataFrame, words: int = WORDS, most: int = FREQUENT) -> tuple
     highest are collected. They only serve to order shingles; any order gives the same links."""
 
     def count(batches):
-        hashes, held, n = WordHashes(), [], 0
+        held, n = [], 0
         for (texts,) in rows_of(batches, "text"):
-            sets = [shingle_set(t, hashes, words) for t in texts]
+            sets = [shingle_set(t, words) for t in texts]
             held += sets
             n += sum(map(len, sets))
             if n > 2_000_000:
@@ -85,7 +112,9 @@ def frequent(docs: DataFrame, words: int = WORDS, most: int = FREQUENT) -> tuple
             yield counted(held)
 
     def counted(held):
-        key, n = np.unique(np.concatenate(held), return_counts=True)
+        key = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        key, n = key[first], np.diff(np.append(first, len(key)))
         some = n >= 3
         return pa.record_batch({"h": pa.array(key[some].view(np.int64)), "n": pa.array(n[some].astype(np.int64))})
 
@@ -93,7 +122,7 @@ def frequent(docs: DataFrame, words: int = WORDS, most: int = FREQUENT) -> tuple
     rows = sums.orderBy(F.desc("n"), "h").limit(most).collect()
     key = np.array([r.h for r in rows], np.int64).view(np.uint64)
     order = np.argsort(key)
-    return key[order], np.log2(np.array([r.n for r in rows], float))[order].astype(np.uint64)
+    return key[order], np.minimum(31, np.log2(np.array([r.n for r in rows], float)))[order].astype(np.uint64)
 
 
 def described(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -102,13 +131,13 @@ def described(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarra
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def describe(batches):
-        hashes, seen = WordHashes(), set()
+        seen = set()
         keys, ranks = shared.value
         lists = pa.list_(pa.int64())
         for ids, texts in rows_of(batches, "doc_id", "text"):
             sizes, names, fronts, smalls = [], [], [], []
             for text in texts:
-                s = shingle_set(text, hashes, words)
+                s = shingle_set(text, words)
                 name = set_name(s) if len(s) else None
                 new = name is not None and name not in seen
                 if new:
@@ -178,10 +207,10 @@ def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, words: int, pe
     shared = spark.sparkContext.broadcast(level)
 
     def make(batches):
-        hashes, keep = WordHashes(), shared.value
+        keep = shared.value
         for ids, probes, texts in rows_of(batches, "doc_id", "h", "text"):
             inside = keep.holds(np.array(probes, np.int64)) if keep else np.zeros(len(ids), bool)
-            sets = [shingle_set(t, hashes, words) for i, t, ok in zip(ids, texts, inside) if ok or i is None]
+            sets = [shingle_set(t, words) for i, t, ok in zip(ids, texts, inside) if ok or i is None]
             sets = [s for s in sets if len(s)]
             yield pa.record_batch([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set", "items"])
 
@@ -196,35 +225,48 @@ def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, words: int, pe
     return out
 
 
-def opened(entries: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """The entries of lists in which sets of different components still meet and one of them may
-    yet find a partner: comp, cross (the set's keys in such lists) and able. A set is able if
-    so many keys leave room for a link to a set no smaller; every pair has such a side. Others
-    stay where an able set of a list is of a size that its own keys leave room for."""
-    rows = entries.select("key", "set", "n").join(comps.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "n", F.coalesce("component", "set").alias("comp"))
+def opened(entries: DataFrame, comps: DataFrame, percent: int, shares: DataFrame, first: bool) -> DataFrame:
+    """The entries of lists in which sets of different components still meet and may yet be linked:
+    comp, cross (the set's keys in such lists and in lists that are done with; at first, in any
+    list) and able. A set is able if its keys
+    leave room for a link, as the first side of a pair, to a set of some size that occurs in the
+    list; others stay while some able set of the list leaves room for their size."""
+    rows = entries.select("key", "set", "n", "w", "m").join(comps.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "n", "w", "m", F.coalesce("component", "set").alias("comp"))
     whole = Window.partitionBy("key")
-    rows = rows.withColumn("c0", F.min("comp").over(whole)).withColumn("c1", F.max("comp").over(whole)).filter("c0 != c1").drop("c0", "c1")
-    rows = materialize(rows, "mixed")
-    cross = rows.groupBy("set").agg(F.count("*").alias("cross"))
+    several = lambda r: r.withColumn("c0", F.min("comp").over(whole)).withColumn("c1", F.max("comp").over(whole)).filter("c0 != c1").drop("c0", "c1")
+    if first:
+        rows = several(rows.join(shares.select("set", F.col("shared").alias("cross")), "set"))
+    else:
+        mixed = materialize(several(rows), "mixed")
+        cross = mixed.groupBy("set").agg(F.count("*").alias("here")).join(shares, "set").select("set", (F.col("here") + F.col("done")).alias("cross"))
+        rows = mixed.join(cross, "set")
     n = F.col("n")
-    able = F.col("cross") + F.floor(n * percent / 100 + 1 - 1e-9) - 1 >= need(n, n, percent)
-    rows = rows.join(cross, "set").withColumn("able", able)
-    lo, hi = F.min(F.when(F.col("able"), n)).over(whole), F.max(F.when(F.col("able"), n)).over(whole)
-    rows = rows.withColumn("lo", lo).withColumn("hi", hi).filter("lo IS NOT NULL")
-    smallest = F.greatest(F.col("lo"), F.ceil(n * percent / 100 - 1e-9).cast("long"))
-    fit = (n >= F.col("lo")) & (n * percent <= F.col("hi") * 100) & (F.col("cross") + F.floor(n * percent / 100 + 1 - 1e-9) - 1 >= need(smallest, n, percent))
-    rows = rows.filter(F.col("able") | fit).drop("lo", "hi")
-    out = materialize(rows, "open")
-    discard(rows)
-    return out
+    least = F.ceil(n * percent / 100 - 1e-9)
+    most = F.floor((F.col("cross") + least - 1) * (100 + percent) / percent + 1e-9) - n
+    # From the largest size down: the last size met before a set's own least one is the smallest
+    # in the list that it could be linked to.
+    events = F.explode(F.array(F.struct(n.cast("long").alias("at"), n.alias("size")), F.struct(F.col("t0").alias("at"), F.lit(None).cast("int").alias("size"))))
+    down = whole.orderBy(F.desc("e.at"), F.col("e.size").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("t0", least).withColumn("t1", most).withColumn("e", events)
+    rows = rows.withColumn("low", F.last("e.size", ignorenulls=True).over(down)).filter("e.size IS NULL").withColumn("able", F.col("low") <= F.col("t1"))
+    able = lambda c: F.when(F.col("able"), F.col(c))
+    rows = rows.withColumn("u0", F.min(able("t0")).over(whole)).withColumn("u1", F.max(able("t1")).over(whole))
+    rows = rows.filter(F.col("able") | ((n >= F.col("u0")) & (n <= F.col("u1"))))
+    return materialize(rows.select("key", "set", "n", "w", "m", "comp", "cross", "able"), "open")
+
+
+def sided(rows: DataFrame) -> DataFrame:
+    """Pairs (set, n, w) with o (set, n, w) as (a, na, b, nb). The first side, a, is the one whose
+    prefix ends first in the order of shingles: all its prefix shingles that b has as well lie in
+    b's prefix, so what they share is at most a's keys in shared lists and all beyond its prefix."""
+    swap = (F.col("o.w") < F.col("w")) | ((F.col("o.w") == F.col("w")) & (F.col("o.set") < F.col("set")))
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return rows.select(pick("set", "o.set").alias("a"), pick("n", "o.n").alias("na"), pick("o.set", "set").alias("b"), pick("o.n", "n").alias("nb"))
 
 
 def roomy(percent: int) -> Column:
-    """Whether pairs (na, sa, nb, sb) can be linked, sa and sb being keys that each shares with
-    any other component: all that lies beyond the prefix of either may be shared as well."""
-    room = lambda n, s: F.col(s) + F.floor(F.col(n) * percent / 100 + 1 - 1e-9) - 1
-    least = need(F.col("na"), F.col("nb"), percent)
-    return (room("na", "sa") >= least) & (room("nb", "sb") >= least)
+    """Whether a pair can be linked, its first side having `sa` keys in lists with others."""
+    return F.col("sa") + F.ceil(F.col("na") * percent / 100 - 1e-9) - 1 >= need(F.col("na"), F.col("nb"), percent)
 
 
 def joined(docs, found, pairs, edges, comps, words, percent):
@@ -245,8 +287,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     Copies with one shingle set count as one set throughout. Small sets enumerate their
     subsets; the others scan inverted lists, which hold a set under its prefix: its rarest
     shingles, so many that linked sets must meet. The boundary is chosen by cost, and small sets
-    near it also lie in the lists. No list is ever expanded into all its pairs: at first each
-    entry is checked against its neighbour by size and against the list's pivot. Links so found
+    near it also lie in the lists. No list but the shortest is ever expanded into all its
+    pairs: at first each entry is checked against its neighbour by size and the list's pivot. Links so found
     join sets into components, and only lists that still hold several components are gone through
     again: in rounds with chance neighbours, and then for all pairs of different components whose
     sizes and whose numbers of shared prefix shingles allow a link, at their first common key as far as it is among the first few of both. What is dropped on the way cannot be linked or is joined already, so
@@ -266,54 +308,55 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     edges = small_edges(tiny.filter(F.col("n") <= x), x, percent)
 
     # Inverted lists: entries whose key at least two sets share.
-    entry = sets.filter((F.col("n") > x) | fits(F.col("n"), F.lit(x + 1), percent)).select("set", F.col("n").cast("int").alias("n"), F.explode("front").alias("key"))
+    entry = sets.filter((F.col("n") > x) | fits(F.col("n"), F.lit(x + 1), percent)).select("set", F.col("n").cast("int").alias("n"), F.element_at("front", -1).alias("w"), F.explode("front").alias("key"))
     by_size = Window.partitionBy("key").orderBy("n", "set")
     whole = Window.partitionBy("key")
     entry = entry.withColumn("before", F.lag("set").over(by_size)).filter("before IS NULL OR before != set")
-    entry = entry.withColumn("prev", F.lag(F.struct("set", "n")).over(by_size)).withColumn("pivot", F.min(F.struct("set", "n")).over(whole)).withColumn("m", F.count("*").over(whole)).filter("m > 1")
-    lists = materialize(entry.select("key", "set", "n", "prev", "pivot"), "lists")
+    entry = entry.withColumn("m", F.count("*").over(whole)).filter("m > 1")
+    me = F.struct("set", "n", "w")
+    short = lambda k: F.when(F.col("m") <= WHOLE, F.lag(me, k).over(by_size))
+    others = {"o1": F.lag(me).over(by_size), **{f"o{k}": short(k) for k in range(2, WHOLE)}, "pivot": F.when(F.col("m") > WHOLE, F.min(me).over(whole))}
+    lists = materialize(entry.withColumns(others).select("key", "set", "n", "w", "m", *others), "lists")
     discard(whole_rows)
-    shares = materialize(lists.groupBy("set").agg(F.count("*").alias("shared")), "shares")
+    shares = materialize(lists.groupBy("set").agg(F.count("*").alias("shared"), F.count(F.when(F.col("m") <= WHOLE, 1)).alias("done")), "shares")
 
     def pruned(pairs: DataFrame) -> DataFrame:
-        for one in ("a", "b"):
-            pairs = pairs.join(shares.select(F.col("set").alias(one), F.col("shared").alias(f"s{one}")), one)
-        return pairs.filter(roomy(percent)).select("a", "b")
-
-    def paired(p: DataFrame) -> DataFrame:
-        swap = F.col("a") > F.col("b")
-        return p.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+        pairs = pairs.join(shares.select(F.col("set").alias("a"), F.col("shared").alias("sa")), "a")
+        return pairs.filter(roomy(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    ends = lists.select(F.col("set").alias("a"), F.col("n").alias("na"), F.explode(F.array("prev", "pivot")).alias("o")).filter("o IS NOT NULL AND o.set != a")
-    ends = ends.select("a", "na", F.col("o.set").alias("b"), F.col("o.n").alias("nb")).filter(fits(F.col("na"), F.col("nb"), percent))
-    first = materialize(pruned(paired(ends).distinct()), "pairs")
+    ends = lists.select("set", "n", "w", F.explode(F.array(*others)).alias("o")).filter("o IS NOT NULL AND o.set != `set`")
+    ends = sided(ends).filter(fits(F.col("na"), F.col("nb"), percent)).distinct()
+    first = materialize(pruned(ends), "pairs")
     edges = materialize(edges.unionByName(verified(docs, found, first, words, percent)), "edges")
     comps = components(edges)
 
     # Lists that still hold several components are gone through again: some rounds with chance
     # neighbours, which join most of what can be joined, then every pair that is left.
-    tried, open_ = first, lists
+    tried, open_ = first, lists.filter(F.col("m") > WHOLE)
     for turn in range(TURNS):
-        open_ = opened(open_, comps, percent)
+        open_ = opened(open_, comps, percent, shares, turn == 0)
         by_chance = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "key", "set"), "set")
-        near = open_.withColumn("o", F.lag(F.struct("set", "n", "comp", "cross", "able")).over(by_chance)).filter("o.comp != comp AND (able OR o.able)")
-        near = near.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("cross").alias("sa"), F.col("o.set").alias("b"), F.col("o.n").alias("nb"), F.col("o.cross").alias("sb"))
+        near = open_.withColumn("o", F.lag(F.struct("set", "n", "w", "comp")).over(by_chance)).filter("o.comp != comp")
+        near = sided(near).join(open_.select(F.col("set").alias("a"), F.col("cross").alias("sa")).distinct(), "a")
         near = near.filter(fits(F.col("na"), F.col("nb"), percent) & roomy(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialize(near.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = materialize(tried.unionByName(pairs), "tried")
         edges, comps = joined(docs, found, pairs, edges, comps, words, percent)
-    open_ = opened(open_, comps, percent)
-    front = open_.groupBy("set").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FRONT).alias("front"))
+    open_ = opened(open_, comps, percent, shares, False)
+    # Sets of long lists carry their least keys, so that such a pair is met at its first key and
+    # only if both have enough in common; what fronts do not show counts as common.
+    front = open_.groupBy("set").agg(F.when(F.max("m") >= LONG, F.slice(F.sort_array(F.collect_list("key")), 1, FRONT)).alias("front"))
     open_ = open_.join(front, "set")
-    x = open_.filter("able").select("key", F.col("set").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("cross").alias("sa"), F.col("front").alias("fa"))
-    y = open_.select(F.col("key").alias("k"), F.col("set").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("cross").alias("sb"), F.col("front").alias("fb"), F.col("able").alias("able_b"))
-    left = lambda n: F.floor(n * percent / 100 + 1 - 1e-9) - 1  # noqa: E731  elements beyond the prefix
-    once = (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & ((F.col("a") < F.col("b")) | ~F.col("able_b"))))
-    # Fronts are the least keys of both, so up to the end of one front common keys are counted.
-    beyond = F.greatest(F.col("sa") - F.size("fa") + left(F.col("na")), F.col("sb") - F.size("fb") + left(F.col("nb")))
-    enough = F.size(F.array_intersect("fa", "fb")) + beyond >= need(F.col("na"), F.col("nb"), percent)
-    here = F.coalesce(F.array_min(F.array_intersect("fa", "fb")), F.col("key")) == F.col("key")
-    met = x.join(y, (F.col("key") == F.col("k")) & once & fits(F.col("na"), F.col("nb"), percent) & roomy(percent) & enough & here)
+    x = open_.filter("able").select("key", F.col("set").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), F.col("comp").alias("ca"), F.col("cross").alias("sa"), F.col("front").alias("fa"))
+    y = open_.select(F.col("key").alias("k"), F.col("set").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"), F.col("comp").alias("cb"), F.col("front").alias("fb"))
+    once = (F.col("ca") != F.col("cb")) & ((F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b"))))
+    common = F.array_intersect("fa", "fb")
+    # A common key outside fb is above all of fb, so it is one of a's keys above the end of fb.
+    hidden = F.greatest(F.col("sa") - F.size("fa"), F.lit(0)) + F.when(F.size("fb") == FRONT, F.size(F.filter("fa", lambda k: k > F.element_at("fb", -1)))).otherwise(0)
+    enough = F.size(common) + hidden + F.ceil(F.col("na") * percent / 100 - 1e-9) - 1 >= need(F.col("na"), F.col("nb"), percent)
+    here = F.coalesce(F.array_min(common), F.col("key")) == F.col("key")
+    both = F.col("fa").isNull() | F.col("fb").isNull() | (enough & here)
+    met = x.join(y, (F.col("key") == F.col("k")) & once & fits(F.col("na"), F.col("nb"), percent) & roomy(percent) & both)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     edges, comps = joined(docs, found, pairs, edges, comps, words, percent)
