@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import ATTACHMENT_WORDS, has_dimensions, has_weight, is_complete, mentions_pn, pn_clean
+from ..functions.text import ATTACHMENT_WORDS, PN_SEPARATORS, has_dimensions, has_weight, is_complete, mentions_pn, pn_clean
 from ..functions.units import metric_record, raw_dimensions
 
 FIELDS = ["raw_length", "raw_width", "raw_height", "raw_diameter", "raw_weight"]
@@ -40,11 +40,17 @@ def to_fetch(queries: DataFrame, cache: DataFrame, key: str, now: Column, refres
     return queries if refresh else queries.join(cache_hits(cache, now, **ttl).select(key), key, "left_anti")
 
 
-def score_candidates(pages: DataFrame, text: str, pn: str) -> DataFrame:
-    """Two for naming the part, one for a weight, one for sizes."""
-    relevant = mentions_pn(F.col(text), F.col(pn))
-    score = relevant.cast("int") * 2 + has_weight(F.col(text)).cast("int") + has_dimensions(F.col(text)).cast("int")
-    return pages.withColumn("relevant", relevant).withColumn("score", score)
+def page_facts(pages: DataFrame, text: str) -> DataFrame:
+    """What scoring needs of a page, worked out once a page before it meets any part number."""
+    bare = F.upper(F.regexp_replace(text, PN_SEPARATORS, ""))
+    return pages.withColumns({"_bare": bare, "_facts": has_weight(F.col(text)).cast("int") + has_dimensions(F.col(text)).cast("int")}).drop(text)
+
+
+def score_candidates(met: DataFrame, pn: str) -> DataFrame:
+    """Page facts beside a part number: two for naming the part, one for a weight, one for sizes."""
+    key = F.upper(pn_clean(F.col(pn)))
+    relevant = F.coalesce((key != "") & F.col("_bare").contains(key), F.lit(False))
+    return met.withColumn("relevant", relevant).withColumn("score", F.col("relevant").cast("int") * 2 + F.col("_facts")).drop("_bare", "_facts")
 
 
 def best_pages(scored: DataFrame, pn: str, order: str, most: int = 2) -> DataFrame:

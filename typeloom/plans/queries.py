@@ -581,7 +581,7 @@ def provider_fusion(spark, sf):
 def candidate_pages(spark, sf):
     keys = load(spark, sf, "benchmark").filter("item_id < 20").select(F.regexp_extract("text", "[^ ]+", 0).alias("pn")).distinct()
     d = load(spark, sf, "documents").filter(F.length("text") > 0).select("doc_id", "text")
-    return dimensions.best_pages(dimensions.score_candidates(d.crossJoin(F.broadcast(keys)), "text", "pn"), "pn", "doc_id").select("pn", "doc_id", "score", "rank")
+    return dimensions.best_pages(dimensions.score_candidates(dimensions.page_facts(d, "text").crossJoin(F.broadcast(keys)), "pn"), "pn", "doc_id").select("pn", "doc_id", "score", "rank")
 
 
 @query("""SELECT page_id, url FROM pages WHERE NOT (contains(lower(url), 'spam-farm') OR contains(lower(url), 'cheap-pills')) AND (contains(lower(url), '.org') OR contains(lower(url), '.net'))""")
