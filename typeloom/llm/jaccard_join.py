@@ -255,13 +255,14 @@ def opened(entries: DataFrame, comps: DataFrame, percent: int, shares: DataFrame
     return materialize(rows.select("key", "set", "n", "w", "m", "comp", "cross", "able"), "open")
 
 
-def sided(rows: DataFrame) -> DataFrame:
+def sided(rows: DataFrame, keys: str | None = None) -> DataFrame:
     """Pairs (set, n, w) with o (set, n, w) as (a, na, b, nb). The first side, a, is the one whose
     prefix ends first in the order of shingles: all its prefix shingles that b has as well lie in
-    b's prefix, so what they share is at most a's keys in shared lists and all beyond its prefix."""
+    b's prefix, so what they share is at most a's keys in shared lists and all beyond its prefix. With the name
+    of a column that both have, the first side's value comes along as sa."""
     swap = (F.col("o.w") < F.col("w")) | ((F.col("o.w") == F.col("w")) & (F.col("o.set") < F.col("set")))
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return rows.select(pick("set", "o.set").alias("a"), pick("n", "o.n").alias("na"), pick("o.set", "set").alias("b"), pick("o.n", "n").alias("nb"))
+    return rows.select(pick("set", "o.set").alias("a"), pick("n", "o.n").alias("na"), pick("o.set", "set").alias("b"), pick("o.n", "n").alias("nb"), *([pick(keys, f"o.{keys}").alias("sa")] if keys else []))
 
 
 def roomy(percent: int) -> Column:
@@ -336,8 +337,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     for turn in range(TURNS):
         open_ = opened(open_, comps, percent, shares, turn == 0)
         by_chance = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "key", "set"), "set")
-        near = open_.withColumn("o", F.lag(F.struct("set", "n", "w", "comp")).over(by_chance)).filter("o.comp != comp")
-        near = sided(near).join(open_.select(F.col("set").alias("a"), F.col("cross").alias("sa")).distinct(), "a")
+        near = open_.withColumn("o", F.lag(F.struct("set", "n", "w", "comp", "cross")).over(by_chance)).filter("o.comp != comp")
+        near = sided(near, "cross")
         near = near.filter(fits(F.col("na"), F.col("nb"), percent) & roomy(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialize(near.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = materialize(tried.unionByName(pairs), "tried")
