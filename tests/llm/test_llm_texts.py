@@ -271,6 +271,16 @@ def test_language_model_counts_and_mass(spark, tmp_path):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_every_word_is_a_context(spark, tmp_path):
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    rows = [(d, f"a{d % 400} b{d % 400}") for d in range(8000)]
+    path = str(tmp_path / "pairs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    got = {r.doc_id: r.score - r.base_score for r in pitman_yor.lm_scores(spark.read.parquet(path)).collect() if held(r.doc_id)}
+    # b, one token in 1200, is all but certain after its a; a list of the 256 commonest misses most of them
+    assert len(got) > 500 and min(got.values()) > 3
+
+
 def test_predictions_sum_to_one():
     own = np.array([5, 3, 1, 7])
     m = pitman_yor.Model(np.array([1, 2], np.uint64), 40, 4, 1, 1, 3, 1, np.array([10, 14]), np.array([[3, 5]]))

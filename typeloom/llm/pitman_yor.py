@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, discard, materialize, rows_of, words_of
 
-#: Parameters: words that have a restaurant of their own, at most; sweeps before samples are
-#: kept; samples whose predictions are averaged; rows of a block; bytes of a bucket's words.
-CONTEXTS, BURN_IN, SAMPLES, BLOCK_BITS, BUCKET_WORDS = 256, 3, 3, 13, 400_000
+#: Parameters: sweeps before samples are kept; samples whose predictions are averaged; rows of a
+#: block; bytes of a bucket's words.
+BURN_IN, SAMPLES, BLOCK_BITS, BUCKET_WORDS = 3, 3, 13, 400_000
 #: The end of a text is a token of its own; no word hashes to it but by a 64-bit collision.
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end of text\x00"))
 
@@ -77,55 +77,56 @@ def contexts_of(docs: DataFrame, most: int) -> np.ndarray:
     return np.sort(np.array([r.w for r in rows], np.int64).view(np.uint64))
 
 
-def context_at(tokens: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """For each token the restaurant of the one before (the end, for the first), or -1."""
-    before = np.concatenate([[END], tokens[:-1]])
-    if not len(contexts):
-        return np.full(len(tokens), -1)
-    at = np.minimum(np.searchsorted(contexts, before), len(contexts) - 1)
-    return np.where(contexts[at] == before, at, -1)
+def pairs_of(tokens: list[np.ndarray], contexts: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Of consecutive texts: the distinct words, and where each token stands in them; the distinct
+    pairs, as word * len(words) + word before, and where they stand for the tokens that have one.
+    Before a text's first token stands the end of another; with `contexts`, other words before
+    make no pair."""
+    words, at = np.unique(np.concatenate(tokens), return_inverse=True)
+    head = np.concatenate([[np.searchsorted(words, END)], at[:-1]])
+    inside = np.ones(len(at), bool) if contexts is None else np.isin(words, contexts)[head]
+    pairs, pat = np.unique(at[inside] * len(words) + head[inside], return_inverse=True)
+    return words, at, pairs, pat, inside
 
 
-def gathered(docs: DataFrame, contexts: np.ndarray, buckets: int) -> DataFrame:
-    """What each block holds, dealt to buckets of word hashes: a row (bucket, block, data) with
-    the block's distinct words, their training counts, and its distinct pairs (context, word)
-    with theirs. Everything is counted inside a block before the shuffle."""
+def gathered(docs: DataFrame, contexts: np.ndarray | None, buckets: int) -> DataFrame:
+    """What each block holds, dealt to buckets of word hashes: a row (bucket, block, words, pairs)
+    with the block's distinct words, their training counts, and its distinct pairs (word before,
+    word) with theirs. Everything is counted inside a block before the shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(contexts)
 
-    def rows(block, tokens, heads, trains):
-        t, u, train = np.concatenate(tokens), np.concatenate(heads), np.repeat(np.array(trains), [len(x) for x in tokens])
-        words, at = np.unique(t, return_inverse=True)
+    def rows(block, tokens, trains):
+        train = np.repeat(np.array(trains), [len(x) for x in tokens])
+        words, at, pairs, pat, inside = pairs_of(tokens, shared.value)
         n = np.bincount(at, train, len(words)).astype(np.int64)
-        pair = at[u >= 0].astype(np.int64) * len(shared.value) + u[u >= 0] if len(shared.value) else np.zeros(0, np.int64)
-        pairs, pat = np.unique(pair, return_inverse=True)
-        pn = np.bincount(pat, train[u >= 0], len(pairs)).astype(np.int64) if len(pairs) else np.zeros(0, np.int64)
-        pw, pu = pairs // max(1, len(shared.value)), pairs % max(1, len(shared.value))
+        pn = np.bincount(pat, train[inside], len(pairs)).astype(np.int64)
+        pw, pu = pairs // len(words), pairs % len(words)
         cut = bucket_of(words, buckets)
         for b in np.unique(cut):
             lo, hi = np.searchsorted(cut, [b, b + 1])
             p, q = np.searchsorted(pw, [lo, hi])
-            yield int(b), block, packed(words[lo:hi], least_kind(n[lo:hi]), least_kind(pw[p:q] - lo), least_kind(pu[p:q]), least_kind(pn[p:q]))
+            heads, hat = np.unique(pu[p:q], return_inverse=True)
+            each = np.bincount(pw[p:q] - lo, minlength=hi - lo)
+            yield int(b), block, packed(words[lo:hi], least_kind(n[lo:hi])), packed(words[heads], least_kind(hat), least_kind(each), least_kind(pn[p:q]))
 
     def gather(batches):
-        hashes, now, tokens, heads, trains = WordHashes(), None, [], [], []
+        hashes, now, tokens, trains = WordHashes(), None, [], []
         for blocks, flags, texts in rows_of(batches, "block", "held_out", "text"):
             for block, held, text in zip(blocks, flags, texts):
                 if block != now and tokens:
-                    yield from as_batch(rows(now, tokens, heads, trains))
-                    tokens, heads, trains = [], [], []
+                    yield from as_batch(rows(now, tokens, trains))
+                    tokens, trains = [], []
                 now = block
-                t = tokens_of(text, hashes)
-                tokens.append(t)
-                heads.append(context_at(t, shared.value))
+                tokens.append(tokens_of(text, hashes))
                 trains.append(not held)
         if tokens:
-            yield from as_batch(rows(now, tokens, heads, trains))
+            yield from as_batch(rows(now, tokens, trains))
 
     def as_batch(made):
-        for b, block, data in made:
-            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "block", "data"])
+        for b, block, words, pairs in made:
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([words], pa.binary()), pa.array([pairs], pa.binary())], names=["bucket", "block", "words", "pairs"])
 
-    return docs.select("block", "held_out", "text").mapInArrow(gather, "bucket int, block long, data binary")
+    return docs.select("block", "held_out", "text").mapInArrow(gather, "bucket int, block long, words binary, pairs binary")
 
 
 def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -134,24 +135,61 @@ def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Bucket:
-    """All of the corpus's words in one bucket, merged over blocks, and where each block's words
-    and pairs stand in it."""
-
-    def __init__(self, blocks: list[int], data: list[bytes], k: int):
-        parts = [unpacked(d, 5) for d in data]
-        words = np.concatenate([p[0] for p in parts])
-        self.words, at = np.unique(words, return_inverse=True)
-        self.n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(self.words)).astype(np.int64)
-        ends = np.cumsum([0, *[len(p[0]) for p in parts]])
-        self.at = [at[a:b] for a, b in zip(ends, ends[1:])]
-        keys = [self.at[i][p[2].astype(np.int64)] * k + p[3].astype(np.int64) for i, p in enumerate(parts)]
-        pairs, pat = np.unique(np.concatenate(keys), return_inverse=True)
-        self.c = np.bincount(pat, np.concatenate([p[4] for p in parts]), len(pairs)).astype(np.int64) if len(pairs) else np.zeros(0, np.int64)
-        ends = np.cumsum([0, *[len(x) for x in keys]])
-        self.pat = [pat[a:b] for a, b in zip(ends, ends[1:])]
-        self.w, self.u = pairs // max(1, k), pairs % max(1, k)
+    """All of the corpus's words in one bucket and the words before them (heads), merged over
+    blocks, and where each block's words and pairs stand in it."""
+
+    def __init__(self, blocks: list[int], words: list[bytes], pairs: list[bytes]):
+        own, two = [unpacked(d, 2) for d in words], [unpacked(d, 4) for d in pairs]
+        self.words, at = np.unique(np.concatenate([p[0] for p in own]), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate([p[1] for p in own]), len(self.words)).astype(np.int64)
+        self.at = split(at, [len(p[0]) for p in own])
+        self.heads, hat = np.unique(np.concatenate([p[0] for p in two]), return_inverse=True)
+        k = max(1, len(self.heads))
+        keys = [np.repeat(a, p[2]) * k + h[p[1]] for a, h, p in zip(self.at, split(hat, [len(p[0]) for p in two]), two)]
+        both, pat = np.unique(np.concatenate(keys), return_inverse=True)
+        self.c = np.bincount(pat, np.concatenate([p[3] for p in two]), len(both)).astype(np.int64)
+        self.pat = split(pat, [len(x) for x in keys])
+        self.w, self.u = both // k, both % k
         self.blocks = blocks
 
+    def dealt(self, groups: int, tables: list[np.ndarray]):
+        """The tables that this bucket adds to each head's restaurant, a row (group of hashes, data,
+        sums) for each group, one array a sample."""
+        sums = [np.bincount(self.u, t, len(self.heads)).astype(np.int64) for t in tables]
+        cut = bucket_of(self.heads, groups)
+        for g in np.unique(cut):
+            lo, hi = np.searchsorted(cut, [g, g + 1])
+            yield int(g), packed(self.heads[lo:hi], *[least_kind(x[lo:hi]) for x in sums]), [int(x[lo:hi].sum()) for x in sums]
+
+
+def split(a: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(a, np.cumsum(sizes)[:-1])
+
+
+def added(data: list[bytes], samples: int) -> tuple[list[np.ndarray], ...]:
+    """Sums of what buckets dealt to one group: its heads, the place of each bucket's heads among
+    them, and the tables of each head, one array a sample."""
+    parts = [unpacked(d, 1 + samples) for d in data]
+    heads, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([p[1 + s] for p in parts]), len(heads)).astype(np.int64) for s in range(samples)]
+    return heads, split(at, [len(p[0]) for p in parts]), sums
+
+
+def answered(dealt: DataFrame) -> DataFrame:
+    """dealt (to, bucket, data) summed over buckets; each bucket gets back the tables of the heads
+    it sent: (bucket, part, reply)."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        _, at, (n,) = added(group["data"].tolist(), 1)
+        return pd.DataFrame({"bucket": group["bucket"], "part": group["to"], "reply": [packed(least_kind(n[x])) for x in at]})
+
+    return dealt.groupBy("to").applyInPandas(add, "bucket int, part int, reply binary")
+
+
+def tables_in(told: pd.DataFrame) -> np.ndarray:
+    """Tables of a bucket's heads, in their order, from the replies of all groups."""
+    return np.concatenate([np.zeros(0, np.int64), *[unpacked(d, 1)[0] for d in told.sort_values("part")["reply"]]]).astype(np.int64)
+
 
 def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes whose c customers sit down one after another: customer j + 1 opens a
@@ -178,10 +216,10 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np
 
 
 class Model:
-    """Totals that all tasks need, none larger than the number of contexts: the discount and
-    strength of each level, customers and tables of each context, customers of the root."""
+    """Totals that all tasks need: the discount and strength of each level, customers of the root.
+    Of customers and tables of the contexts only the sums count here."""
 
-    def __init__(self, contexts: np.ndarray, tokens: int, words: int, ones: int, twos: int, pair_ones: int, pair_twos: int, customers: np.ndarray, tables: np.ndarray):
+    def __init__(self, contexts: np.ndarray | None, tokens: int, words: int, ones: int, twos: int, pair_ones: int, pair_twos: int, customers: np.ndarray, tables: np.ndarray):
         self.contexts, self.tokens, self.words = contexts, tokens, words
         self.d0, self.d1 = (min(0.95, max(0.05, one / max(1, one + 2 * two))) for one, two in ((ones, twos), (pair_ones, pair_twos)))
         self.theta0 = self.theta1 = 1.0
@@ -196,39 +234,42 @@ class Model:
         total = self.theta0 + self.root_customers(s)
         return np.where(own > 0, (own - self.d0) / total, (self.theta0 + self.d0 * self.words) / total)
 
-    def back_off(self, s: int) -> np.ndarray:
-        return (self.theta1 + self.d1 * self.tables[s]) / (self.theta1 + self.customers)
+    def back_off(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (self.theta1 + self.d1 * tables) / (self.theta1 + customers)
 
 
-def sweeps(b: Bucket, m: Model, rng: np.random.Generator, burn_in: int, samples: int):
+def sweeps(b: Bucket, m: Model, tables: np.ndarray, rng: np.random.Generator, burn_in: int, samples: int):
     """Gibbs over one bucket, block by block: given everything else, the customers of each pair
     (context, word) get up and sit down again, then the word's customers at the root follow from
-    the tables. Totals over words are the last round's. Yields the tables of each sample."""
-    k = len(m.contexts)
+    the tables. Totals over words, such as `tables` of each head, are the last round's. Yields the
+    tables of each sample."""
     direct = b.n - np.bincount(b.w, b.c, len(b.n)).astype(np.int64)
     t = (b.c > 0).astype(np.int64)
     for i in range(burn_in + samples):
         own = direct + np.bincount(b.w, t, len(b.n)).astype(np.int64)
         p = m.root(own, 0)
-        a = (m.theta1 + m.d1 * m.tables[0][b.u]) * p[b.w] if k else np.zeros(0)
+        a = (m.theta1 + m.d1 * tables[b.u]) * p[b.w]
         t = seat(b.c, a, m.d1, rng)
         if i >= burn_in:
             yield t, direct + np.bincount(b.w, t, len(b.n)).astype(np.int64)
 
 
-def lm_scores(docs: DataFrame, contexts: int = CONTEXTS, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 0) -> DataFrame:
+def lm_scores(docs: DataFrame, contexts: int | None = None, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 0) -> DataFrame:
     """Score whole texts under a hierarchical Pitman-Yor model of order two, learned from the
     rows whose crc32(doc_id as text) mod 10 is not 0: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score and score (log10 of the text's probability).
 
-    The `contexts` commonest tokens have restaurants of their own, all children of one root,
-    which also seats the tokens after other words; the root's base has no atoms, so words never
-    met in training share the mass of its new tables. Seatings are sampled by Gibbs sweeps; after
-    `burn_in`, `samples` of them are kept, and a token's predictive probabilities are averaged.
+    Every token of the training texts has a restaurant of its own (`contexts`: only so many of
+    the commonest; the root seats the tokens after others), all children of one root; the root's
+    base has no atoms, so words never met in training share the mass of its new tables. Seatings
+    are sampled by Gibbs sweeps; after `burn_in`, `samples` of them are kept, and a token's
+    predictive probabilities are averaged.
 
     Words and pairs are counted inside blocks of the scan, merged by ranges of word hashes, seated
     there, and each block gets back what its own words need; texts are shuffled once, to meet it.
-    What is shuffled grows with the corpus; only totals and `contexts` hashes reach the driver.
+    A restaurant's customers are its word's own count, as one token follows each; its tables are
+    summed between rounds by ranges of its hash and sent back to the buckets that seat there.
+    What is shuffled grows with the corpus; only totals reach the driver.
     Words are told apart by 64-bit hashes.
 
     Null and empty texts are one token, the end; repeated rows are learned and scored one by one;
@@ -237,60 +278,78 @@ def lm_scores(docs: DataFrame, contexts: int = CONTEXTS, burn_in: int = BURN_IN,
     """
     spark = docs.sparkSession
     docs = blocked(docs)
-    hot = contexts_of(docs, contexts)
-    k = len(hot)
+    hot = None if contexts is None else contexts_of(docs, contexts)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(8, size // (6 * BUCKET_WORDS)))
-    totals_of = "bucket int, blocks array<long>, data array<binary>, tokens long, words long, ones long, twos long, pair_ones long, pair_twos long, customers array<long>, types array<long>"
+    many = max(8, size // (6 * BUCKET_WORDS))
+    groups = int(max(8, 4 * math.sqrt(many)))
+    share = int(-(-many // groups))  # buckets of a group
+    buckets = groups * share
+    totals = ("tokens", "words", "ones", "twos", "pair_ones", "pair_twos", "customers", "types")
+    state_of = "bucket int, blocks array<long>, words_in array<binary>, pairs_in array<binary>, to array<int>, data array<binary>, " + ", ".join(f"{c} long" for c in totals)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        b = Bucket(group["block"].tolist(), group["data"].tolist(), k)
-        row = [int(group["bucket"].iloc[0]), b.blocks, group["data"].tolist(), b.n.sum(), (b.n > 0).sum(), (b.n == 1).sum(), (b.n == 2).sum(), (b.c == 1).sum(), (b.c == 2).sum(), np.bincount(b.u, b.c, k).astype(int).tolist(), np.bincount(b.u[b.c > 0], minlength=k).tolist()]
-        return pd.DataFrame([row], columns=[x.split()[0] for x in totals_of.split(", ")])
-
-    state = materialize(gathered(docs, hot, buckets).groupBy("bucket").applyInPandas(merge, totals_of), "state")
-
-    def summed(df: DataFrame, column: str, n: int) -> np.ndarray:
-        got = {r.u: r.n for r in df.select(F.posexplode(column).alias("u", "n")).groupBy("u").agg(F.sum("n").alias("n")).collect()}
-        return np.array([got.get(i, 0) for i in range(n)], np.int64)
-
-    t = state.agg(*[F.sum(c).alias(c) for c in ("tokens", "words", "ones", "twos", "pair_ones", "pair_twos")]).first()
-    facts = (hot, *[int(x or 0) for x in t], summed(state, "customers", k))
-    first = spark.sparkContext.broadcast(Model(*facts, summed(state, "types", k)[None, :]))
-
-    def settle(batches):
-        m = first.value
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                b = Bucket(list(row.blocks), list(row.data), k)
-                for t, _ in sweeps(b, m, np.random.default_rng([seed, row.bucket]), burn_in, 1):
-                    yield pd.DataFrame({"tables": [np.bincount(b.u, t, k).astype(int).tolist()]})
-
-    tables = summed(state.select("bucket", "blocks", "data").mapInPandas(settle, "tables array<long>"), "tables", k)
-    second = spark.sparkContext.broadcast(Model(*facts, tables[None, :]))
-
-    def answer(batches):
-        m = second.value
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                b = Bucket(list(row.blocks), list(row.data), k)
-                kept = list(sweeps(b, m, np.random.default_rng([seed, row.bucket, 1]), burn_in, samples))
-                sums = np.concatenate([np.bincount(b.u, t, k) for t, _ in kept]).astype(int).tolist()
-                own = [own for _, own in kept]
-                for i, block in enumerate(b.blocks):
-                    data = packed(least_kind(b.n[b.at[i]]), *[least_kind(o[b.at[i]]) for o in own], least_kind(b.c[b.pat[i]]), *[least_kind(t[b.pat[i]]) for t, _ in kept])
-                    yield pd.DataFrame({"bucket": [row.bucket], "block": [block], "data": [data], "sums": [sums if i == 0 else None]})
-
-    answers = materialize(state.select("bucket", "blocks", "data").mapInPandas(answer, "bucket int, block long, data binary, sums array<long>"), "answers")
-    sampled = summed(answers.filter("sums IS NOT NULL"), "sums", k * samples).reshape(samples, k)
-    final = spark.sparkContext.broadcast(Model(*facts, sampled))
+        b = Bucket(*[group[c].tolist() for c in ("block", "words", "pairs")])
+        to, data, _ = zip(*b.dealt(groups, [b.c > 0])) if len(b.heads) else ((), (), ())
+        row = [int(group["bucket"].iloc[0]), b.blocks, group["words"].tolist(), group["pairs"].tolist(), list(to), list(data), b.n.sum(), (b.n > 0).sum(), (b.n == 1).sum(), (b.n == 2).sum(), (b.c == 1).sum(), (b.c == 2).sum(), b.c.sum(), (b.c > 0).sum()]
+        return pd.DataFrame([row], columns=[x.split()[0] for x in state_of.split(", ")])
+
+    state = materialize(gathered(docs, hot, buckets).groupBy("bucket").applyInPandas(merge, state_of), "state")
+    *t, customers, types = [int(x or 0) for x in state.agg(*[F.sum(c).alias(c) for c in totals]).first()]
+    facts = (hot, *t, np.array([customers]))
+
+    def summed(df: DataFrame, n: int) -> np.ndarray:
+        got = df.agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(n)]).first()
+        return np.array([[x or 0] for x in got], np.int64)
+
+    seated = state.select("bucket", "blocks", "words_in", "pairs_in")
+    first = spark.sparkContext.broadcast(Model(*facts, np.array([[types]])))
+
+    def settle(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        row = own.iloc[0]
+        b = Bucket(list(row.blocks), list(row.words_in), list(row.pairs_in))
+        (t, _), = sweeps(b, first.value, tables_in(told), np.random.default_rng([seed, row.bucket]), burn_in, 1)
+        return pd.DataFrame([(g, row.bucket, data, sums) for g, data, sums in b.dealt(groups, [t])], columns=["to", "bucket", "data", "sums"])
+
+    asked = state.select("bucket", F.explode(F.arrays_zip("to", "data")).alias("x")).select("x.to", "bucket", "x.data")
+    settled = materialize(seated.groupBy("bucket").cogroup(answered(asked).groupBy("bucket")).applyInPandas(settle, "to int, bucket int, data binary, sums array<long>"), "settled")
+    second = spark.sparkContext.broadcast(Model(*facts, summed(settled, 1)))
+
+    def answer(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        row = own.iloc[0]
+        b = Bucket(list(row.blocks), list(row.words_in), list(row.pairs_in))
+        kept = list(sweeps(b, second.value, tables_in(told), np.random.default_rng([seed, row.bucket, 1]), burn_in, samples))
+        out = [(g, -1, row.bucket, data, sums) for g, data, sums in b.dealt(groups, [t for t, _ in kept])]
+        for i, block in enumerate(b.blocks):
+            data = packed(least_kind(b.n[b.at[i]]), *[least_kind(o[b.at[i]]) for _, o in kept], least_kind(b.c[b.pat[i]]), *[least_kind(t[b.pat[i]]) for t, _ in kept])
+            out.append((-1, block, row.bucket, data, []))
+        return pd.DataFrame(out, columns=["to", "block", "bucket", "data", "sums"])
+
+    answers = materialize(seated.groupBy("bucket").cogroup(answered(settled.select("to", "bucket", "data")).groupBy("bucket")).applyInPandas(answer, "to int, block long, bucket int, data binary, sums array<long>"), "answers")
+    discard(settled)
+    final = spark.sparkContext.broadcast(Model(*facts, summed(answers.filter("to >= 0"), samples)))
+
+    def spread(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """Tables of the restaurants of each block's words."""
+        heads, _, sums = added(told["data"].tolist(), samples) if len(told) else (np.zeros(0, np.uint64), [], [np.zeros(0, np.int64)] * samples)
+        out = []
+        for row in own.itertuples(index=False):
+            for block, data in zip(row.blocks, row.words_in):
+                words = unpacked(data, 2)[0]
+                at = np.searchsorted(heads, words)
+                met = np.append(heads, 0)[at] == words
+                met &= at < len(heads)
+                out.append((block, row.bucket, 1, packed(*[least_kind(np.where(met, np.append(x, 0)[at], 0)) for x in sums])))
+        return pd.DataFrame(out, columns=["of", "bucket", "kind", "data"])
+
+    words = state.select(F.floor(F.col("bucket") / share).cast("int").alias("to"), "bucket", "blocks", "words_in")
+    spreads = materialize(words.groupBy("to").cogroup(answers.filter("to >= 0").select("to", "data").groupBy("to")).applyInPandas(spread, "of long, bucket int, kind int, data binary"), "spreads")
     discard(state)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         return scored(texts, told, final.value, samples)
 
-    told = answers.select(F.col("block").alias("of"), "bucket", "data")
+    told = answers.filter("to < 0").select(F.col("block").alias("of"), "bucket", F.lit(0).alias("kind"), "data").unionByName(spreads)
     return docs.groupBy("block").cogroup(told.groupBy("of")).applyInPandas(score, out)
 
 
@@ -299,26 +358,26 @@ def scored(texts: pd.DataFrame, told: pd.DataFrame, m: Model, samples: int) -> p
     block lists both in the order in which it sent them."""
     if not len(texts):
         return pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-    hashes, k = WordHashes(), len(m.contexts)
+    hashes = WordHashes()
     tokens = [tokens_of(t, hashes) for t in texts["text"]]
-    heads = np.concatenate([context_at(t, m.contexts) for t in tokens])
     size = np.array([len(t) for t in tokens])
-    words, at = np.unique(np.concatenate(tokens), return_inverse=True)
-    parts = [unpacked(d, 2 + 2 * samples) for d in told.sort_values("bucket")["data"]]
-    n, *own = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(1 + samples))
-    c, *t = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(1 + samples, 2 + 2 * samples))
-    inside = heads >= 0
-    pairs, pat = np.unique(at[inside].astype(np.int64) * max(1, k) + heads[inside], return_inverse=True)
-    if len(n) != len(words) or len(c) != len(pairs):
+    words, at, pairs, pat, inside = pairs_of(tokens, m.contexts)
+    del tokens
+    told = told.sort_values("bucket")
+    parts = [unpacked(d, 2 + 2 * samples) for d in told["data"][told["kind"] == 0]]
+    n, *own, c = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(2 + samples))
+    t = [np.concatenate([p[2 + samples + s] for p in parts]) for s in range(samples)]
+    parts = [unpacked(d, samples) for d in told["data"][told["kind"] == 1]]
+    tables = [np.concatenate([p[s] for p in parts]) for s in range(samples)]
+    if len(n) != len(words) or len(c) != len(pairs) or len(tables[0]) != len(words):
         raise RuntimeError("the table was not read twice alike: a block's words differ")
     base = np.log10((n + 0.1) / (m.tokens + 0.1 * (m.words + 1)))
     mean_root, mean_pair = np.zeros(len(words)), np.zeros(len(pairs))
-    w, u = pairs // max(1, k), pairs % max(1, k)
+    w, u = pairs // len(words), pairs % len(words)
     for s in range(samples):
         p = m.root(own[s], s)
         mean_root += p / samples
-        if len(pairs):
-            mean_pair += (np.maximum(c - m.d1 * t[s], 0) / (m.theta1 + m.customers[u]) + m.back_off(s)[u] * p[w]) / samples
+        mean_pair += (np.maximum(c - m.d1 * t[s], 0) / (m.theta1 + n[u]) + m.back_off(n, tables[s])[u] * p[w]) / samples
     p = mean_root[at]
     p[inside] = mean_pair[pat]
     doc = np.repeat(np.arange(len(size)), size)
