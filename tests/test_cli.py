@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from typeloom import cli, config
+from typeloom.functions.text import mentions_pn
 from typeloom.operators import encoders
 from typeloom.sources import providers
 
@@ -115,3 +116,19 @@ def test_providers(spark):
 
     found = providers.Search([dead, lambda query, most: [{"title": query, "link": "l", "snippet": "s"}]]).results(q.select("pn"), "pn")
     assert {r.title for r in found.collect()} == {"0265005303", "999"}
+
+
+def test_page_search_finds_any_spelling(spark):
+    pages = [
+        ("u1", "a", "WHEEL SPEED SENSOR 0 265 005 303"), ("u2", "b", "see 0265005303A"), ("u3", "c", "no 02 65 00 53 03 1"), ("u4", "d", "x0 -265--005. 303"),
+        ("u5", "e", "0265/005303"), ("u6", "f", None), ("u7", "g", "ab-c/12 \u00e9"), ("u7", "g", "ab-c/12 \u00e9"),
+    ]
+    p = spark.createDataFrame(pages, "url string, title string, text string")
+    q = spark.createDataFrame([("0 265 005-303",), ("abc/12",), ("B-C",), ("999",), (" ",)], "pn string")
+    met = p.crossJoin(q).filter(mentions_pn(F.col("text"), F.col("pn"))).collect()
+    want = {}
+    for r in sorted(met, key=lambda r: r.url):
+        want.setdefault(r.pn, []).append(r.text)
+    got = {r.pn: r.text for r in providers.PageTable(p, most=9, is_html=False).sheets(q).collect() if r.has_data}
+    assert got == {pn: "\n\n".join(texts) for pn, texts in want.items()}
+    assert len(want["0 265 005-303"]) == 4 and len(want["abc/12"]) == 2

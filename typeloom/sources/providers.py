@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.pages import page_text
-from ..functions.text import mentions_pn, pn_variants, title_score
+from ..functions.text import PN_SEPARATORS, pn_clean, pn_variants, title_score
 from ..operators.dimensions import sample_sheets
 
 SHEET = ["pn", "title", "text", "source_url", "has_data", "source_type"]
@@ -35,25 +35,26 @@ class Samples:
 
 class PageTable:
     """A table of pages (url, title, html or text) searched in full: pages that name the part in
-    any spelling, the best titles first, the first `most` read as one text. Parts are matched by
-    the pages' own numbers: every run of letters and digits of a page, bare, is joined by
-    equality, so the search is a hash join and no page meets every query."""
+    any spelling, as mentions_pn tests it, the best titles first, the first `most` read as one
+    text. Every stretch of a page without separators that is as long as a queried number is joined
+    to the numbers by equality, so the search is a hash join and no page meets every query; texts
+    are read again for the pages found only."""
 
     def __init__(self, pages: DataFrame, kind: str = "wiki", most: int = 3, is_html: bool = True):
         self.pages = pages.withColumn("text", page_text("html")) if is_html else pages
         self.kind, self.most = kind, most
 
     def sheets(self, queries: DataFrame) -> DataFrame:
-        bare = lambda c: F.upper(F.regexp_replace(c, r"[\s\-_.]", ""))
-        runs = F.regexp_extract_all(F.upper("text"), F.lit(r"([A-Z0-9]+(?:[\s\-_.][A-Z0-9]+){0,4})"), F.lit(1))
-        # a number in groups may stand beside other words, so every stretch of up to five runs counts
-        words = lambda r: F.split(r, r"[\s\-_.]")
-        pieces = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.size(words(r))), lambda i: F.transform(F.sequence(F.lit(1), F.size(words(r)) - i + 1), lambda n: F.array_join(F.slice(words(r), i, n), ""))))))
-        found = self.pages.select("url", "title", "text", F.explode(F.array_distinct(pieces)).alias("_k"))
-        keys = queries.select("pn").distinct()
-        met = keys.withColumn("_k", bare(F.col("pn"))).filter("_k != ''").join(found, "_k")
-        met = met.filter(mentions_pn(F.col("text"), F.col("pn"))).withColumn("score", title_score(F.col("title"), pn_variants(F.col("pn"))))
+        keys = queries.select("pn").distinct().withColumn("_k", F.upper(pn_clean(F.col("pn")))).filter("_k != ''")
+        # a row for each length of number; where all of a length are digits, so must be the stretches
+        sizes = keys.groupBy(F.length("_k").alias("n")).agg(F.min(F.when(F.col("_k").rlike("^[0-9]+$"), 2).when(F.col("_k").rlike("^[A-Z0-9]+$"), 1).otherwise(0)).alias("kind")).collect()
+        bare = F.upper(F.regexp_replace("text", PN_SEPARATORS, ""))
+        windows = [F.array_distinct(F.regexp_extract_all(bare, F.lit(f"(?s)(?=({('.', '[A-Z0-9]', '[0-9]')[s.kind]}{{{s.n}}}))"), F.lit(1))) for s in sizes]
+        pages = self.pages.select("url", "title", "text").withColumn("_id", F.sha2(F.to_json(F.struct("url", "title", "text")), 256))
+        found = pages.select("_id", "url", "title", F.explode(F.concat(*windows) if windows else F.array().cast("array<string>")).alias("_k"))
+        met = keys.join(found, "_k").withColumn("score", title_score(F.col("title"), pn_variants(F.col("pn"))))
         top = met.withColumn("r", F.row_number().over(Window.partitionBy("pn").orderBy(F.desc("score"), "url"))).filter(F.col("r") <= self.most)
+        top = top.join(pages.select("_id", "text").dropDuplicates(["_id"]), "_id")
         one = top.groupBy("pn").agg(F.min_by("title", "r").alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), "\n\n").alias("text"), F.min_by("url", "r").alias("source_url"))
         return queries.select("pn").distinct().join(one, "pn", "left").select("pn", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source_url", F.lit("")).alias("source_url"), F.col("text").isNotNull().alias("has_data"), F.lit(self.kind).alias("source_type"))
 
