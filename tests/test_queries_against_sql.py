@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -45,6 +46,15 @@ def test_query_without_sql_runs(spark, name):
     assert df.count() >= 0 and df.columns
 
 
+def test_candidate_pages_of_every_benchmark_part(spark, duck):
+    bare = lambda t: re.sub(r"[\s\-_.]", "", t).upper()
+    texts = [bare(t) for (t,) in duck.sql("SELECT text FROM documents WHERE length(text) > 0").fetchall()]
+    parts = {re.search("[^ ]+", t)[0] for (t,) in duck.sql("SELECT text FROM benchmark").fetchall()}
+    named = {pn for pn in parts if bare(pn) and any(bare(pn) in t for t in texts)}
+    assert {r.pn for r in QUERIES["candidate_pages_all"](spark, SF).collect()} == named
+    assert len(named) > 20
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

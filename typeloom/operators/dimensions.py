@@ -53,6 +53,15 @@ def score_candidates(met: DataFrame, pn: str) -> DataFrame:
     return met.withColumn("relevant", relevant).withColumn("score", F.col("relevant").cast("int") * 2 + F.col("_facts")).drop("_bare", "_facts")
 
 
+def score_all(facts: DataFrame, keys: DataFrame, pn: str) -> DataFrame:
+    """score_candidates for every page and part number. The numbers meet a page as one array, so
+    each is made bare once and no text is copied beside it."""
+    bare = keys.select(F.struct(F.col(pn), F.upper(pn_clean(F.col(pn))).alias("k")).alias("key")).agg(F.collect_list("key").alias("_keys"))
+    tested = F.transform("_keys", lambda x: F.struct(x[pn].alias(pn), F.coalesce((x["k"] != "") & F.col("_bare").contains(x["k"]), F.lit(False)).alias("relevant")))
+    met = facts.crossJoin(F.broadcast(bare)).withColumn("_met", tested).drop("_bare", "_keys").select("*", F.inline("_met")).drop("_met")
+    return met.withColumn("score", F.col("relevant").cast("int") * 2 + F.col("_facts")).drop("_facts")
+
+
 def best_pages(scored: DataFrame, pn: str, order: str, most: int = 2) -> DataFrame:
     """The best `most` pages of a part; none if no page names it."""
     w = Window.partitionBy(pn)

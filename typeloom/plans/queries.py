@@ -10,7 +10,7 @@ from ..functions import salvage, text, units
 from ..operators import clustering, dimensions, entities, evaluation, features, gateway, hybrid, ranking
 from ..sources.tables import stored
 from . import views
-from .registry import load, query
+from .registry import SQL, load, query
 from .views import CENTROIDS, NEAREST, PARTS, RECORDS
 
 R6 = lambda c: F.round(c, 6)
@@ -579,9 +579,21 @@ def provider_fusion(spark, sf):
     r AS (SELECT *, row_number() OVER (PARTITION BY pn ORDER BY score DESC, doc_id) AS rank, max(score >= 2) OVER (PARTITION BY pn) AS seen FROM s)
     SELECT pn, doc_id, score::INTEGER AS score, rank::INTEGER AS rank FROM r WHERE rank <= 2 AND seen""")
 def candidate_pages(spark, sf):
-    keys = load(spark, sf, "benchmark").filter("item_id < 20").select(F.regexp_extract("text", "[^ ]+", 0).alias("pn")).distinct()
+    """Of the first 20 items only, as its SQL has it; candidate_pages_all takes the whole benchmark."""
+    return benchmark_pages(spark, sf, load(spark, sf, "benchmark").filter("item_id < 20"))
+
+
+@query(SQL["candidate_pages"].replace(" WHERE item_id < 20", ""))
+def candidate_pages_all(spark, sf):
+    return benchmark_pages(spark, sf, load(spark, sf, "benchmark"))
+
+
+def benchmark_pages(spark, sf, items):
+    """The best documents of each item's part number. A theta join by containment, which tokens
+    cannot replace: the list of numbers does not grow with the documents, and is broadcast."""
+    keys = items.select(F.regexp_extract("text", "[^ ]+", 0).alias("pn")).distinct()
     d = load(spark, sf, "documents").filter(F.length("text") > 0).select("doc_id", "text")
-    return dimensions.best_pages(dimensions.score_candidates(dimensions.page_facts(d, "text").crossJoin(F.broadcast(keys)), "pn"), "pn", "doc_id").select("pn", "doc_id", "score", "rank")
+    return dimensions.best_pages(dimensions.score_all(dimensions.page_facts(d, "text"), keys, "pn"), "pn", "doc_id").select("pn", "doc_id", "score", "rank")
 
 
 @query("""SELECT page_id, url FROM pages WHERE NOT (contains(lower(url), 'spam-farm') OR contains(lower(url), 'cheap-pills')) AND (contains(lower(url), '.org') OR contains(lower(url), '.net'))""")
