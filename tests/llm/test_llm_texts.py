@@ -146,6 +146,16 @@ def test_license_digests(spark):
     assert [got[i] for i in range(8)] == ["MIT", "MIT", "MIT", None, None, None, "MIT-line", "MIT"]
 
 
+def test_license_with_typographic_signs_titles_and_holders(spark):
+    mit = license_scan.KNOWN_TEXTS["MIT"]
+    curly = re.sub(r'"([^"]*)"', "\u201c\\1\u201d", mit)
+    wrapped = mit.replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS").replace("copyright notice", "\ncopyright notice")
+    texts = [curly, mit.replace(", ", ",\u00a0"), "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + mit, "The MIT License (MIT)\r\nCopyright Jane Doe 2020\r\n" + curly, "\u2022 Copyright Jane Doe\n" + wrapped, wrapped, "MIT License", "Copyright Jane Doe", curly + " more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license_scan.license_scan(docs, license_scan.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(9)] == ["MIT"] * 6 + [None] * 3
+
+
 def brute_groups(rows):
     def shingles(t):
         w = words((t or "").translate({c: c + 32 for c in range(65, 91)}))

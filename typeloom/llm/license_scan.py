@@ -79,27 +79,52 @@ def canonical(text: Column) -> Column:
     return F.trim(t)
 
 
+#: Title lines, and lines that name a copyright holder: "copyright" and a sign or a year, or a name
+#: that is not a word of a licence's own sentences.
+TITLE_LINE = r"(?m)^[^\p{L}\p{N}\n]*(the )?(mit|isc|apache|bsd|zero-clause bsd|0bsd|bsd zero clause)( 2\.0)? licen[sc]e([ ,]+version 2\.0)?( \([^\n()]*\))?[^\p{L}\p{N}\n]*$"
+HOLDER_LINE = r"(?m)^[^\p{L}\p{N}\n]*((portions )?copyright\b(?=[^\n]*(\(c\)|©|\b(19|20)[0-9]{2}\b)|[ \t]+(?!(notices?|holders?|owners?|laws?|licen[sc]es?|statements?|disclaimers?|and|or|in|is|to|of|by|the|this|that|shall|may|with|for|are)\b)[^\n]{1,60}$)|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*$"
+
+
+def canonical_wide(text: Column) -> Column:
+    """The form by which a text is looked up when its digest is unknown: as canonical(), but title
+    lines and all lines of copyright holders go, and everything but Unicode letters and digits
+    is a space."""
+    t = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"\r\n?|[\u0085\u2028\u2029]", "\n")
+    for line in (TITLE_LINE, HOLDER_LINE):
+        t = F.regexp_replace(t, line, "")
+    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    for one, other in SPELLINGS:
+        t = F.replace(t, F.lit(f" {one} "), F.lit(f" {other} "))
+    return F.trim(t)
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """license_id and digest of the known texts; of equal digests the smallest name stays."""
+    """license_id and digest of the known texts, in both forms; of equal digests the smallest name stays."""
     rows = list((KNOWN_TEXTS if texts is None else texts).items())
     df = spark.createDataFrame(rows, "license_id string, text string")
-    return df.select("license_id", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    forms = F.array(digest(F.col("text")), F.sha2(canonical_wide(F.col("text")).cast("binary"), 256))
+    return df.select("license_id", F.explode(F.array_distinct(forms)).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Which whole texts are known licences: key, digest, license_id (null: none), is_license.
 
     Each text is reduced to the SHA-256 of its canonical form, and digests are joined to those
-    of `known` (license_id, digest). Only keys and digests reach the join; Spark broadcasts the
+    of `known` (license_id, digest); what they do not name is looked up by its wide form, in which
+    quotes and dashes of any kind, titles and holders do not count. Only keys and digests reach the join; Spark broadcasts the
     known side only if its size allows, else it is a sort-merge join, which AQE splits if one
     digest (copies of one text) holds many rows.
 
     Null and empty texts have the digest of an empty text, which is no licence unless listed;
     repeated rows are judged one by one; null keys stay; other columns are not read.
     """
-    mine = docs.select(F.col(key), digest(F.col(text)).alias("digest"))
-    return mine.join(known.select("digest", "license_id"), "digest", "left").select(key, "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
+    wide = F.sha2(canonical_wide(F.col(text)).cast("binary"), 256)
+    mine = docs.select(F.col(key), digest(F.col(text)).alias("digest"), wide.alias("_wide"))
+    other = known.select(F.col("digest").alias("_wide"), F.col("license_id").alias("_other"))
+    met = mine.join(known.select("digest", "license_id"), "digest", "left").join(other, "_wide", "left")
+    found = F.coalesce("license_id", "_other")
+    return met.select(key, "digest", found.alias("license_id"), found.isNotNull().alias("is_license"))
