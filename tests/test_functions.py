@@ -85,3 +85,9 @@ def test_page_specs():
 def test_line_specs_first_wins(spark):
     got = one(spark, "Weight: 5 kg\nColour: 3\nWEIGHT: 6 kg\n height : 1\t mm", text.line_specs)
     assert got == {"weight": "5 kg", "height": "1 mm"}
+
+
+def test_long_pages_are_read_whole():
+    page = "<p>" + "word " * 170_000 + "</p><table><tr><td>Weight</td><td>5 kg</td></tr></table><p>the end</p>"
+    assert pages.specs_of(page) == {"weight": "5 kg"}
+    assert pages.text_of(page).endswith("the end")

@@ -14,7 +14,6 @@ from .text import SPEC_TERMS, UNRELATED_HEADINGS
 KEY_VALUE = re.compile(r"^([^:]{2,40}):\s*(.+)$", re.S)
 SKIPPED = {"script", "style", "nav", "footer", "header"}
 BREAKS = {"p", "li", "tr", "br", "div", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "section"}
-MOST_CHARACTERS = 800_000
 
 
 class _Events(HTMLParser):
@@ -94,7 +93,7 @@ def specs_of(html: str | None) -> dict[str, str]:
     """Key and value pairs that name a size or weight: two-cell table rows, then definition lists,
     then short Key: Value items; nothing under a heading for related products."""
     page = _Events()
-    page.feed((html or "")[:MOST_CHARACTERS])
+    page.feed(html or "")
     page.finish()
     short = [m.groups() for t in page.items if t and len(t) <= 160 and (m := KEY_VALUE.match(t))]
     out: dict[str, str] = {}
@@ -108,7 +107,7 @@ def specs_of(html: str | None) -> dict[str, str]:
 def text_of(html: str | None) -> str:
     """The text of a page, a line a block; scripts, styles and navigation left out."""
     page = _Events()
-    page.feed((html or "")[:MOST_CHARACTERS])
+    page.feed(html or "")
     return "\n".join(x for x in page.finish().lines if x)
 
 
