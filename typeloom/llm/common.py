@@ -7,6 +7,8 @@ are contracted with joins, and hashes are stable across workers and reruns.
 
 from __future__ import annotations
 
+import gc
+import io
 import os
 import tempfile
 import uuid
@@ -51,13 +53,56 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables made by materialize() that no later step reads."""
+    """Remove tables made by materialize() that no later step reads. The driver collects its
+    garbage then, upon which Spark removes the shuffle files of plans that are gone too."""
     for t in tables:
         path = getattr(t, "_typeloom_path", None)
         if path:
             jvm, jsc = t.sparkSession._jvm, t.sparkSession._jsc
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one value."""
+    raw = io.BytesIO()
+    for a in arrays:
+        np.save(raw, a, allow_pickle=False)
+    return raw.getvalue()
+
+
+def unpacked(raw: bytes, n: int) -> list[np.ndarray]:
+    f = io.BytesIO(raw)
+    return [np.load(f, allow_pickle=False) for _ in range(n)]
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold them all."""
+    top = int(a.max(initial=0))
+    return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def steps(h: np.ndarray) -> np.ndarray:
+    """Ascending 64-bit numbers as their differences, in as many bytes each as the largest takes:
+    a table of bytes."""
+    d = np.diff(h, prepend=np.uint64(0))
+    first, d[:1] = d[:1].copy(), 0
+    width = max(1, -(-int(d.max(initial=0)).bit_length() // 8))
+    return np.concatenate([first.view(np.uint8), d.view(np.uint8).reshape(-1, 8)[:, :width].ravel()])
+
+
+def unsteps(raw: np.ndarray, n: int) -> np.ndarray:
+    """The n numbers that steps() wrote."""
+    if not n:
+        return np.zeros(0, np.uint64)
+    d = np.zeros((n, 8), np.uint8)
+    d[:, : (len(raw) - 8) // n] = raw[8:].reshape(n, -1)
+    d = d.view(np.uint64).ravel()
+    d[0] = raw[:8].view(np.uint64)[0]
+    return np.cumsum(d, dtype=np.uint64)
 
 
 def tasks_for(spark: SparkSession) -> int:

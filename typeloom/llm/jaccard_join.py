@@ -9,12 +9,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, discard, materialize, rows_of, words_of
-from .url_filter import build_level, level_hash
+from .common import components, discard, materialize, narrow, packed, rows_of, steps, unpacked, unsteps, words_of
+from .url_filter import build_level, level_hash, passes
 
 #: Words of a shingle, and the similarity in per cent.
 WORDS, PERCENT = 5, 75
@@ -22,14 +23,21 @@ WORDS, PERCENT = 5, 75
 SMALL = 12
 #: Cost of checking what an inverted list brings together, in rows of an enumeration.
 CHECK = 4
-#: Frequent shingles whose order tasks are told, at most; and bits of a pre-filter, at most.
-FREQUENT, FILTER_BITS = 100_000, 1 << 27
-#: Lists of up to so many entries are paired whole at once.
-WHOLE = 4
+#: Shingles and sets of a block of texts, bytes of text that a range of hashes stands for, and the
+#: bits of a shingle's hash; above them a key has the shingle's frequency class.
+BLOCK, MANY, RANGE_BYTES, HASH_BITS = 3_000_000, 65_535, 13_000_000, 57
+#: Bits of a pre-filter of sets, at most.
+FILTER_BITS = 1 << 27
 #: Entries from which a list is long, and keys that travel with the sets of long lists.
 LONG, FRONT = 32, 64
-#: Rounds with chance neighbours before all remaining pairs are met.
-TURNS = 2
+#: Rounds with chance neighbours before all remaining pairs are met, neighbours of an entry, and
+#: entries of a part of a list.
+TURNS, NEAR, PART = 2, 4, 4096
+#: Rows that are told to tasks rather than joined, at most.
+TOLD = 4_000_000
+#: What blocks send to ranges, and ranges to blocks.
+TO_RANGES = [("to", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary()), ("idx", pa.binary()), ("counts", pa.binary()), ("info", pa.binary())]
+TO_BLOCKS = [("block", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary()), ("idx", pa.binary()), ("ranks", pa.binary()), ("info", pa.binary())]
 
 
 def need(s, t, percent: int = PERCENT):
@@ -94,68 +102,147 @@ def set_name(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def frequent(docs: DataFrame, words: int = WORDS, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts share, with about how many: every partition of the corpus counts
-    all its shingles and passes on those it met three times or more; of the sums, the `most`
-    highest are collected. They only serve to order shingles; any order gives the same links."""
-
-    def count(batches):
-        held, n = [], 0
-        for (texts,) in rows_of(batches, "text"):
-            sets = [shingle_set(t, words) for t in texts]
-            held += sets
-            n += sum(map(len, sets))
-            if n > 2_000_000:
-                yield counted(held)
-                held, n = [], 0
-        if held:
-            yield counted(held)
-
-    def counted(held):
-        key = np.sort(np.concatenate(held))
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-        key, n = key[first], np.diff(np.append(first, len(key)))
-        some = n >= 3
-        return pa.record_batch({"h": pa.array(key[some].view(np.int64)), "n": pa.array(n[some].astype(np.int64))})
-
-    sums = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 8")
-    rows = sums.orderBy(F.desc("n"), "h").limit(most).collect()
-    key = np.array([r.h for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(key)
-    return key[order], np.minimum(31, np.log2(np.array([r.n for r in rows], float)))[order].astype(np.uint64)
-
-
-def described(docs: DataFrame, words: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n (set size), set (its name), and where a partition meets the set first: `front`,
-    its prefix as ordered keys (rare shingles first), and `small`, all of a small set."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-
-    def describe(batches):
-        seen = set()
-        keys, ranks = shared.value
-        lists = pa.list_(pa.int64())
+def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of so many equal ranges of hashes; sorted hashes lie in sorted ranges."""
+    return ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def spelled(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers starts[i], starts[i] + 1, ... (counts[i] of them) for every i."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+class Block:
+    """Sets of consecutive texts, up to BLOCK shingles, on their way to the ranges."""
+
+    def __init__(self):
+        self.ids, self.at, self.names, self.sets, self.index, self.size = [], [], [], [], {}, 0
+
+    def add(self, doc_id: int | None, s: np.ndarray) -> None:
+        name, at = None, -1
+        if len(s):
+            name = set_name(s)
+            at = self.index.get(name, -1)
+            if at < 0:
+                at = self.index[name] = len(self.sets)
+                self.names.append(name)
+                self.sets.append(s)
+                self.size += len(s)
+        self.ids.append(doc_id)
+        self.at.append(at)
+
+    @property
+    def full(self) -> bool:
+        return self.size >= BLOCK or len(self.sets) >= MANY or len(self.ids) >= 4 * MANY
+
+    def rows(self, ranges: int, salt: int) -> pa.RecordBatch:
+        """A row for each range that the block has shingles in, and one about the block. Of a
+        shingle that several sets of the block have, the range gets one entry and how many there
+        are, and the block's own row keeps which: so a shingle has an entry a block at most."""
+        h = np.concatenate([np.zeros(0, np.uint64), *self.sets]) >> np.uint64(64 - HASH_BITS)
+        sizes = np.array([len(x) for x in self.sets], np.int64)
+        idx = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16)
+        order = np.argsort(h, kind="stable")
+        h, idx = h[order], idx[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        n = np.diff(np.append(first, len(h)))
+        one, several = h[first], n > 1
+        who = np.where(several, np.uint16(MANY), idx[first] if len(idx) else idx)
+        inside = spelled(first[several], n[several])
+        ids = np.array([x or 0 for x in self.ids], np.int64)
+        info = packed(ids, np.array([x is None for x in self.ids], bool), narrow(np.array(self.at) + 1), np.array(self.names, np.int64), narrow(sizes), one[several], narrow(n[several]), idx[inside])
+        block = xxhash.xxh3_64_intdigest(info, salt) - (1 << 63)
+        cut = np.searchsorted(range_of(one, ranges), np.arange(ranges + 1))
+        some = np.flatnonzero(np.diff(cut))
+        out = {"to": [], "n": [], "hashes": [], "idx": [], "counts": []}
+        for r in some:
+            part = slice(cut[r], cut[r + 1])
+            out["to"].append(int(r))
+            out["n"].append(int(cut[r + 1] - cut[r]))
+            out["hashes"].append(steps(one[part]).tobytes())
+            out["idx"].append(who[part].tobytes())
+            out["counts"].append(n[part][several[part]].astype(np.uint32).tobytes())
+        out["to"].append(int(block % ranges))
+        for c, v in (("n", 0), ("hashes", None), ("idx", None), ("counts", None)):
+            out[c].append(v)
+        out |= {"block": [block] * len(out["to"]), "info": [None] * len(some) + [info]}
+        return pa.RecordBatch.from_pydict({c: out[c] for c, _ in TO_RANGES}, pa.schema(TO_RANGES))
+
+
+def shared_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n (set size), set (its name) and `keys` of every text: its shingles that another set
+    of the corpus has as well, rarest first. A text has keys where its block meets its set first,
+    and only if they are so many of its shingles that a set may be linked to it.
+
+    Blocks of the scan send their shingles, sorted and packed, to ranges of hashes, which count the
+    sets of each and send back those that several have; a key is the frequency class of a shingle
+    and then its hash, so all sets order their keys alike. What is sent grows with the corpus; a
+    row holds at least one shingle, however many ranges there are."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = int(max(4, size // RANGE_BYTES))
+
+    def gather(batches):
+        part, turn, block = TaskContext.get().partitionId(), 0, Block()
         for ids, texts in rows_of(batches, "doc_id", "text"):
-            sizes, names, fronts, smalls = [], [], [], []
-            for text in texts:
-                s = shingle_set(text, words)
-                name = set_name(s) if len(s) else None
-                new = name is not None and name not in seen
-                if new:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(name)
-                    order = s >> np.uint64(6)
-                    if len(keys):
-                        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                        order |= np.where(keys[at] == s, ranks[at], np.uint64(0)) << np.uint64(58)
-                    order.sort()
-                sizes.append(len(s))
-                names.append(name)
-                fronts.append(order[: prefix(len(s), percent)].view(np.int64) if new else None)
-                smalls.append(s.view(np.int64) if new and len(s) <= SMALL else None)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(fronts, lists), pa.array(smalls, lists)], names=["doc_id", "n", "set", "front", "small"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, "doc_id long, n long, set long, front array<long>, small array<long>")
+            for i, text in zip(ids, texts):
+                block.add(i, shingle_set(text, words))
+                if block.full:
+                    yield block.rows(ranges, part << 24 | turn)
+                    turn, block = turn + 1, Block()
+        if block.ids:
+            yield block.rows(ranges, part << 24 | turn)
+
+    def meet(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        told = [r for r in rows if r["info"] is not None]
+        rows = [r for r in rows if r["info"] is None]
+        out = [{"block": r["block"], "n": 0, "hashes": None, "idx": None, "ranks": None, "info": r["info"]} for r in told]
+        if rows:
+            h = [unsteps(np.frombuffer(r["hashes"], np.uint8), r["n"]) for r in rows]
+            ends = np.cumsum([len(x) for x in h])[:-1]
+            h, idx = np.concatenate(h), np.concatenate([np.frombuffer(r["idx"], np.uint16) for r in rows])
+            n = np.ones(len(h), np.int64)
+            n[idx == MANY] = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
+            order = np.argsort(h, kind="stable")
+            sorted_ = h[order]
+            run = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]]))
+            total = np.bincount(run, n[order])[run]
+            rank = np.zeros(len(h), np.uint8)
+            rank[order] = np.where(total > 1, np.minimum(63, 4 * np.log2(total)), 0)
+            for r, x, i, k in zip(rows, np.split(h, ends), np.split(idx, ends), np.split(rank, ends)):
+                some = k > 0
+                if some.any():
+                    out.append({"block": r["block"], "n": int(some.sum()), "hashes": steps(x[some]).tobytes(), "idx": i[some].tobytes(), "ranks": k[some].tobytes(), "info": None})
+        return pa.Table.from_pylist(out, pa.schema(TO_BLOCKS))
+
+    def settle(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        ids, none, at, names, sizes, many, times, inside = unpacked(next(r["info"] for r in rows if r["info"] is not None), 8)
+        rows = [r for r in rows if r["info"] is None]
+        at, sizes, times = at.astype(np.int64) - 1, sizes.astype(np.int64), times.astype(np.int64)
+        h = np.concatenate([np.zeros(0, np.uint64), *[unsteps(np.frombuffer(r["hashes"], np.uint8), r["n"]) for r in rows]])
+        idx = np.concatenate([np.zeros(0, np.uint16), *[np.frombuffer(r["idx"], np.uint16) for r in rows]]).astype(np.int64)
+        key = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(r["ranks"], np.uint8) for r in rows]]).astype(np.uint64) << np.uint64(HASH_BITS) | h
+        group_ = idx == MANY
+        which = np.searchsorted(many, h[group_])
+        own = inside[spelled((np.cumsum(times) - times)[which], times[which])]
+        key = np.concatenate([key[~group_], np.repeat(key[group_], times[which])])
+        idx = np.concatenate([idx[~group_], own.astype(np.int64)])
+        able = np.bincount(idx, minlength=len(sizes))[: len(sizes)] > sizes - prefix(sizes, percent)
+        use = able[idx] if len(idx) else np.zeros(0, bool)
+        key, idx = key[use], idx[use]
+        order = np.lexsort((key, idx))
+        parts = np.split(key[order].view(np.int64), np.searchsorted(idx[order], np.arange(1, len(sizes)))) if len(sizes) else []
+        lead = np.zeros(len(at), bool)
+        lead[np.unique(at, return_index=True)[1]] = True
+        keys = [parts[i] if i >= 0 and f and able[i] else None for i, f in zip(at, lead)]
+        columns = [pa.array(ids, mask=none), pa.array(np.append(sizes, 0)[at]), pa.array(np.append(names, 0)[at], mask=at < 0), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.table(columns, names=["doc_id", "n", "set", "keys"])
+
+    sent = docs.mapInArrow(gather, "to int, block long, n int, hashes binary, idx binary, counts binary, info binary")
+    met = sent.groupBy("to").applyInArrow(meet, "block long, n int, hashes binary, idx binary, ranks binary, info binary")
+    return met.groupBy("block").applyInArrow(settle, "doc_id long, n long, set long, keys array<long>")
 
 
 def boundary(counts: dict[int, int], percent: int) -> int:
@@ -173,196 +260,150 @@ def boundary(counts: dict[int, int], percent: int) -> int:
 
 
 def small_edges(sets: DataFrame, x: int, percent: int) -> DataFrame:
-    """Edges that join the linked sets of at most x elements: for each pair of sizes (s, t), a
-    set lists its subsets of need(s, t) elements; sets of sizes s and t with a subset in common
-    are linked, without any further check, so each joins the smallest of the other size."""
+    """Edges that join the linked sets (set, n, keys) of at most x elements: for each pair of sizes
+    (s, t), a set lists its subsets of need(s, t) elements, of its keys only, as others have no
+    other element of it; sets of sizes s and t with a subset in common are linked, without any
+    further check, so each joins the smallest of the other size."""
 
     def enumerate_(batches):
         for b in batches:
             out = []
-            for name, n, small in b.itertuples(index=False):
+            for name, n, keys in b.itertuples(index=False):
                 for t in range(1, x + 1):
                     c = need(n, t, percent)
                     if fits(n, t, percent) and c <= min(n, t):
-                        for sub in combinations(small, c):
+                        for sub in combinations(keys, c):
                             out.append((xxhash.xxh3_64_intdigest(np.array(sub, np.int64).tobytes()) - (1 << 63), min(n, t), max(n, t), n <= t, n >= t, name))
             yield pd.DataFrame(out, columns=["sub", "s", "t", "low", "high", "set"])
 
-    rows = sets.select("set", "n", "small").mapInPandas(enumerate_, "sub long, s long, t long, low boolean, high boolean, set long")
-    rows = materialize(rows, "subsets")
+    rows = sets.select("set", "n", "keys").mapInPandas(enumerate_, "sub long, s long, t long, low boolean, high boolean, set long")
     on = ["sub", "s", "t"]
     least = rows.groupBy(*on).agg(F.min(F.when(F.col("low"), F.col("set"))).alias("l"), F.min(F.when(F.col("high"), F.col("set"))).alias("h"), F.count("*").alias("m")).filter("m > 1")
     met = rows.join(least, on)
     return met.select(F.col("set").alias("a"), F.explode(F.array(F.when(F.col("high"), F.col("l")), F.when(F.col("low"), F.col("h")))).alias("b")).filter("b IS NOT NULL AND a != b").distinct()
 
 
-def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(shared: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that are linked, by the exact size of the intersection of their
-    whole shingle sets. Sets are made again from the texts of one document each; a bounded
-    filter spares the texts of other documents, and a join drops what it lets through."""
-    spark = docs.sparkSession
-    named = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    one = materialize(found.select("doc_id", "set").join(named, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id")), "named")
-    level = build_level(one.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("key")), 7, 12, FILTER_BITS)
-    shared = spark.sparkContext.broadcast(level)
-
-    def make(batches):
-        keep = shared.value
-        for ids, probes, texts in rows_of(batches, "doc_id", "h", "text"):
-            inside = keep.holds(np.array(probes, np.int64)) if keep else np.zeros(len(ids), bool)
-            sets = [shingle_set(t, words) for i, t, ok in zip(ids, texts, inside) if ok or i is None]
-            sets = [s for s in sets if len(s)]
-            yield pa.record_batch([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set", "items"])
-
-    made = docs.select(F.col("doc_id").cast("long"), level_hash(F.col("doc_id").cast("long"), 7).alias("h"), "text").mapInArrow(make, "set long, items array<long>")
-    sets = materialize(made.join(one.select("set"), "set").dropDuplicates(["set"]), "sets")
-    a, b = sets.select(F.col("set").alias("a"), F.col("items").alias("x")), sets.select(F.col("set").alias("b"), F.col("items").alias("y"))
+    whole sets: what two sets share are keys of both. A bounded filter spares the keys of other
+    sets, and the joins drop what it lets through."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    level = build_level(named, 7, 12, FILTER_BITS)
+    if level is None:
+        return pairs
+    sets = shared.filter("keys IS NOT NULL").filter(passes(level)(level_hash(F.col("set"), 7))).select("set", "n", "keys").dropDuplicates(["set"])
+    a, b = sets.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("keys").alias("x")), sets.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("y"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b")
-    shared_n = F.size(F.array_intersect("x", "y"))
-    linked = both.filter(shared_n * 100 >= (F.size("x") + F.size("y") - shared_n) * percent).select("a", "b")
-    out = materialize(linked, "links")
-    discard(sets, one)
-    return out
-
-
-def opened(entries: DataFrame, comps: DataFrame, percent: int, shares: DataFrame, first: bool) -> DataFrame:
-    """The entries of lists in which sets of different components still meet and may yet be linked:
-    comp, cross (the set's keys in such lists and in lists that are done with; at first, in any
-    list) and able. A set is able if its keys
-    leave room for a link, as the first side of a pair, to a set of some size that occurs in the
-    list; others stay while some able set of the list leaves room for their size."""
-    rows = entries.select("key", "set", "n", "w", "m").join(comps.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "n", "w", "m", F.coalesce("component", "set").alias("comp"))
-    whole = Window.partitionBy("key")
-    several = lambda r: r.withColumn("c0", F.min("comp").over(whole)).withColumn("c1", F.max("comp").over(whole)).filter("c0 != c1").drop("c0", "c1")
-    if first:
-        rows = several(rows.join(shares.select("set", F.col("shared").alias("cross")), "set"))
-    else:
-        mixed = materialize(several(rows), "mixed")
-        cross = mixed.groupBy("set").agg(F.count("*").alias("here")).join(shares, "set").select("set", (F.col("here") + F.col("done")).alias("cross"))
-        rows = mixed.join(cross, "set")
-    n = F.col("n")
-    least = F.ceil(n * percent / 100 - 1e-9)
-    most = F.floor((F.col("cross") + least - 1) * (100 + percent) / percent + 1e-9) - n
-    # From the largest size down: the last size met before a set's own least one is the smallest
-    # in the list that it could be linked to.
-    events = F.explode(F.array(F.struct(n.cast("long").alias("at"), n.alias("size")), F.struct(F.col("t0").alias("at"), F.lit(None).cast("int").alias("size"))))
-    down = whole.orderBy(F.desc("e.at"), F.col("e.size").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("t0", least).withColumn("t1", most).withColumn("e", events)
-    rows = rows.withColumn("low", F.last("e.size", ignorenulls=True).over(down)).filter("e.size IS NULL").withColumn("able", F.col("low") <= F.col("t1"))
-    able = lambda c: F.when(F.col("able"), F.col(c))
-    rows = rows.withColumn("u0", F.min(able("t0")).over(whole)).withColumn("u1", F.max(able("t1")).over(whole))
-    rows = rows.filter(F.col("able") | ((n >= F.col("u0")) & (n <= F.col("u1"))))
-    return materialize(rows.select("key", "set", "n", "w", "m", "comp", "cross", "able"), "open")
-
-
-def sided(rows: DataFrame, keys: str | None = None) -> DataFrame:
-    """Pairs (set, n, w) with o (set, n, w) as (a, na, b, nb). The first side, a, is the one whose
-    prefix ends first in the order of shingles: all its prefix shingles that b has as well lie in
-    b's prefix, so what they share is at most a's keys in shared lists and all beyond its prefix. With the name
-    of a column that both have, the first side's value comes along as sa."""
-    swap = (F.col("o.w") < F.col("w")) | ((F.col("o.w") == F.col("w")) & (F.col("o.set") < F.col("set")))
-    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return rows.select(pick("set", "o.set").alias("a"), pick("n", "o.n").alias("na"), pick("o.set", "set").alias("b"), pick("o.n", "n").alias("nb"), *([pick(keys, f"o.{keys}").alias("sa")] if keys else []))
-
-
-def roomy(percent: int) -> Column:
-    """Whether a pair can be linked, its first side having `sa` keys in lists with others."""
-    return F.col("sa") + F.ceil(F.col("na") * percent / 100 - 1e-9) - 1 >= need(F.col("na"), F.col("nb"), percent)
-
-
-def joined(docs, found, pairs, edges, comps, words, percent):
-    """Edges and components with the links among `pairs` added."""
-    if pairs.isEmpty():
-        return edges, comps
-    more = verified(docs, found, pairs, words, percent)
-    if more.isEmpty():
-        return edges, comps
-    edges = materialize(edges.unionByName(more), "edges")
-    return edges, components(edges)
+    common = F.size(F.array_intersect("x", "y"))
+    return materialize(both.filter(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b"), "links")
+
+
+def reachable(n, pos, n2, pos2, percent: int) -> Column:
+    """Whether sets of n and n2 elements whose first common element stands at pos and pos2 (from
+    0) can still share enough."""
+    return F.least(n - pos, n2 - pos2) >= need(n, n2, percent)
+
+
+def opened(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """The entries of lists in which sets of different components meet, with `comp`."""
+    rows = lists.join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
+    several = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("key")
+    return materialize(rows.join(several, "key"), "open")
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Group texts whose shingle sets have a Jaccard similarity of at least percent / 100:
     doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
-    Copies with one shingle set count as one set throughout. Small sets enumerate their
-    subsets; the others scan inverted lists, which hold a set under its prefix: its rarest
-    shingles, so many that linked sets must meet. The boundary is chosen by cost, and small sets
-    near it also lie in the lists. No list but the shortest is ever expanded into all its
-    pairs: at first each entry is checked against its neighbour by size and the list's pivot. Links so found
-    join sets into components, and only lists that still hold several components are gone through
-    again: in rounds with chance neighbours, and then for all pairs of different components whose
-    sizes and whose numbers of shared prefix shingles allow a link, at their first common key as far as it is among the first few of both. What is dropped on the way cannot be linked or is joined already, so
-    components are exact. Rows are spread by shingle; no key gathers a group's texts.
+    Copies with one shingle set count as one set throughout. Inverted lists are counted whole
+    first, so that of each set only the shingles that others have remain (its keys), and only of
+    sets that have enough of them. Small sets enumerate subsets of their keys; the others scan
+    inverted lists, which hold a set under its prefix: its rarest shingles, so many that linked
+    sets must meet there. The boundary is chosen by cost, and small sets near it also lie in the
+    lists. In a list, every set is compared with the list's pivot; links so found join sets into
+    components, and only lists that still hold several components are gone through again: in
+    rounds with chance neighbours, and then for all pairs of different components whose sizes and
+    whose places in both orders allow a link. What is dropped on the way cannot be linked or is
+    joined already, so components are exact. Rows are spread by shingle; no key gathers a group's
+    texts.
 
     Null and empty texts and texts of white space have empty sets and link with nothing; fewer
     than `words` words are one shingle; repeated rows and copies share a component; rows with a
     null doc_id are grouped but name no component, unless there is no other name; an empty table
-    gives no rows; other columns are not read. Texts are used whole.
+    gives no rows; other columns are not read. Texts are used whole. Shingles are told apart by
+    HASH_BITS bits and sets by 64.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    whole_rows = materialize(described(docs, words, percent, frequent(docs, words)), "described")
-    found = materialize(whole_rows.select("doc_id", "n", "set"), "found")
-    sets = whole_rows.filter("front IS NOT NULL")
-    tiny = materialize(sets.filter("small IS NOT NULL").select("set", "n", "small").dropDuplicates(["set"]), "tiny")
-    x = boundary({r.n: r.c for r in tiny.groupBy("n").agg(F.count("*").alias("c")).collect()}, percent)
-    edges = small_edges(tiny.filter(F.col("n") <= x), x, percent)
-
-    # Inverted lists: entries whose key at least two sets share.
-    entry = sets.filter((F.col("n") > x) | fits(F.col("n"), F.lit(x + 1), percent)).select("set", F.col("n").cast("int").alias("n"), F.element_at("front", -1).alias("w"), F.explode("front").alias("key"))
-    by_size = Window.partitionBy("key").orderBy("n", "set")
-    whole = Window.partitionBy("key")
-    entry = entry.withColumn("before", F.lag("set").over(by_size)).filter("before IS NULL OR before != set")
-    entry = entry.withColumn("m", F.count("*").over(whole)).filter("m > 1")
-    me = F.struct("set", "n", "w")
-    short = lambda k: F.when(F.col("m") <= WHOLE, F.lag(me, k).over(by_size))
-    others = {"o1": F.lag(me).over(by_size), **{f"o{k}": short(k) for k in range(2, WHOLE)}, "pivot": F.when(F.col("m") > WHOLE, F.min(me).over(whole))}
-    lists = materialize(entry.withColumns(others).select("key", "set", "n", "w", "m", *others), "lists")
-    discard(whole_rows)
-    shares = materialize(lists.groupBy("set").agg(F.count("*").alias("shared"), F.count(F.when(F.col("m") <= WHOLE, 1)).alias("done")), "shares")
-
-    def pruned(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(shares.select(F.col("set").alias("a"), F.col("shared").alias("sa")), "a")
-        return pairs.filter(roomy(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    ends = lists.select("set", "n", "w", F.explode(F.array(*others)).alias("o")).filter("o IS NOT NULL AND o.set != `set`")
-    ends = sided(ends).filter(fits(F.col("na"), F.col("nb"), percent)).distinct()
-    first = materialize(pruned(ends), "pairs")
-    edges = materialize(edges.unionByName(verified(docs, found, first, words, percent)), "edges")
-    comps = components(edges)
-
-    # Lists that still hold several components are gone through again: some rounds with chance
-    # neighbours, which join most of what can be joined, then every pair that is left.
-    tried, open_ = first, lists.filter(F.col("m") > WHOLE)
+    shared = materialize(shared_keys(docs, words, percent), "shared")
+    discard(docs)
+    sets = shared.filter("keys IS NOT NULL")
+    counts = sets.filter(F.col("n") <= SMALL).groupBy("n").agg(F.count_distinct("set").alias("c")).collect()
+    x = boundary({r.n: r.c for r in counts}, percent)
+    edges = materialize(small_edges(sets.filter(F.col("n") <= x).dropDuplicates(["set"]), x, percent), "edges") if x else None
+
+    # Inverted lists: an entry's place in its set's order, of n shingles, and the list's length
+    # and pivot. What no other set has comes first in the order.
+    lone = F.col("n") - F.size("keys")
+    least = F.ceil(F.col("n") * percent / 100 - 1e-9)
+    front = F.slice("keys", F.lit(1), (F.col("n") - least + 1 - lone).cast("int"))
+    entry = sets.filter((F.col("n") > x) | fits(F.col("n"), F.lit(x + 1), percent)).select("set", F.col("n").cast("int").alias("n"), lone.alias("lone"), F.element_at(front, -1).alias("w"), F.posexplode(front).alias("at", "key"))
+    entry = entry.select("key", "set", "n", "w", (F.col("lone") + F.col("at")).cast("int").alias("pos")).distinct()
+    pivot = F.min(F.struct(F.xxhash64("set").alias("h"), "set", "n", "pos")).alias("o")
+    whole = entry.groupBy("key").agg(F.count("*").alias("m"), pivot).filter("m > 1")
+    lists = materialize(entry.join(whole, "key"), "lists")
+
+    def allowed(o: str) -> Column:
+        return (F.col(f"{o}.set") != F.col("set")) & fits(F.col("n"), F.col(f"{o}.n"), percent) & reachable(F.col("n"), F.col("pos"), F.col(f"{o}.n"), F.col(f"{o}.pos"), percent)
+
+    def pair(a: str, b: str) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    def joined(pairs: DataFrame, edges: DataFrame | None, comps: DataFrame | None):
+        """Edges and components with the links among `pairs` added."""
+        links = verified(shared, pairs, percent)
+        more = links if edges is None else materialize(edges.unionByName(links), "edges")
+        if edges is not None:
+            discard(edges, links)
+        out = components(more)
+        if comps is not None:
+            discard(comps)
+        return more, out
+
+    tried = materialize(lists.filter(allowed("o")).select(*pair("set", "o.set")).distinct(), "pairs")
+    edges, comps = joined(tried, edges, None)
+    lists_ = lists.drop("o")
     for turn in range(TURNS):
-        open_ = opened(open_, comps, percent, shares, turn == 0)
-        by_chance = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "key", "set"), "set")
-        near = open_.withColumn("o", F.lag(F.struct("set", "n", "w", "comp", "cross")).over(by_chance)).filter("o.comp != comp")
-        near = sided(near, "cross")
-        near = near.filter(fits(F.col("na"), F.col("nb"), percent) & roomy(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(near.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = materialize(tried.unionByName(pairs), "tried")
-        edges, comps = joined(docs, found, pairs, edges, comps, words, percent)
-    open_ = opened(open_, comps, percent, shares, False)
-    # Sets of long lists carry their least keys, so that such a pair is met at its first key and
-    # only if both have enough in common; what fronts do not show counts as common.
+        open_ = opened(lists_, comps)
+        # Long lists are dealt into parts by chance, others each round.
+        near = Window.partitionBy("key", F.pmod(F.xxhash64(F.lit(turn), "set"), F.floor(F.col("m") / PART) + 1)).orderBy(F.xxhash64(F.lit(turn), "key", "set"), "set")
+        me = F.struct("set", "n", "pos", "comp")
+        rows = open_.withColumns({f"o{k}": F.lag(me, k).over(near) for k in range(1, NEAR + 1)})
+        rows = rows.select("set", "n", "pos", "comp", F.explode(F.array(*[f"o{k}" for k in range(1, NEAR + 1)])).alias("o")).filter("o IS NOT NULL AND o.comp != comp").filter(allowed("o"))
+        pairs = materialize(rows.select(*pair("set", "o.set")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(tried.unionByName(pairs), "tried")
+        edges, comps = joined(pairs, edges, comps)
+        discard(tried, pairs, open_)
+        tried = more
+    open_ = opened(lists_, comps)
+    discard(lists)
+    # Sets of long lists carry their first keys there, so that most pairs are met but once.
     front = open_.groupBy("set").agg(F.when(F.max("m") >= LONG, F.slice(F.sort_array(F.collect_list("key")), 1, FRONT)).alias("front"))
-    open_ = open_.join(front, "set")
-    x = open_.filter("able").select("key", F.col("set").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), F.col("comp").alias("ca"), F.col("cross").alias("sa"), F.col("front").alias("fa"))
-    y = open_.select(F.col("key").alias("k"), F.col("set").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"), F.col("comp").alias("cb"), F.col("front").alias("fb"))
-    once = (F.col("ca") != F.col("cb")) & ((F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b"))))
-    common = F.array_intersect("fa", "fb")
-    # A common key outside fb is above all of fb, so it is one of a's keys above the end of fb.
-    hidden = F.greatest(F.col("sa") - F.size("fa"), F.lit(0)) + F.when(F.size("fb") == FRONT, F.size(F.filter("fa", lambda k: k > F.element_at("fb", -1)))).otherwise(0)
-    enough = F.size(common) + hidden + F.ceil(F.col("na") * percent / 100 - 1e-9) - 1 >= need(F.col("na"), F.col("nb"), percent)
-    here = F.coalesce(F.array_min(common), F.col("key")) == F.col("key")
-    both = F.col("fa").isNull() | F.col("fb").isNull() | (enough & here)
-    met = x.join(y, (F.col("key") == F.col("k")) & once & fits(F.col("na"), F.col("nb"), percent) & roomy(percent) & both)
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    edges, comps = joined(docs, found, pairs, edges, comps, words, percent)
-
-    rooted = found.select("doc_id", "n", "set").join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("component", "set"))
+    rows = open_.join(front, "set")
+    x, y = (rows.select(F.col("key").alias(f"k{s}"), F.col("set").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", "w", "pos", "comp", "front")]) for s in "ab")
+    once = (F.col("compa") != F.col("compb")) & ((F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b"))))
+    common = F.array_intersect("fronta", "frontb")
+    here = F.coalesce(F.element_at(F.when(F.size(common) > 0, common), 1), F.col("ka")) == F.col("ka")
+    # The first side's prefix ends first, so what is common up to there lies in both prefixes.
+    whole = (F.size("fronta") < FRONT) & (F.size("frontb") < FRONT)
+    enough = ~whole | (F.size(common) + F.ceil(F.col("na") * percent / 100 - 1e-9) - 1 >= need(F.col("na"), F.col("nb"), percent))
+    can = once & fits(F.col("na"), F.col("nb"), percent) & reachable(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb"), percent)
+    met = x.join(y, (F.col("ka") == F.col("kb")) & can & (F.col("fronta").isNull() | F.col("frontb").isNull() | (here & enough)))
+    pairs = materialize(met.select(*pair("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    discard(tried, open_)
+    edges, comps = joined(pairs, edges, comps)
+    discard(pairs, edges)
+
+    rooted = shared.select("doc_id", "n", "set").join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("component", "set"))
     least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rooted.select("doc_id", "n", "root").join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -370,11 +411,44 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each group of linked texts the
-    row with the smallest doc_id stays (a null counts as largest; of equal ones the first row).
-    Texts without words are all kept."""
-    rows = docs.withColumn("row_of_join", F.monotonically_increasing_id())
-    groups = jaccard_join(rows.select(F.col("row_of_join").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("row_of_join"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_of_join")).alias("m")
-    best = groups.join(rows.select("row_of_join", "doc_id"), "row_of_join").groupBy("component_id").agg(first)
-    kept = best.select(F.col("m.row_of_join").alias("row_of_join"))
-    return rows.join(kept, "row_of_join", "left_semi").select(*docs.columns)
+    row with the smallest doc_id stays (a null counts as largest; of rows alike in doc_id and text
+    any one). Texts without words are all kept, but for such repeated rows; an empty table stays
+    empty. Rows are told apart by a 64-bit hash of both columns, not by their place, so the table
+    need not be read twice in one order.
+
+    The rows that go are looked up in a table that travels to the tasks as long as it has at most
+    TOLD rows, and by a join beyond. Texts are shuffled only in that join."""
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+    groups = jaccard_join(docs.select(row.alias("doc_id"), "text"), words, percent)
+    rows = docs.groupBy(row.alias("row")).agg(F.min("doc_id").alias("id"), F.count("*").alias("times"))
+    known = groups.groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n"))
+    named = known.join(rows, "row").withColumn("order", F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    best = named.groupBy("component").agg(F.min("order").alias("best"))
+    judged = named.join(best, "component").select("row", (F.col("best.row") == F.col("row")).alias("stays"), (F.col("times") > 1).alias("repeated"))
+    special = materialize(judged.filter("NOT stays OR repeated").select("row", "stays"), "special")
+    return dropped(docs, row, special)
+
+
+def dropped(docs: DataFrame, row: Column, special: DataFrame) -> DataFrame:
+    """docs without the rows that `special` (row, stays) names, but one each of those that stay."""
+    n = special.count()
+    if not n:
+        return docs
+    columns = docs.columns
+    if n <= TOLD:
+        table = special.sparkSession.sparkContext.broadcast(np.sort(np.array([r.row for r in special.select("row").toLocalIterator()], np.int64)))
+
+        @F.pandas_udf("boolean")
+        def told(h: pd.Series) -> pd.Series:
+            keys, h = table.value, h.to_numpy(np.int64)
+            return pd.Series(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h)
+
+        plain, others = docs.filter(~told(row)), docs.filter(told(row))
+    else:
+        named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("r"), row.alias("row")).join(special.select("row", F.lit(True).alias("named")), "row", "left")
+        plain, others = (named.filter(c).select("r.*") for c in ("named IS NULL", "named"))
+    again = special.filter("stays").select("row")
+    if again.isEmpty():
+        return plain
+    kept = others.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("r"), row.alias("row")).join(again, "row").groupBy("row").agg(F.first("r").alias("r")).select("r.*")
+    return plain.unionByName(kept)
