@@ -404,7 +404,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     discard(pairs, edges)
 
     rooted = shared.select("doc_id", "n", "set").join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("component", "set"))
-    least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written first: the join then deals plain rows of both sides, and a large group can be split.
+    least = materialize(rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
     out = rooted.select("doc_id", "n", "root").join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,14 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import rows_of
 
 TOKEN = regex.compile(r"[\p{L}\p{N}]+")
-#: The classifier is fitted on at most so many clean and toxic labelled rows, taken by hash.
-SAMPLE_CLEAN, SAMPLE_TOXIC = 4000, 1500
+#: The classifier is fitted on at most so many clean and toxic labelled rows, taken by hash, and
+#: so many bytes of their texts.
+SAMPLE_CLEAN, SAMPLE_TOXIC, SAMPLE_BYTES = 4000, 1500, 1 << 26
 PREFIXES = (4, 5, 6)
 
 
@@ -158,7 +161,8 @@ def fit_crf(sample: Sample, steps: int = 60, window: int = 24) -> Crf:
     """Fit the field on texts with document labels.
 
     Words get labels first: 1 for a word of a toxic text that has a marking feature, else 0.
-    Training sequences are windows around words with features, and as many others; weights
+    Training sequences are a text's windows with such words, and as many of its others, one at
+    least; weights
     climb the penalised log-likelihood, whose gradient is empirical minus expected counts from
     forward-backward run over all windows at once. A logistic curve over the log-odds of whole
     texts then turns marginals into scores.
@@ -172,7 +176,7 @@ def fit_crf(sample: Sample, steps: int = 60, window: int = 24) -> Crf:
     for ids, y in sample.docs:
         hot = np.unique(np.flatnonzero(marked[ids]) // window) * window
         cold = np.setdiff1d(np.arange(0, len(ids), window), hot)
-        for s in [*hot.tolist(), *rng.permutation(cold)[:1].tolist()]:
+        for s in [*hot.tolist(), *rng.permutation(cold)[: max(1, len(hot))].tolist()]:
             hits = [marks.get(i, []) for i in ids[s : s + window].tolist()]
             windows.append((hits, [int(bool(h) and y == 1) for h in hits]))
     if not windows or not names:
@@ -237,15 +241,26 @@ def fit_crf(sample: Sample, steps: int = 60, window: int = 24) -> Crf:
     return crf
 
 
-def train(docs: DataFrame, labels: DataFrame, clean: int = SAMPLE_CLEAN, toxic: int = SAMPLE_TOXIC) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, clean: int = SAMPLE_CLEAN, toxic: int = SAMPLE_TOXIC, most: int = SAMPLE_BYTES) -> Crf:
     """The field fitted on rows of docs (doc_id, text) with labels (doc_id, toxic) whose
     crc32(doc_id as text) mod 5 is not 0: at most `clean` and `toxic` of each label, those
-    with the smallest hashes of doc_id. That bounded sample is all that reaches the driver."""
+    with the smallest hashes of doc_id, as long as their texts come to at most `most` bytes.
+    Repeated rows of a doc_id count as one, with the least of their texts. One task fits that
+    bounded sample; only the field reaches the driver."""
     mine = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).select("doc_id", "toxic")
-    picked = [mine.filter(F.col("toxic") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y, most in ((0, clean), (1, toxic))]
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return fit_crf(Sample((r.text, r.toxic) for r in rows))
+    picked = [mine.filter(F.col("toxic") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, clean), (1, toxic))]
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # A global order, but of the sample's rows only.
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic"))
+    sample = rows.withColumn("so_far", so_far).filter(F.col("so_far") <= most).drop("so_far")
+
+    def fit(batches):
+        texts = [(i, y, t) for b in batches for i, y, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")))]
+        texts.sort(key=lambda r: (r[0], r[1], r[2] or ""))
+        yield pa.record_batch([pa.array([pickle.dumps(fit_crf(Sample((t, y) for _, y, t in texts)))], pa.binary())], names=["field"])
+
+    got = sample.coalesce(1).mapInArrow(fit, "field binary").collect()
+    return pickle.loads(got[0].field) if got else fit_crf(Sample(()))
 
 
 def toxicity_scores(docs: DataFrame, model: Crf, offsets: bool = True) -> DataFrame:
