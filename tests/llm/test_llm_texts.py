@@ -258,48 +258,163 @@ def test_marginals_against_enumeration():
     assert got[e != -1.0] == pytest.approx((one / total)[e != -1.0])
 
 
-def test_language_model_counts_and_mass(spark, tmp_path):
+def held(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+
+
+def written(spark, path, rows, schema="doc_id long, text string"):
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+@pytest.mark.parametrize("bucket", [6_000_000, 300])
+def test_language_model_counts(spark, tmp_path, bucket):
     rng = random.Random(4)
     vocabulary = [f"t{i}" for i in range(300)]
-    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(300)], k=rng.randint(0, 60)))) for i in range(400)]
-    rows += [(900, None), (901, ""), (902, LONG), (903, "Unseen WORDS only here"), (None, "t1 t2"), (3, rows[3][1])]
-    path = str(tmp_path / "d")
-    spark.createDataFrame([(d, t, 1.0) for d, t in rows], "doc_id long, text string, score double").repartition(3).write.parquet(path)
-    got = pitman_yor.lm_scores(spark.read.parquet(path), contexts=20).collect()
-    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(300)], k=rng.randint(0, 60))), 1.0) for i in range(400)]
+    rows += [(900, None, 1.0), (901, "", 1.0), (902, LONG, 1.0), (903, "Unseen WORDS only here", 1.0), (None, "t1 t2", 1.0), (3, rows[3][1], 1.0)]
+    got = pitman_yor.lm_scores(written(spark, tmp_path / "d", rows, "doc_id long, text string, score double"), bucket=bucket).collect()
     toks = lambda t: [w.lower() for w in words(t)] + [None]
-    c = Counter(w for d, t in rows if not held(d) for w in toks(t))
+    c = Counter(w for d, t, _ in rows if not held(d) for w in toks(t))
     n, v = sum(c.values()), len(c)
-    want = Counter((d, held(d), len(toks(t)), sum(c[w] > 0 for w in toks(t)), n) for d, t in rows)
+    want = Counter((d, held(d), len(toks(t)), sum(c[w] > 0 for w in toks(t)), n) for d, t, _ in rows)
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == want
-    by_id = {d: t for d, t in rows}
+    by_id = {d: t for d, t, _ in rows}
     for r in got:
         base = sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in toks(by_id[r.doc_id]))
         assert r.base_score == pytest.approx(base)
         assert r.score < 0
-    out = [r for r in got if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
 def test_every_word_is_a_context(spark, tmp_path):
-    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
     rows = [(d, f"a{d % 400} b{d % 400}") for d in range(8000)]
-    path = str(tmp_path / "pairs")
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
-    got = {r.doc_id: r.score - r.base_score for r in pitman_yor.lm_scores(spark.read.parquet(path)).collect() if held(r.doc_id)}
+    got = {r.doc_id: r.score - r.base_score for r in pitman_yor.lm_scores(written(spark, tmp_path / "d", rows)).collect() if held(r.doc_id)}
     # b, one token in 1200, is all but certain after its a; a list of the 256 commonest misses most of them
     assert len(got) > 500 and min(got.values()) > 3
 
 
+def markov(seed, texts=400, length=30):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(150)]
+    after = {w: rng.sample(vocabulary, 6) for w in [None, *vocabulary]}
+    rows = []
+    for d in range(texts):
+        text, w = [], None
+        for _ in range(rng.randint(length // 2, length)):
+            w = rng.choices(after[w], [9, 5, 3, 2, 1, 1])[0] if rng.random() < 0.8 else rng.choice(vocabulary)
+            text.append(w)
+        rows.append((d, " ".join(text)))
+    return rows, rng
+
+
+def test_scores_tell_junk_from_shuffled_and_real_texts(spark, tmp_path):
+    rows, rng = markov(1)
+    ids = [d for d in range(10_000, 11_000) if held(d)]
+    known = next(t for d, t in rows if not held(d))
+    mixed = words(known)
+    rng.shuffle(mixed)
+    junk = " ".join("".join(rng.choices("qxzjkvw", k=6)) for _ in mixed)
+    got = {r.doc_id: r for r in pitman_yor.lm_scores(written(spark, tmp_path / "d", [*rows, (ids[0], junk), (ids[1], " ".join(mixed)), (ids[2], known)])).collect()}
+    assert got[ids[0]].score < got[ids[1]].score < got[ids[2]].score
+    assert got[ids[0]].score < got[ids[0]].base_score
+    rate = lambda which: -sum(got[d].score for d, _ in rows if held(d) == which) / sum(got[d].n_tokens for d, _ in rows if held(d) == which)
+    assert rate(True) > rate(False)
+    assert rate(True) < -sum(got[d].base_score for d, _ in rows if held(d)) / sum(got[d].n_tokens for d, _ in rows if held(d))
+
+
+def plain_scores(rows, sweeps=12, keep=6):
+    """The same model seated customer by customer, with every table kept."""
+    rng = random.Random(0)
+    toks = {d: [None if w is None else w.encode() for w in [*words(t), None]] for d, t in rows}
+    pairs = {d: list(zip([None, *ts[:-1]], ts)) for d, ts in toks.items()}
+    train = [p for d, ps in pairs.items() if not held(d) for p in ps]
+    letters = pitman_yor.letters_of(np.bincount(pitman_yor.letter_pairs([t for _, t in rows]), minlength=257 * 257))
+    table = pitman_yor.Words()
+    for d in toks:
+        for w in toks[d]:
+            table[w or b""]  # noqa: B018
+    base = dict(zip(table, 10.0 ** (-table.spelled(letters).astype(float) / pitman_yor.PARTS)))
+    base[None] = base[b""]
+    count = Counter(train)
+    kinds = Counter(w for _, w in count)
+    d1, d0 = (pitman_yor.discount(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())) for c in (count, kinds))
+    theta, seats, root = pitman_yor.THETA, {p: [n] for p, n in count.items()}, {w: [n] for w, n in kinds.items()}
+    c, t = Counter(u for u, _ in train), Counter(u for u, _ in count)
+
+    def parent(w):
+        own = root.get(w, [])
+        return (max(sum(own) - d0 * len(own), 0) + (theta + d0 * totals[1]) * base[w]) / (theta + totals[0])
+
+    def p(u, w):
+        own = seats.get((u, w), [])
+        return (max(sum(own) - d1 * len(own), 0) + (theta + d1 * t[u]) * parent(w)) / (theta + c[u])
+
+    def up(own):
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if not own[k]:
+            del own[k]
+            return True
+        return False
+
+    def down(own, d, new):
+        k = rng.choices(range(len(own) + 1), [*[n - d for n in own], new])[0]
+        if k == len(own):
+            own.append(1)
+            return True
+        own[k] += 1
+        return False
+
+    totals = [sum(kinds.values()), len(kinds)]
+    mean = Counter()
+    for sweep in range(sweeps + keep):
+        for u, w in train:
+            c[u] -= 1
+            if up(seats[u, w]):
+                t[u] -= 1
+                totals[0] -= 1
+                totals[1] -= up(root[w])
+            if down(seats[u, w], d1, (theta + d1 * t[u]) * parent(w)):
+                t[u] += 1
+                totals[1] += down(root[w], d0, (theta + d0 * totals[1]) * base[w])
+                totals[0] += 1
+            c[u] += 1
+        if sweep >= sweeps:
+            for q in {q for ps in pairs.values() for q in ps}:
+                mean[q] += p(*q) / keep
+    return {d: sum(np.log10(mean[q]) for q in ps) for d, ps in pairs.items()}
+
+
+@pytest.mark.parametrize("bucket", [6_000_000, 800])
+def test_scores_against_seating_one_by_one(spark, tmp_path, bucket):
+    rows, _ = markov(2, texts=250)
+    want = plain_scores(rows)
+    got = {r.doc_id: r.score for r in pitman_yor.lm_scores(written(spark, tmp_path / "d", rows), bucket=bucket).collect()}
+    for which in (True, False):
+        ids = [d for d in want if held(d) == which]
+        assert sum(got[d] for d in ids) == pytest.approx(sum(want[d] for d in ids), rel=0.01)
+        assert np.corrcoef([got[d] for d in ids], [want[d] for d in ids])[0, 1] > 0.995
+
+
 def test_predictions_sum_to_one():
-    own = np.array([5, 3, 1, 7])
-    m = pitman_yor.Model(np.array([1, 2], np.uint64), 40, 4, 1, 1, 3, 1, np.array([10, 14]), np.array([[3, 5]]))
-    own[3] = m.root_customers(0) - 9
-    p = m.root(own, 0)
-    assert p.sum() + m.root(np.array([0]), 0)[0] == pytest.approx(1)
+    m = pitman_yor.Model(0.7, 0.4, [20], [5], np.zeros(0), np.zeros((1, 0)))
+    own, tables, cost = np.array([9, 6, 4, 1]), np.array([2, 1, 1, 1]), np.array([110, 130, 90, 250])
+    p = m.root(own, tables, cost, 0)
+    rest = (m.theta + m.d0 * 5) / (m.theta + 20) * (1 - (10.0 ** (-cost / pitman_yor.PARTS)).sum())
+    assert p.sum() + rest == pytest.approx(1)
     c, t = np.array([4, 0, 6, 0]), np.array([1, 0, 2, 0])
-    pair = np.maximum(c - m.d1 * t, 0) / (m.theta1 + 10) + (m.theta1 + m.d1 * 3) / (m.theta1 + 10) * p
-    assert pair.sum() + (m.theta1 + m.d1 * 3) / (m.theta1 + 10) * m.root(np.array([0]), 0)[0] == pytest.approx(1)
+    assert m.word(c, t, 10, 3, p).sum() + m.word(0, 0, 10, 3, rest) == pytest.approx(1)
+
+
+def test_base_is_a_distribution_over_words():
+    letters = pitman_yor.letters_of(np.bincount(pitman_yor.letter_pairs(["Some words, of SOME text", None, "\u00e9t\u00e9 \t x"]), minlength=257 * 257))
+    assert (10.0**-letters).sum(1) == pytest.approx(np.ones(257))
+    table = pitman_yor.Words()
+    for w in (b"some", b"zzzz", b"\xc3\xa9t\xc3\xa9"):
+        table[w]  # noqa: B018
+    want = [letters[256, 256], *[sum(letters[a, b] for a, b in zip([256, *w], [*w, 256])) for w in list(table)[1:]]]
+    got = table.spelled(letters) / pitman_yor.PARTS
+    assert (got >= np.array(want) - 1e-6).all() and (got < np.array(want) + 0.011).all()
 
 
 def test_seating_has_the_right_mean():

@@ -2,193 +2,191 @@
 
 from __future__ import annotations
 
-import io
-import math
-import zlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, materialize, rows_of, words_of
-
-#: Parameters: sweeps before samples are kept; samples whose predictions are averaged; rows of a
-#: block; bytes of a bucket's words.
-BURN_IN, SAMPLES, BLOCK_BITS, BUCKET_WORDS = 3, 3, 13, 400_000
-#: The end of a text is a token of its own; no word hashes to it but by a 64-bit collision.
-END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end of text\x00"))
-
-
-def tokens_of(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Hashes of a text's words and of its end."""
-    return np.append(hashes.of(words_of(text)), END)
-
-
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; small integers take little room."""
-    raw = io.BytesIO()
-    for a in arrays:
-        np.save(raw, a, allow_pickle=False)
-    return zlib.compress(raw.getvalue(), 1)
-
-
-def unpacked(raw: bytes, n: int) -> list[np.ndarray]:
-    f = io.BytesIO(zlib.decompress(raw))
-    return [np.load(f, allow_pickle=False) for _ in range(n)]
-
-
-def least_kind(a: np.ndarray) -> np.ndarray:
-    top = int(a.max(initial=0))
-    return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
-def blocked(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with `block`: so many consecutive rows of one partition of the scan.
-    Reading the same table again deals the same blocks, which scoring checks."""
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
-    at = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held).withColumn("block", at)
-
-
-def contexts_of(docs: DataFrame, most: int) -> np.ndarray:
-    """The commonest training tokens: every partition passes on the tokens that make up at least
-    one of 20,000 of its own; the `most` with the highest sums are collected."""
-
-    def count(batches):
-        hashes, held = WordHashes(), []
-        for flags, texts in rows_of(batches, "held_out", "text"):
-            held += [tokens_of(t, hashes) for t, h in zip(texts, flags) if not h]
-            if sum(map(len, held)) > 4_000_000:
-                yield counted(held)
-                held = []
-        if held:
-            yield counted(held)
-
-    def counted(held):
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        some = n * 20_000 >= n.sum()
-        return pa.record_batch({"w": pa.array(key[some].view(np.int64)), "n": pa.array(n[some].astype(np.int64))})
-
-    sums = docs.select("held_out", "text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    rows = sums.orderBy(F.desc("n"), "w").limit(most).collect()
-    return np.sort(np.array([r.w for r in rows], np.int64).view(np.uint64))
-
-
-def pairs_of(tokens: list[np.ndarray], contexts: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """Of consecutive texts: the distinct words, and where each token stands in them; the distinct
-    pairs, as word * len(words) + word before, and where they stand for the tokens that have one.
-    Before a text's first token stands the end of another; with `contexts`, other words before
-    make no pair."""
-    words, at = np.unique(np.concatenate(tokens), return_inverse=True)
-    head = np.concatenate([[np.searchsorted(words, END)], at[:-1]])
-    inside = np.ones(len(at), bool) if contexts is None else np.isin(words, contexts)[head]
-    pairs, pat = np.unique(at[inside] * len(words) + head[inside], return_inverse=True)
-    return words, at, pairs, pat, inside
-
-
-def gathered(docs: DataFrame, contexts: np.ndarray | None, buckets: int) -> DataFrame:
-    """What each block holds, dealt to buckets of word hashes: a row (bucket, block, words, pairs)
-    with the block's distinct words, their training counts, and its distinct pairs (word before,
-    word) with theirs. Everything is counted inside a block before the shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(contexts)
-
-    def rows(block, tokens, trains):
-        train = np.repeat(np.array(trains), [len(x) for x in tokens])
-        words, at, pairs, pat, inside = pairs_of(tokens, shared.value)
-        n = np.bincount(at, train, len(words)).astype(np.int64)
-        pn = np.bincount(pat, train[inside], len(pairs)).astype(np.int64)
-        pw, pu = pairs // len(words), pairs % len(words)
-        cut = bucket_of(words, buckets)
-        for b in np.unique(cut):
-            lo, hi = np.searchsorted(cut, [b, b + 1])
-            p, q = np.searchsorted(pw, [lo, hi])
-            heads, hat = np.unique(pu[p:q], return_inverse=True)
-            each = np.bincount(pw[p:q] - lo, minlength=hi - lo)
-            yield int(b), block, packed(words[lo:hi], least_kind(n[lo:hi])), packed(words[heads], least_kind(hat), least_kind(each), least_kind(pn[p:q]))
-
-    def gather(batches):
-        hashes, now, tokens, trains = WordHashes(), None, [], []
-        for blocks, flags, texts in rows_of(batches, "block", "held_out", "text"):
-            for block, held, text in zip(blocks, flags, texts):
-                if block != now and tokens:
-                    yield from as_batch(rows(now, tokens, trains))
-                    tokens, trains = [], []
-                now = block
-                tokens.append(tokens_of(text, hashes))
-                trains.append(not held)
-        if tokens:
-            yield from as_batch(rows(now, tokens, trains))
-
-    def as_batch(made):
-        for b, block, words, pairs in made:
-            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([words], pa.binary()), pa.array([pairs], pa.binary())], names=["bucket", "block", "words", "pairs"])
-
-    return docs.select("block", "held_out", "text").mapInArrow(gather, "bucket int, block long, words binary, pairs binary")
-
-
-def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a word: ranges of its hash, so sorted words lie in sorted buckets."""
-    return ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-class Bucket:
-    """All of the corpus's words in one bucket and the words before them (heads), merged over
-    blocks, and where each block's words and pairs stand in it."""
-
-    def __init__(self, blocks: list[int], words: list[bytes], pairs: list[bytes]):
-        own, two = [unpacked(d, 2) for d in words], [unpacked(d, 4) for d in pairs]
-        self.words, at = np.unique(np.concatenate([p[0] for p in own]), return_inverse=True)
-        self.n = np.bincount(at, np.concatenate([p[1] for p in own]), len(self.words)).astype(np.int64)
-        self.at = split(at, [len(p[0]) for p in own])
-        self.heads, hat = np.unique(np.concatenate([p[0] for p in two]), return_inverse=True)
-        k = max(1, len(self.heads))
-        keys = [np.repeat(a, p[2]) * k + h[p[1]] for a, h, p in zip(self.at, split(hat, [len(p[0]) for p in two]), two)]
-        both, pat = np.unique(np.concatenate(keys), return_inverse=True)
-        self.c = np.bincount(pat, np.concatenate([p[3] for p in two]), len(both)).astype(np.int64)
-        self.pat = split(pat, [len(x) for x in keys])
-        self.w, self.u = both // k, both % k
-        self.blocks = blocks
-
-    def dealt(self, groups: int, tables: list[np.ndarray]):
-        """The tables that this bucket adds to each head's restaurant, a row (group of hashes, data,
-        sums) for each group, one array a sample."""
-        sums = [np.bincount(self.u, t, len(self.heads)).astype(np.int64) for t in tables]
-        cut = bucket_of(self.heads, groups)
-        for g in np.unique(cut):
-            lo, hi = np.searchsorted(cut, [g, g + 1])
-            yield int(g), packed(self.heads[lo:hi], *[least_kind(x[lo:hi]) for x in sums]), [int(x[lo:hi].sum()) for x in sums]
-
-
-def split(a: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    return np.split(a, np.cumsum(sizes)[:-1])
-
-
-def added(data: list[bytes], samples: int) -> tuple[list[np.ndarray], ...]:
-    """Sums of what buckets dealt to one group: its heads, the place of each bucket's heads among
-    them, and the tables of each head, one array a sample."""
-    parts = [unpacked(d, 1 + samples) for d in data]
-    heads, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    sums = [np.bincount(at, np.concatenate([p[1 + s] for p in parts]), len(heads)).astype(np.int64) for s in range(samples)]
-    return heads, split(at, [len(p[0]) for p in parts]), sums
-
-
-def answered(dealt: DataFrame) -> DataFrame:
-    """dealt (to, bucket, data) summed over buckets; each bucket gets back the tables of the heads
-    it sent: (bucket, part, reply)."""
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        _, at, (n,) = added(group["data"].tolist(), 1)
-        return pd.DataFrame({"bucket": group["bucket"], "part": group["to"], "reply": [packed(least_kind(n[x])) for x in at]})
-
-    return dealt.groupBy("to").applyInPandas(add, "bucket int, part int, reply binary")
-
-
-def tables_in(told: pd.DataFrame) -> np.ndarray:
-    """Tables of a bucket's heads, in their order, from the replies of all groups."""
-    return np.concatenate([np.zeros(0, np.int64), *[unpacked(d, 1)[0] for d in told.sort_values("part")["reply"]]]).astype(np.int64)
+from .common import discard, materialize, narrow, packed, rows_of, steps, unpacked, unsteps, words_of
+
+#: Parameters: sweeps before samples are kept; samples whose predictions are averaged.
+BURN_IN, SAMPLES = 3, 3
+#: Tokens and texts of a block; tokens that a bucket of contexts stands for.
+BLOCK, MANY, BUCKET = 3_000_000, 65_000, 6_000_000
+#: Strength of the restaurants, and of the root.
+THETA = 1.0
+#: Bits of a word's hash. Base probabilities are kept in so many parts of a power of ten.
+HASH_BITS, PARTS = 57, 100
+#: One text in so many is looked at to find contexts so common that they are dealt by word as well.
+LOOK = 64
+END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end of text\x00") >> (64 - HASH_BITS))
+#: What stands between words, for the base; and the letters that bytes count as.
+GAP = 256
+LETTERS = np.array([GAP if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256)])
+
+
+class Words(dict):
+    """The different words of a block, numbered as they come; 0 is the end of a text."""
+
+    def __init__(self):
+        super().__init__({b"": 0})
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def hashes(self) -> np.ndarray:
+        out = np.fromiter((xxhash.xxh3_64_intdigest(w) >> (64 - HASH_BITS) for w in self), np.uint64, len(self))
+        out[0] = END
+        return out
+
+    def spelled(self, letters: np.ndarray) -> np.ndarray:
+        """-log10 of each word's probability under the base: its bytes and then its end, each drawn
+        by the one before from `letters`, in PARTS of a power of ten, rounded up."""
+        size = np.fromiter(map(len, self), np.int64, len(self))
+        line = np.full(size.sum() + len(size) + 1, GAP)
+        ends = np.cumsum(size + 1)
+        inside = np.ones(len(line), bool)
+        inside[0] = inside[ends] = False
+        line[inside] = np.frombuffer(b"".join(self), np.uint8)
+        cost = np.concatenate([[0.0], np.cumsum(letters[line[:-1], line[1:]])])
+        return np.minimum(65535, np.ceil((cost[ends] - cost[ends - size - 1]) * PARTS - 1e-6)).astype(np.uint16)
+
+
+def letter_pairs(texts: list[str | None]) -> np.ndarray:
+    """Which letters (bytes, capitals as small ones, white space as GAP) follow which in texts, as
+    numbers 257 * first + second."""
+    raw = b" " + b" ".join((t or "").encode("utf-8", "surrogatepass") for t in texts) + b" "
+    line = LETTERS[np.frombuffer(raw, np.uint8)]
+    return line[:-1] * (GAP + 1) + line[1:]
+
+
+def letters_of(pairs: np.ndarray) -> np.ndarray:
+    """-log10 probabilities of a letter after another, from how often each pair occurs; every pair
+    counts once more."""
+    n = pairs.reshape(GAP + 1, GAP + 1) + 1.0
+    return -np.log10(n / n.sum(1, keepdims=True))
+
+
+def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of so many equal ranges of hashes; sorted hashes lie in sorted ranges."""
+    return ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def within(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each hash stands among the sorted known ones, or -1."""
+    at = np.searchsorted(known, h)
+    return np.where((at < len(known)) & (np.append(known, 0)[at] == h), at, -1)
+
+
+class Block:
+    """Consecutive texts as numbers of words, on their way to the buckets."""
+
+    def __init__(self):
+        self.words, self.tokens, self.ids, self.held, self.size = Words(), [], [], [], 0
+
+    def add(self, doc_id: int | None, held: bool, text: str | None) -> None:
+        words = words_of(text)
+        self.tokens.append(np.fromiter(map(self.words.__getitem__, [*words, b""]), np.int32, len(words) + 1))
+        self.ids.append(doc_id)
+        self.held.append(held)
+        self.size += len(words) + 1
+
+    @property
+    def full(self) -> bool:
+        return self.size >= BLOCK or len(self.ids) >= MANY
+
+    def rows(self, facts: Facts, salt: int, texts: bool) -> pa.RecordBatch:
+        """A row for each bucket that the block has contexts in: its pairs of a context (the word
+        before; the end, before a text's first) and a word, and either how often each occurs in
+        training and what the words' base costs are, or which texts each occurs in."""
+        h = self.words.hashes()
+        order = np.argsort(h)
+        rank = np.empty(len(h), np.int64)
+        rank[order] = np.arange(len(h))
+        costs = self.words.spelled(facts.letters)[order]
+        h = h[order]
+        w = rank[np.concatenate(self.tokens)]
+        u = np.concatenate([rank[:1], w[:-1]])
+        size = np.array([len(t) for t in self.tokens])
+        doc = np.repeat(np.arange(len(size)), size).astype(np.uint16)
+        train = ~np.array(self.held)
+        home = range_of(h, facts.buckets)
+        bucket = home[u]
+        if len(facts.heavy):
+            spread = (within(h, facts.heavy) >= 0)[u]
+            bucket[spread] = dealt(h[u[spread]], h[w[spread]], facts.buckets)
+        key = (bucket * len(h) + u) * len(h) + w
+        order = np.argsort(key, kind="stable")
+        key, u, w, doc, bucket = (x[order] for x in (key, u, w, doc, bucket))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(first, len(key)))
+        learned = np.add.reduceat(train[doc].astype(np.int64), first)
+        u, w, bucket = u[first], w[first], bucket[first]
+        info = packed(np.array([x or 0 for x in self.ids], np.int64), np.array([x is None for x in self.ids], bool), ~train, narrow(size)) if texts else b""
+        block = xxhash.xxh3_64_intdigest(h.tobytes(), salt) - (1 << 63)
+        out = {c: [] for c, _ in TO_BUCKETS}
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            heads, each = np.unique(u[lo:hi], return_counts=True)
+            own, at = np.unique(w[lo:hi], return_inverse=True)
+            parts = [steps(h[heads]), narrow(each), steps(h[own]), narrow(at)]
+            if texts:
+                inside = doc[first[lo] : first[hi] if hi < len(first) else len(doc)]
+                parts += [narrow(n[lo:hi]), inside, np.packbits(train)]
+            else:
+                parts += [narrow(learned[lo:hi]), costs[own]]
+            out["bucket"].append(int(bucket[lo]))
+            out["data"].append(packed(*parts))
+            out["info"].append(None)
+        if texts:
+            out["bucket"].append(int(block % facts.buckets))
+            out["data"].append(None)
+            out["info"].append(info)
+        out["block"] = [block] * len(out["bucket"])
+        return pa.RecordBatch.from_pydict(out, pa.schema(TO_BUCKETS))
+
+
+TO_BUCKETS = [("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("info", pa.binary())]
+NOTES = [("kind", pa.int32()), ("bucket", pa.int32()), ("to", pa.int32()), ("data", pa.binary()), ("nums", pa.list_(pa.int64()))]
+NOTE = "kind int, bucket int, to int, data binary, nums array<long>"
+#: Kinds of notes: about a bucket's pairs, its words, a heavy context, totals.
+PAIRS, WORDS, HEAVY, TOTALS = range(4)
+
+
+def dealt(u: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """The buckets of pairs whose context is too common to lie in one."""
+    x = u * np.uint64(0x9E3779B97F4A7C15) ^ w * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+class Facts:
+    """What all tasks know before they start: numbers of buckets and of groups of words, the base,
+    heavy contexts."""
+
+    def __init__(self, buckets: int, letters: np.ndarray, heavy: np.ndarray):
+        self.buckets, self.groups = buckets, max(1, buckets // 2)
+        self.letters, self.heavy = letters, heavy
+
+
+class Merged:
+    """The pairs of one bucket, merged over blocks and sorted by hashes: contexts and words, and
+    for each pair the places of both. `at` has, for each row, where its pairs stand."""
+
+    def __init__(self, rows: list[list[np.ndarray]]):
+        heads = [unsteps(r[0], len(r[1])) for r in rows]
+        n_words = [(int(r[3].max()) + 1) if len(r[3]) else 0 for r in rows]
+        own = [unsteps(r[2], n) for r, n in zip(rows, n_words)]
+        self.u, ui = np.unique(np.concatenate(heads), return_inverse=True)
+        self.w, self.word_at = np.unique(np.concatenate(own), return_inverse=True)
+        up, wp = np.concatenate([[0], np.cumsum([len(x) for x in heads])]), np.concatenate([[0], np.cumsum(n_words)])
+        keys = [np.repeat(ui[a:b], r[1]) * len(self.w) + self.word_at[c + r[3].astype(np.int64)] for r, a, b, c in zip(rows, up, up[1:], wp)]
+        both, at = np.unique(np.concatenate(keys), return_inverse=True)
+        self.pu, self.pw = both // len(self.w), both % len(self.w)
+        self.at = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
 
 
 def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -216,170 +214,302 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np
 
 
 class Model:
-    """Totals that all tasks need: the discount and strength of each level, customers of the root.
-    Of customers and tables of the contexts only the sums count here."""
-
-    def __init__(self, contexts: np.ndarray | None, tokens: int, words: int, ones: int, twos: int, pair_ones: int, pair_twos: int, customers: np.ndarray, tables: np.ndarray):
-        self.contexts, self.tokens, self.words = contexts, tokens, words
-        self.d0, self.d1 = (min(0.95, max(0.05, one / max(1, one + 2 * two))) for one, two in ((ones, twos), (pair_ones, pair_twos)))
-        self.theta0 = self.theta1 = 1.0
-        self.customers, self.tables = customers.astype(float), tables.astype(float)  # tables: a row a sample
-
-    def root_customers(self, s: int) -> float:
-        return self.tokens - self.customers.sum() + self.tables[s].sum()
-
-    def root(self, own: np.ndarray, s: int) -> np.ndarray:
-        """Of a word with `own` customers at the root, whose base is without atoms: there each
-        word has one table. Words without customers share the mass of new tables."""
-        total = self.theta0 + self.root_customers(s)
-        return np.where(own > 0, (own - self.d0) / total, (self.theta0 + self.d0 * self.words) / total)
-
-    def back_off(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        return (self.theta1 + self.d1 * tables) / (self.theta1 + customers)
-
-
-def sweeps(b: Bucket, m: Model, tables: np.ndarray, rng: np.random.Generator, burn_in: int, samples: int):
-    """Gibbs over one bucket, block by block: given everything else, the customers of each pair
-    (context, word) get up and sit down again, then the word's customers at the root follow from
-    the tables. Totals over words, such as `tables` of each head, are the last round's. Yields the
-    tables of each sample."""
-    direct = b.n - np.bincount(b.w, b.c, len(b.n)).astype(np.int64)
-    t = (b.c > 0).astype(np.int64)
-    for i in range(burn_in + samples):
-        own = direct + np.bincount(b.w, t, len(b.n)).astype(np.int64)
-        p = m.root(own, 0)
-        a = (m.theta1 + m.d1 * tables[b.u]) * p[b.w]
-        t = seat(b.c, a, m.d1, rng)
-        if i >= burn_in:
-            yield t, direct + np.bincount(b.w, t, len(b.n)).astype(np.int64)
-
-
-def lm_scores(docs: DataFrame, contexts: int | None = None, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 0) -> DataFrame:
+    """Totals that all tasks need. `customers` and `tables`: of the root, one for each sample.
+    `heavy_c` and `heavy_t`: customers and tables (a row a sample) of the heavy contexts."""
+
+    def __init__(self, d0: float, d1: float, customers, tables, heavy_c: np.ndarray, heavy_t: np.ndarray, theta: float = THETA):
+        self.d0, self.d1, self.theta = d0, d1, theta
+        self.customers, self.tables = np.array(customers, float), np.array(tables, float)
+        self.heavy_c, self.heavy_t = heavy_c, heavy_t
+
+    def root(self, customers: np.ndarray, tables: np.ndarray, cost: np.ndarray, s: int, more: float = 0.0) -> np.ndarray:
+        """The root's probability of words with so many customers and tables there."""
+        total = self.theta + self.customers[s] + more
+        return np.maximum(customers - self.d0 * tables, 0) / total + (self.theta + self.d0 * self.tables[s]) / total * 10.0 ** (-cost.astype(float) / PARTS)
+
+    def word(self, c, t, total_c, total_t, parent):
+        """A restaurant's probability of a dish, whose parent gives it `parent`."""
+        return (np.maximum(c - self.d1 * t, 0) + (self.theta + self.d1 * total_t) * parent) / (self.theta + total_c)
+
+
+def discount(ones: int, twos: int) -> float:
+    return min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
+
+
+def table(rows: list[dict], schema: list) -> pa.Table:
+    return pa.Table.from_pylist(rows, pa.schema(schema))
+
+
+def note(kind: int, bucket: int = -1, to: int = -1, data: bytes | None = None, nums=()) -> dict:
+    return {"kind": kind, "bucket": bucket, "to": to, "data": data, "nums": [int(x) for x in nums]}
+
+
+def grouped(h: np.ndarray, groups: int):
+    """Slices of sorted hashes by their group."""
+    g = range_of(h, groups)
+    cuts = np.flatnonzero(np.diff(g, prepend=-1, append=-1))
+    return [(int(g[lo]), slice(lo, hi)) for lo, hi in zip(cuts[:-1], cuts[1:])]
+
+
+def gathered(docs: DataFrame, facts: Facts, texts: bool) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(facts)
+
+    def gather(batches):
+        part, turn, block = TaskContext.get().partitionId(), 0, Block()
+        for ids, flags, all_texts in rows_of(batches, "doc_id", "held_out", "text"):
+            for i, held, text in zip(ids, flags, all_texts):
+                block.add(i, held, text)
+                if block.full:
+                    yield block.rows(shared.value, part << 24 | turn, texts)
+                    turn, block = turn + 1, Block()
+        if block.ids:
+            yield block.rows(shared.value, part << 24 | turn, texts)
+
+    return docs.mapInArrow(gather, "bucket int, block long, data binary, info binary")
+
+
+def looked_at(docs: DataFrame, share: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many buckets the corpus takes, how often each letter follows another, and the hashes of
+    words that make up more than one in `2 * buckets` tokens, judged by one text in LOOK. The
+    latter only decide how the work is dealt."""
+
+    def look(batches):
+        pairs, n_texts, seen = np.zeros((GAP + 1) ** 2, np.int64), 0, {}
+        for (texts,) in rows_of(batches, "text"):
+            pairs += np.bincount(letter_pairs(texts), minlength=len(pairs))
+            n_texts += len(texts)
+            for t in texts:
+                if xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) % LOOK == 0:
+                    for w in [*words_of(t), b""]:
+                        seen[w] = seen.get(w, 0) + 1
+            if len(seen) > 500_000:
+                seen = {w: n for w, n in seen.items() if n > 2}
+        total = sum(seen.values())
+        most = [(n, int(END) if not w else xxhash.xxh3_64_intdigest(w) >> (64 - HASH_BITS)) for w, n in seen.items() if n * 10_000 > total]
+        some = np.flatnonzero(pairs)
+        columns = [some, pairs[some], [h for _, h in most], [n for n, _ in most]]
+        yield pa.record_batch([pa.array([n_texts]), pa.array([total]), *[pa.array([x], pa.list_(pa.int64())) for x in columns]], names=["texts", "looked", "pairs", "times", "words", "n"])
+
+    rows = materialize(docs.select("text").mapInArrow(look, "texts long, looked long, pairs array<long>, times array<long>, words array<long>, n array<long>"), "look")
+    sums = rows.agg(F.sum("texts").alias("texts"), F.sum("looked").alias("looked")).first()
+    pairs = np.zeros((GAP + 1) ** 2, np.int64)
+    for r in rows.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).groupBy("x.pairs").agg(F.sum("x.times").alias("n")).collect():
+        pairs[r.pairs] = r.n
+    ends = pairs.reshape(GAP + 1, GAP + 1)[:GAP, GAP].sum()
+    buckets = int(max(4, (ends + (sums.texts or 0)) // share))
+    common = rows.select(F.explode(F.arrays_zip("words", "n")).alias("x")).groupBy("x.words").agg(F.sum("x.n").alias("n")).filter(F.col("n") * 2 * buckets > F.lit(sums.looked or 0))
+    heavy = np.sort(np.array([r.words for r in common.limit(4 * buckets).collect()], np.uint64)) if buckets >= 8 else np.zeros(0, np.uint64)
+    discard(rows)
+    return buckets, pairs, heavy
+
+
+def lm_scores(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 0, bucket: int = BUCKET) -> DataFrame:
     """Score whole texts under a hierarchical Pitman-Yor model of order two, learned from the
     rows whose crc32(doc_id as text) mod 10 is not 0: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score and score (log10 of the text's probability).
 
-    Every token of the training texts has a restaurant of its own (`contexts`: only so many of
-    the commonest; the root seats the tokens after others), all children of one root; the root's
-    base has no atoms, so words never met in training share the mass of its new tables. Seatings
-    are sampled by Gibbs sweeps; after `burn_in`, `samples` of them are kept, and a token's
-    predictive probabilities are averaged.
-
-    Words and pairs are counted inside blocks of the scan, merged by ranges of word hashes, seated
-    there, and each block gets back what its own words need; texts are shuffled once, to meet it.
-    A restaurant's customers are its word's own count, as one token follows each; its tables are
-    summed between rounds by ranges of its hash and sent back to the buckets that seat there.
-    What is shuffled grows with the corpus; only totals reach the driver.
-    Words are told apart by 64-bit hashes.
+    Every word of the training texts is a context with a restaurant of its own (as is the end,
+    before a text's first word); all are children of one root, whose base spells words byte
+    after byte, so that unseen words have a probability each, and a small one. Seatings are sampled by
+    Gibbs sweeps: in each, the customers of every pair (context, word) get up and sit down again
+    given the tables of its context and of the root as they then are. After `burn_in` sweeps,
+    `samples` are kept; the root is then seated anew for each, and a token's predictive
+    probabilities are averaged.
+
+    Blocks of the scan count their pairs and send them, packed, to buckets of contexts, where a
+    restaurant lies whole; only contexts too common for one bucket (`Facts.heavy`) are dealt by
+    word, and their totals (a bounded number) go to all tasks, as of the round before. What the
+    root needs of each word travels between buckets and groups of words. Pairs met once have one
+    table, so only the others are kept between rounds. At last blocks send the texts in which
+    pairs occur to the same buckets, which send back sums for each text; texts themselves are
+    never shuffled, and what is shuffled grows with the corpus. Within a bucket tables of the root
+    are counted as they change, those of other buckets as they were before. Words are told apart
+    by HASH_BITS bits of a hash.
 
     Null and empty texts are one token, the end; repeated rows are learned and scored one by one;
     a null doc_id is never held out; an empty table gives no rows; other columns are not read.
-    The table must be read twice alike, as files are; if not, scoring fails rather than guess.
     """
     spark = docs.sparkSession
-    docs = blocked(docs)
-    hot = None if contexts is None else contexts_of(docs, contexts)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    many = max(8, size // (6 * BUCKET_WORDS))
-    groups = int(max(8, 4 * math.sqrt(many)))
-    share = int(-(-many // groups))  # buckets of a group
-    buckets = groups * share
-    totals = ("tokens", "words", "ones", "twos", "pair_ones", "pair_twos", "customers", "types")
-    state_of = "bucket int, blocks array<long>, words_in array<binary>, pairs_in array<binary>, to array<int>, data array<binary>, " + ", ".join(f"{c} long" for c in totals)
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        b = Bucket(*[group[c].tolist() for c in ("block", "words", "pairs")])
-        to, data, _ = zip(*b.dealt(groups, [b.c > 0])) if len(b.heads) else ((), (), ())
-        row = [int(group["bucket"].iloc[0]), b.blocks, group["words"].tolist(), group["pairs"].tolist(), list(to), list(data), b.n.sum(), (b.n > 0).sum(), (b.n == 1).sum(), (b.n == 2).sum(), (b.c == 1).sum(), (b.c == 2).sum(), b.c.sum(), (b.c > 0).sum()]
-        return pd.DataFrame([row], columns=[x.split()[0] for x in state_of.split(", ")])
-
-    state = materialize(gathered(docs, hot, buckets).groupBy("bucket").applyInPandas(merge, state_of), "state")
-    *t, customers, types = [int(x or 0) for x in state.agg(*[F.sum(c).alias(c) for c in totals]).first()]
-    facts = (hot, *t, np.array([customers]))
-
-    def summed(df: DataFrame, n: int) -> np.ndarray:
-        got = df.agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(n)]).first()
-        return np.array([[x or 0] for x in got], np.int64)
-
-    seated = state.select("bucket", "blocks", "words_in", "pairs_in")
-    first = spark.sparkContext.broadcast(Model(*facts, np.array([[types]])))
-
-    def settle(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        row = own.iloc[0]
-        b = Bucket(list(row.blocks), list(row.words_in), list(row.pairs_in))
-        (t, _), = sweeps(b, first.value, tables_in(told), np.random.default_rng([seed, row.bucket]), burn_in, 1)
-        return pd.DataFrame([(g, row.bucket, data, sums) for g, data, sums in b.dealt(groups, [t])], columns=["to", "bucket", "data", "sums"])
-
-    asked = state.select("bucket", F.explode(F.arrays_zip("to", "data")).alias("x")).select("x.to", "bucket", "x.data")
-    settled = materialize(seated.groupBy("bucket").cogroup(answered(asked).groupBy("bucket")).applyInPandas(settle, "to int, bucket int, data binary, sums array<long>"), "settled")
-    second = spark.sparkContext.broadcast(Model(*facts, summed(settled, 1)))
-
-    def answer(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        row = own.iloc[0]
-        b = Bucket(list(row.blocks), list(row.words_in), list(row.pairs_in))
-        kept = list(sweeps(b, second.value, tables_in(told), np.random.default_rng([seed, row.bucket, 1]), burn_in, samples))
-        out = [(g, -1, row.bucket, data, sums) for g, data, sums in b.dealt(groups, [t for t, _ in kept])]
-        for i, block in enumerate(b.blocks):
-            data = packed(least_kind(b.n[b.at[i]]), *[least_kind(o[b.at[i]]) for _, o in kept], least_kind(b.c[b.pat[i]]), *[least_kind(t[b.pat[i]]) for t, _ in kept])
-            out.append((-1, block, row.bucket, data, []))
-        return pd.DataFrame(out, columns=["to", "block", "bucket", "data", "sums"])
-
-    answers = materialize(seated.groupBy("bucket").cogroup(answered(settled.select("to", "bucket", "data")).groupBy("bucket")).applyInPandas(answer, "to int, block long, bucket int, data binary, sums array<long>"), "answers")
-    discard(settled)
-    final = spark.sparkContext.broadcast(Model(*facts, summed(answers.filter("to >= 0"), samples)))
-
-    def spread(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        """Tables of the restaurants of each block's words."""
-        heads, _, sums = added(told["data"].tolist(), samples) if len(told) else (np.zeros(0, np.uint64), [], [np.zeros(0, np.int64)] * samples)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
+    buckets, pairs_of_letters, heavy = looked_at(docs, bucket)
+    facts = Facts(buckets, letters_of(pairs_of_letters), heavy)
+    groups = facts.groups
+
+    def count(group: pa.Table) -> pa.Table:
+        """First notes on a bucket: the pairs that occur more than once in training, and of each
+        word its tokens, contexts and base cost, and whether such pairs have it."""
+        b = int(group["bucket"][0].as_py())
+        rows = [unpacked(x, 6) for x in group["data"].to_pylist()]
+        m = Merged(rows)
+        c = np.bincount(np.concatenate(m.at), np.concatenate([r[4] for r in rows]), len(m.pu)).astype(np.int64)
+        cost = np.zeros(len(m.w), np.uint16)
+        cost[m.word_at] = np.concatenate([r[5] for r in rows])
+        n, kinds = (np.bincount(m.pw, x, len(m.w)).astype(np.int64) for x in (c, c > 0))
+        types = np.bincount(m.pu, c > 0, len(m.u)).astype(np.int64)
+        more = np.flatnonzero(c > 1)
+        many = np.zeros(len(m.w), bool)
+        many[m.pw[more]] = True
+        heads, hat = np.unique(m.pu[more], return_inverse=True)
+        words, wat = np.unique(m.pw[more], return_inverse=True)
+        out = [note(PAIRS, b, data=packed(m.u[heads], narrow(types[heads]), narrow(hat), narrow(wat), narrow(c[more]), cost[words]))]
+        out += [note(WORDS, b, g, packed(steps(m.w[p]), narrow(n[p]), narrow(kinds[p]), cost[p], many[p])) for g, p in grouped(m.w, groups)]
+        place = within(m.u, facts.heavy)
+        sums = np.bincount(m.pu, c, len(m.u)).astype(np.int64)
+        out += [note(HEAVY, b, nums=[place[i], sums[i], types[i]]) for i in np.flatnonzero(place >= 0)]
+        out.append(note(TOTALS, b, nums=[c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()]))
+        return table(out, NOTES)
+
+    notes = materialize(gathered(docs, facts, False).groupBy("bucket").applyInArrow(count, NOTE), "notes")
+    discard(docs)
+
+    def totals(df: DataFrame, n: int) -> list[int]:
+        got = df.filter(F.col("kind") == TOTALS).agg(*[F.sum(F.get("nums", F.lit(i))).alias(f"s{i}") for i in range(n)]).first()
+        return [int(x or 0) for x in got]
+
+    def heavies(df: DataFrame, n: int) -> np.ndarray:
+        """Sums over buckets of what they note of heavy contexts: a row for each number noted."""
+        out = np.zeros((n, len(facts.heavy)), np.int64)
+        at = F.get("nums", F.lit(0)).alias("at")
+        for r in df.filter(F.col("kind") == HEAVY).groupBy(at).agg(*[F.sum(F.get("nums", F.lit(i + 1))).alias(f"s{i}") for i in range(n)]).collect():
+            out[:, r.at] = [r[f"s{i}"] for i in range(n)]
+        return out
+
+    train_tokens, pairs, ones, twos = totals(notes, 4)
+    heavy_c, heavy_t = heavies(notes, 2)
+
+    def open_root(group: pa.Table) -> pa.Table:
+        """The first seating of the root, a customer for each context of a word; tells buckets of
+        the words that their repeated pairs have."""
+        g, rows = int(group["to"][0].as_py()), group.select(["bucket", "data"]).to_pylist()
+        words = [unpacked(r["data"], 5) for r in rows]
+        all_, at = np.unique(np.concatenate([unsteps(x[0], len(x[1])) for x in words]), return_inverse=True)
+        own = np.bincount(at, np.concatenate([x[2] for x in words])).astype(np.int64)
+        n = np.bincount(at, np.concatenate([x[1] for x in words])).astype(np.int64)
+        out, where = [], np.split(at, np.cumsum([len(x[1]) for x in words])[:-1])
+        for r, x, i in zip(rows, words, where):
+            out.append(note(WORDS, r["bucket"], g, packed(narrow(own[i[x[4]]]))))
+        return table([*out, note(TOTALS, nums=[(n > 0).sum(), (own == 1).sum(), (own == 2).sum()])], NOTES)
+
+    of_words = notes.filter(F.col("kind") == WORDS)
+    opening = materialize(of_words.select("to", "bucket", "data").groupBy("to").applyInArrow(open_root, NOTE), "opening")
+    vocabulary, root_ones, root_twos = totals(opening, 3)
+    discounts = discount(root_ones, root_twos), discount(ones, twos)
+    first = spark.sparkContext.broadcast(Model(*discounts, [pairs], [vocabulary], heavy_c, heavy_t[None]))
+
+    def settle(own: pa.Table, told: pa.Table) -> pa.Table:
+        """Sweeps over one bucket; notes the tables of its repeated pairs, one array a sample, and
+        the tables that these add to words and heavy contexts."""
         out = []
-        for row in own.itertuples(index=False):
-            for block, data in zip(row.blocks, row.words_in):
-                words = unpacked(data, 2)[0]
-                at = np.searchsorted(heads, words)
-                met = np.append(heads, 0)[at] == words
-                met &= at < len(heads)
-                out.append((block, row.bucket, 1, packed(*[least_kind(np.where(met, np.append(x, 0)[at], 0)) for x in sums])))
-        return pd.DataFrame(out, columns=["of", "bucket", "kind", "data"])
-
-    words = state.select(F.floor(F.col("bucket") / share).cast("int").alias("to"), "bucket", "blocks", "words_in")
-    spreads = materialize(words.groupBy("to").cogroup(answers.filter("to >= 0").select("to", "data").groupBy("to")).applyInPandas(spread, "of long, bucket int, kind int, data binary"), "spreads")
-    discard(state)
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def score(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        return scored(texts, told, final.value, samples)
-
-    told = answers.filter("to < 0").select(F.col("block").alias("of"), "bucket", F.lit(0).alias("kind"), "data").unionByName(spreads)
-    return docs.groupBy("block").cogroup(told.groupBy("of")).applyInPandas(score, out)
-
-
-def scored(texts: pd.DataFrame, told: pd.DataFrame, m: Model, samples: int) -> pd.DataFrame:
-    """Scores of one block's texts, from what the buckets tell about its words and pairs. The
-    block lists both in the order in which it sent them."""
-    if not len(texts):
-        return pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-    hashes = WordHashes()
-    tokens = [tokens_of(t, hashes) for t in texts["text"]]
-    size = np.array([len(t) for t in tokens])
-    words, at, pairs, pat, inside = pairs_of(tokens, m.contexts)
-    del tokens
-    told = told.sort_values("bucket")
-    parts = [unpacked(d, 2 + 2 * samples) for d in told["data"][told["kind"] == 0]]
-    n, *own, c = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(2 + samples))
-    t = [np.concatenate([p[2 + samples + s] for p in parts]) for s in range(samples)]
-    parts = [unpacked(d, samples) for d in told["data"][told["kind"] == 1]]
-    tables = [np.concatenate([p[s] for p in parts]) for s in range(samples)]
-    if len(n) != len(words) or len(c) != len(pairs) or len(tables[0]) != len(words):
-        raise RuntimeError("the table was not read twice alike: a block's words differ")
-    base = np.log10((n + 0.1) / (m.tokens + 0.1 * (m.words + 1)))
-    mean_root, mean_pair = np.zeros(len(words)), np.zeros(len(pairs))
-    w, u = pairs // len(words), pairs % len(words)
-    for s in range(samples):
-        p = m.root(own[s], s)
-        mean_root += p / samples
-        mean_pair += (np.maximum(c - m.d1 * t[s], 0) / (m.theta1 + n[u]) + m.back_off(n, tables[s])[u] * p[w]) / samples
-    p = mean_root[at]
-    p[inside] = mean_pair[pat]
-    doc = np.repeat(np.arange(len(size)), size)
-    sums = [np.bincount(doc, x, len(size)) for x in (n[at] > 0, base[at], np.log10(p))]
-    return pd.DataFrame({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": size, "n_known": sums[0].astype(np.int64), "train_tokens": m.tokens, "base_score": sums[1], "score": sums[2]})
+        for r in own.to_pylist():
+            b, m = r["bucket"], first.value
+            u, types, hat, wat, c, cost = unpacked(r["data"], 6)
+            replies = sorted(told.to_pylist(), key=lambda x: x["to"])
+            seen = [unpacked(x["data"], 1)[0] for x in replies]
+            own_w = np.concatenate([np.zeros(0, np.int64), *seen]).astype(np.int64)
+            types, hat, wat, c = (x.astype(np.int64) for x in (types, hat, wat, c))
+            place = within(u, facts.heavy)
+            base = np.where(place >= 0, np.append(m.heavy_t[0], 0)[place], types)
+            rng, t, kept = np.random.default_rng([seed, b]), np.ones(len(c), np.int64), []
+            for i in range(burn_in + samples):
+                total_t = base + np.bincount(hat, t - 1, len(u))
+                more = np.bincount(wat, t - 1, len(own_w))
+                parent = m.root(own_w + more, np.ones(len(own_w)), cost, 0, more.sum())
+                a = (m.theta + m.d1 * (total_t[hat] - t + 1)) * parent[wat]
+                t = seat(c, a, m.d1, rng)
+                if i >= burn_in:
+                    kept.append(t)
+            out.append(note(PAIRS, b, data=packed(*map(narrow, kept))))
+            extra, at = [np.bincount(wat, t - 1, len(own_w)).astype(np.int64) for t in kept], 0
+            for x, s in zip(replies, map(len, seen)):
+                out.append(note(WORDS, b, x["to"], packed(*[narrow(e[at : at + s]) for e in extra])))
+                at += s
+            added = np.array([np.bincount(hat, t - 1, len(u)) for t in kept]).astype(np.int64)
+            out += [note(HEAVY, b, nums=[place[i], *added[:, i]]) for i in np.flatnonzero(place >= 0)]
+        return table(out, NOTES)
+
+    of_pairs = notes.filter(F.col("kind") == PAIRS).select("bucket", "data")
+    told = opening.filter(F.col("kind") == WORDS).select("bucket", "to", "data")
+    seated = materialize(of_pairs.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(settle, NOTE), "seated")
+    del told, of_pairs
+    discard(opening)
+    heavy_t = heavy_t[None] + heavies(seated, samples)
+
+    def close_root(group: pa.Table) -> pa.Table:
+        """Seats the root for each sample and tells buckets of all their words."""
+        g, rows = int(group["to"][0].as_py()), group.select(["bucket", "data", "later"]).to_pylist()
+        words = {r["bucket"]: unpacked(r["data"], 5) for r in rows if not r["later"]}
+        extra = {r["bucket"]: unpacked(r["data"], samples) for r in rows if r["later"]}
+        order = sorted(words)
+        all_, at = np.unique(np.concatenate([unsteps(words[b][0], len(words[b][1])) for b in order]), return_inverse=True)
+        n, own = (np.bincount(at, np.concatenate([words[b][k] for b in order])).astype(np.int64) for k in (1, 2))
+        cost = np.zeros(len(all_), np.uint16)
+        cost[at] = np.concatenate([words[b][3] for b in order])
+        many, m = np.concatenate([words[b][4] for b in order]), first.value
+        rng, customers, tables = np.random.default_rng([seed, g, 1]), [], []
+        for s in range(samples):
+            more = np.concatenate([extra[b][s] for b in order]) if many.any() else []
+            customers.append(own + np.bincount(at[many], more, len(all_)).astype(np.int64))
+            tables.append(seat(customers[s], (m.theta + m.d0 * m.tables[0]) * 10.0 ** (-cost.astype(float) / PARTS), m.d0, rng))
+        where = np.split(at, np.cumsum([len(words[b][1]) for b in order])[:-1])
+        out = [note(WORDS, b, g, packed(narrow(n[i]), cost[i], *[narrow(x[i]) for x in (*customers, *tables)])) for b, i in zip(order, where)]
+        return table([*out, note(TOTALS, nums=[x.sum() for x in (*customers, *tables)])], NOTES)
+
+    both = of_words.select("to", "bucket", "data", F.lit(False).alias("later")).unionByName(seated.filter(F.col("kind") == WORDS).select("to", "bucket", "data", F.lit(True).alias("later")))
+    closing = materialize(both.groupBy("to").applyInArrow(close_root, NOTE), "closing")
+    del both, of_words
+    sums = totals(closing, 2 * samples)
+    discard(notes)
+    final = spark.sparkContext.broadcast(Model(*discounts, sums[:samples], sums[samples:], heavy_c, heavy_t))
+
+    def score(own: pa.Table, told: pa.Table) -> pa.Table:
+        """Sums for each text of what its tokens in this bucket score."""
+        rows = own.to_pylist()
+        out = [{"block": r["block"], "data": None, "info": r["info"]} for r in rows if r["info"] is not None]
+        rows = [r for r in rows if r["info"] is None]
+        if rows:
+            parts = [unpacked(r["data"], 7) for r in rows]
+            b, m = Merged(parts), final.value
+            docs_of = [np.repeat(np.arange(len(x[4])), x[4]) for x in parts]
+            times = [np.bincount(i, np.unpackbits(x[6])[x[5]], len(x[4])) for x, i in zip(parts, docs_of)]
+            c = np.bincount(np.concatenate(b.at), np.concatenate(times), len(b.pu)).astype(np.int64)
+            notes_ = told.to_pylist()
+            words = [unpacked(x["data"], 2 + 2 * samples) for x in sorted((x for x in notes_ if x["kind"] == WORDS), key=lambda x: x["to"])]
+            n, cost, *rest = (np.concatenate([x[k] for x in words]) for k in range(2 + 2 * samples))
+            seats = unpacked(next(x["data"] for x in notes_ if x["kind"] == PAIRS), samples)
+            if len(n) != len(b.w) or len(seats[0]) != (c > 1).sum():
+                raise RuntimeError("the table was not read twice alike: a bucket's words differ")
+            place = within(b.u, facts.heavy)
+            total_c = np.where(place >= 0, np.append(m.heavy_c, 0)[place], np.bincount(b.pu, c, len(b.u)))
+            p = np.zeros(len(b.pu))
+            for s in range(samples):
+                t = (c > 0).astype(np.int64)
+                t[c > 1] = seats[s]
+                total_t = np.where(place >= 0, np.append(m.heavy_t[s], 0)[place], np.bincount(b.pu, t, len(b.u)))
+                parent = m.root(rest[s].astype(float), rest[samples + s].astype(float), cost, s)
+                p += m.word(c, t, total_c[b.pu], total_t[b.pu], parent[b.pw]) / samples
+            p = np.log10(p)
+            base = np.log10((n + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))[b.pw]
+            known = (n > 0)[b.pw]
+            for r, x, at, i in zip(rows, parts, b.at, docs_of):
+                at = at[i]
+                texts, doc = np.unique(x[5], return_inverse=True)
+                own_sums = [np.bincount(doc, y[at], len(texts)) for y in (p, base, known)]
+                out.append({"block": r["block"], "data": packed(texts, own_sums[0], own_sums[1], narrow(own_sums[2].astype(np.int64))), "info": None})
+        return table(out, [("block", pa.int64()), ("data", pa.binary()), ("info", pa.binary())])
+
+    def total(group: pa.Table) -> pa.Table:
+        rows = group.select(["data", "info"]).to_pylist()
+        ids, none, flags, size = unpacked(next(r["info"] for r in rows if r["info"] is not None), 4)
+        sums = np.zeros((3, len(ids)))
+        for r in rows:
+            if r["info"] is None:
+                texts, *parts = unpacked(r["data"], 4)
+                for k, x in enumerate(parts):
+                    sums[k, texts] += x
+        columns = [pa.array(ids, mask=none), pa.array(flags), pa.array(size.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(np.full(len(ids), train_tokens, np.int64)), pa.array(sums[1]), pa.array(sums[0])]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    told = closing.filter(F.col("kind") == WORDS).unionByName(seated.filter(F.col("kind") == PAIRS)).select("bucket", "kind", "to", "data")
+    scored = gathered(docs, facts, True).groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(score, "block long, data binary, info binary")
+    return scored.groupBy("block").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
