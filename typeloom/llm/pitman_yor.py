@@ -14,7 +14,7 @@ from .common import discard, materialize, narrow, packed, rows_of, steps, unpack
 #: Parameters: sweeps before samples are kept; samples whose predictions are averaged.
 BURN_IN, SAMPLES = 3, 3
 #: Tokens and texts of a block; tokens that a bucket of contexts stands for.
-BLOCK, MANY, BUCKET = 3_000_000, 65_000, 6_000_000
+BLOCK, MANY, BUCKET = 3_000_000, 65_000, 3_000_000
 #: Strength of the restaurants, and of the root.
 THETA = 1.0
 #: Bits of a word's hash. Base probabilities are kept in so many parts of a power of ten.
