@@ -14,7 +14,7 @@ from .common import discard, materialize, narrow, packed, rows_of, steps, unpack
 #: Parameters: sweeps before samples are kept; samples whose predictions are averaged.
 BURN_IN, SAMPLES = 3, 3
 #: Tokens and texts of a block; tokens that a bucket of contexts stands for.
-BLOCK, MANY, BUCKET = 3_000_000, 65_000, 3_000_000
+BLOCK, MANY, BUCKET = 1_500_000, 65_000, 3_000_000
 #: Strength of the restaurants, and of the root.
 THETA = 1.0
 #: Bits of a word's hash. Base probabilities are kept in so many parts of a power of ten.
@@ -104,8 +104,8 @@ class Block:
         training and what the words' base costs are, or which texts each occurs in."""
         h = self.words.hashes()
         order = np.argsort(h)
-        rank = np.empty(len(h), np.int64)
-        rank[order] = np.arange(len(h))
+        rank = np.empty(len(h), np.int32)
+        rank[order] = np.arange(len(h), dtype=np.int32)
         costs = self.words.spelled(facts.letters)[order]
         h = h[order]
         w = rank[np.concatenate(self.tokens)]
@@ -113,21 +113,24 @@ class Block:
         size = np.array([len(t) for t in self.tokens])
         doc = np.repeat(np.arange(len(size)), size).astype(np.uint16)
         train = ~np.array(self.held)
-        home = range_of(h, facts.buckets)
-        bucket = home[u]
+        bucket = range_of(h, facts.buckets).astype(np.int32)[u]
         if len(facts.heavy):
             spread = (within(h, facts.heavy) >= 0)[u]
             bucket[spread] = dealt(h[u[spread]], h[w[spread]], facts.buckets)
-        key = (bucket * len(h) + u) * len(h) + w
+        key = (bucket.astype(np.int64) * len(h) + u) * len(h) + w
         order = np.argsort(key, kind="stable")
-        key, u, w, doc, bucket = (x[order] for x in (key, u, w, doc, bucket))
+        key, doc = key[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         n = np.diff(np.append(first, len(key)))
-        learned = np.add.reduceat(train[doc].astype(np.int64), first)
-        u, w, bucket = u[first], w[first], bucket[first]
+        del key
+        learned = None if texts else np.add.reduceat(train[doc].astype(np.int64), first)
+        order = order[first]
+        u, w, bucket = u[order], w[order], bucket[order]
+        self.tokens.clear()
         info = packed(np.array([x or 0 for x in self.ids], np.int64), np.array([x is None for x in self.ids], bool), ~train, narrow(size)) if texts else b""
         block = xxhash.xxh3_64_intdigest(h.tobytes(), salt) - (1 << 63)
         out = {c: [] for c, _ in TO_BUCKETS}
+        del order
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             heads, each = np.unique(u[lo:hi], return_counts=True)
