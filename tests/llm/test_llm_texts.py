@@ -419,7 +419,7 @@ def test_base_is_a_distribution_over_words():
 
 def test_seating_has_the_right_mean():
     rng = np.random.default_rng(0)
-    for c, a, d in ((10, 0.8, 0.5), (400, 0.7, 0.3)):
+    for c, a, d in ((10, 0.8, 0.5), (400, 0.7, 0.3), (1500, 60.0, 0.6)):
         t = pitman_yor.seat(np.full(4000, c), np.full(4000, a), d, rng).mean()
         slow = np.ones(4000)
         for j in range(1, c):

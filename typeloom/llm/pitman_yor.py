@@ -14,7 +14,7 @@ from .common import discard, materialize, narrow, packed, rows_of, steps, unpack
 #: Parameters: sweeps before samples are kept; samples whose predictions are averaged.
 BURN_IN, SAMPLES = 3, 3
 #: Tokens and texts of a block; tokens that a bucket of contexts stands for.
-BLOCK, MANY, BUCKET = 1_500_000, 65_000, 3_000_000
+BLOCK, MANY, BUCKET = 1_000_000, 65_000, 2_000_000
 #: Strength of the restaurants, and of the root.
 THETA = 1.0
 #: Bits of a word's hash. Base probabilities are kept in so many parts of a power of ten.
@@ -195,8 +195,10 @@ class Merged:
 def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes whose c customers sit down one after another: customer j + 1 opens a
     table with probability a / (a + j - d t), where t tables stand. The first 32 customers are
-    drawn one by one; after them the next opening is drawn at once from its survival function,
-    a ratio of gamma functions that is a power of j to within a part in ten thousand there."""
+    drawn one by one. After them, where tables are rare (a below 20), the next opening is drawn at
+    once from its survival function, a ratio of gamma functions that is a power of j to within a
+    part in ten thousand there; elsewhere customers come in groups of a fiftieth of those seated,
+    with the chance of the group's middle."""
     t = (c > 0).astype(np.int64)
     for j in range(1, 32):
         on = np.flatnonzero(c > j)
@@ -204,7 +206,14 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np
             return t
         stay = np.maximum(j - d * t[on], 0)
         t[on] += rng.random(len(on)) * (a[on] + stay) < a[on]
-    on, j = np.flatnonzero(c > 32), np.full(int((c > 32).sum()), 32.0)
+    on, j = np.flatnonzero((c > 32) & (a >= 20)), 32
+    while len(on):
+        n = np.minimum(c[on] - j, max(1, j // 50))
+        t[on] += rng.binomial(n, a[on] / (a[on] + np.maximum(j + n / 2 - d * t[on], 0)))
+        j += max(1, j // 50)
+        on = on[c[on] > j]
+    on = np.flatnonzero((c > 32) & (a < 20))
+    j = np.full(len(on), 32.0)
     while len(on):
         shift = a[on] / 2 - d * t[on] - 0.5
         with np.errstate(over="ignore", divide="ignore"):
@@ -327,7 +336,7 @@ def lm_scores(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, s
     pairs occur to the same buckets, which send back sums for each text; texts themselves are
     never shuffled, and what is shuffled grows with the corpus. Within a bucket tables of the root
     are counted as they change, those of other buckets as they were before. Words are told apart
-    by HASH_BITS bits of a hash.
+    by HASH_BITS bits of a hash; a bucket's sums of a text's score are 32-bit floats.
 
     Null and empty texts are one token, the end; repeated rows are learned and scored one by one;
     a null doc_id is never held out; an empty table gives no rows; other columns are not read.
@@ -473,9 +482,9 @@ def lm_scores(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, s
         if rows:
             parts = [unpacked(r["data"], 7) for r in rows]
             b, m = Merged(parts), final.value
-            docs_of = [np.repeat(np.arange(len(x[4])), x[4]) for x in parts]
-            times = [np.bincount(i, np.unpackbits(x[6])[x[5]], len(x[4])) for x, i in zip(parts, docs_of)]
+            times = [np.add.reduceat(np.unpackbits(x[6])[x[5]], np.cumsum(x[4], dtype=np.int64) - x[4], dtype=np.int64) for x in parts]
             c = np.bincount(np.concatenate(b.at), np.concatenate(times), len(b.pu)).astype(np.int64)
+            del times
             notes_ = told.to_pylist()
             words = [unpacked(x["data"], 2 + 2 * samples) for x in sorted((x for x in notes_ if x["kind"] == WORDS), key=lambda x: x["to"])]
             n, cost, *rest = (np.concatenate([x[k] for x in words]) for k in range(2 + 2 * samples))
@@ -494,11 +503,11 @@ def lm_scores(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, s
             p = np.log10(p)
             base = np.log10((n + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))[b.pw]
             known = (n > 0)[b.pw]
-            for r, x, at, i in zip(rows, parts, b.at, docs_of):
-                at = at[i]
+            for r, x, at in zip(rows, parts, b.at):
+                at = np.repeat(at, x[4])
                 texts, doc = np.unique(x[5], return_inverse=True)
                 own_sums = [np.bincount(doc, y[at], len(texts)) for y in (p, base, known)]
-                out.append({"block": r["block"], "data": packed(texts, own_sums[0], own_sums[1], narrow(own_sums[2].astype(np.int64))), "info": None})
+                out.append({"block": r["block"], "data": packed(texts, own_sums[0].astype(np.float32), own_sums[1], narrow(own_sums[2].astype(np.int64))), "info": None})
         return table(out, [("block", pa.int64()), ("data", pa.binary()), ("info", pa.binary())])
 
     def total(group: pa.Table) -> pa.Table:
