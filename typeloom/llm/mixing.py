@@ -15,8 +15,9 @@ from .common import WORD, materialize
 
 #: Words in a block at most; a source is cut into 1024 blocks at least, as far as it has words.
 BLOCK = 512
-#: Lanes of a source: each lane lays its documents end to end on its own.
-LANES = 1024
+#: Lanes of a source, at least: each lane lays its documents end to end on its own. There are as
+#: many more as keep a lane to so many documents or about.
+LANES, LANE_ROWS = 1024, 50_000
 WEIGHTS = (5, 2, 1)
 CAP = 3
 
@@ -83,13 +84,16 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BL
     through pass j div n of its permutation of 0..n-1 to a block, and blocks are joined by index.
     A source's last slot takes only as many words as its target still lacks.
 
-    Collected on the driver: one row for each distinct source (name, size). Everything about
+    Collected on the driver: one row for each distinct source (name, size), so sources must be
+    datasets rather than, say, hosts. Everything about
     documents, lanes, shards and slots stays in DataFrames; no key gathers a source's rows, for
     lanes split every source.
     """
     spark = docs.sparkSession
-    base = materialize(sized(docs).withColumn("lane", F.pmod(F.xxhash64("doc_id", "row"), F.lit(lanes)).cast("int")), "sized")
-    sizes = base.groupBy("source").agg(F.sum("size").cast("long").alias("n")).collect()
+    base = materialize(sized(docs), "sized")
+    sizes = base.groupBy("source").agg(F.sum("size").cast("long").alias("n"), F.count("*").alias("rows")).collect()
+    lanes = max([lanes, *(r.rows // LANE_ROWS for r in sizes)])
+    base = base.withColumn("lane", F.pmod(F.xxhash64("doc_id", "row"), F.lit(lanes)).cast("int"))
     order = sorted(sizes, key=lambda r: (r.source is None, r.source or ""))
     names, totals = [r.source for r in order], [r.n for r in order]
     targets = share_out(totals, [weights[i % len(weights)] for i in range(len(totals))], cap) if sum(totals) else [0.0] * len(totals)
@@ -161,7 +165,8 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BL
     # Blocks: the parts of documents that lie in each; then both sides meet by (source, block).
     end = F.col("at") + F.col("size")
     inside = placed.filter("size > 0").select("row", "sid", "at", "size", "unit", F.explode(F.sequence(F.floor(F.col("at") / F.col("unit")), F.floor((end - 1) / F.col("unit")))).alias("block"))
-    met = inside.join(slots, ["sid", "block"])
+    # Both sides grow with the corpus, so neither is ever broadcast.
+    met = inside.hint("merge").join(slots, ["sid", "block"])
     lo = F.greatest("at", F.col("block") * F.col("unit"))
     hi = F.least(end, F.col("block") * F.col("unit") + F.least("take", "unit"))
     taken = met.select("row", (lo - F.col("at")).alias("start"), (hi - lo).alias("length"), "copy", "shard").filter("length > 0")
@@ -177,7 +182,7 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     """
     plan = mix_plan(docs, **options)
     taken = plan.taken.groupBy("row").agg(F.sum("length").alias("taken"))
-    return plan.docs.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return plan.docs.hint("merge").join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -189,8 +194,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     id_, text_, source_ = (f"c{names.index(c)}" for c in ("doc_id", "text", "source"))
     plan = mix_plan(base.select(F.struct(id_, "mix_row").alias("doc_id"), F.col(text_).alias("text"), F.col(source_).alias("source")), **options)
     spans = plan.taken.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("copy", "start", "length"))).alias("mix_spans"))
-    spans = plan.docs.join(spans, "row").select(F.col("doc_id.mix_row").alias("mix_row"), "mix_spans")
-    met = base.join(spans, "mix_row")
+    spans = plan.docs.hint("merge").join(spans, "row").select(F.col("doc_id.mix_row").alias("mix_row"), "mix_spans")
+    met = base.hint("merge").join(spans, "mix_row")
 
     fields = [f"c{i}" for i in range(len(names))]
     at = fields.index(text_)
