@@ -7,6 +7,7 @@ are contracted with joins, and hashes are stable across workers and reruns.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import io
 import os
@@ -15,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or one of our own where none is set."""
+    """The folder named by spark.checkpoint.dir; one of our own where none is set and all runs on
+    one machine, as in tests."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return known or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
@@ -132,12 +137,23 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on and serve other stages, and
+    several of them share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
     """Columns of Arrow batches as Python lists, in slices of bounded size."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             yield tuple(part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
+    release()
 
 
 def components(edges: DataFrame) -> DataFrame:

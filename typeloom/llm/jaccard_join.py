@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, discard, materialize, narrow, packed, rows_of, steps, unpacked, unsteps, words_of
+from .common import components, discard, materialize, narrow, packed, release, rows_of, steps, unpacked, unsteps, words_of
 from .url_filter import build_level, level_hash, passes
 
 #: Words of a shingle, and the similarity in per cent.
@@ -214,6 +214,7 @@ def shared_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 some = k > 0
                 if some.any():
                     out.append({"block": r["block"], "n": int(some.sum()), "hashes": steps(x[some]).tobytes(), "idx": i[some].tobytes(), "ranks": k[some].tobytes(), "info": None})
+        release()
         return pa.Table.from_pylist(out, pa.schema(TO_BLOCKS))
 
     def settle(group: pa.Table) -> pa.Table:

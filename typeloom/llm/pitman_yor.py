@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, narrow, packed, rows_of, steps, unpacked, unsteps, words_of
+from .common import discard, materialize, narrow, packed, release, rows_of, steps, unpacked, unsteps, words_of
 
 #: Parameters: sweeps before samples are kept; samples whose predictions are averaged.
 BURN_IN, SAMPLES = 3, 3
@@ -249,6 +249,7 @@ def discount(ones: int, twos: int) -> float:
 
 
 def table(rows: list[dict], schema: list) -> pa.Table:
+    release()
     return pa.Table.from_pylist(rows, pa.schema(schema))
 
 

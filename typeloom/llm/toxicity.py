@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import rows_of
+from .common import release, rows_of
 
 TOKEN = regex.compile(r"[\p{L}\p{N}]+")
 #: The classifier is fitted on at most so many clean and toxic labelled rows, taken by hash, and
 #: so many bytes of their texts.
 SAMPLE_CLEAN, SAMPLE_TOXIC, SAMPLE_BYTES = 4000, 1500, 1 << 26
+#: Windows without marked words that are drawn from each text of the sample.
+COLD_WINDOWS = 1
 PREFIXES = (4, 5, 6)
 
 
@@ -95,6 +97,10 @@ def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
+#: Features of a word that has none.
+NONE: list = []
+
+
 class Sample:
     """Labelled texts as arrays of word numbers; far smaller than their words."""
 
@@ -157,12 +163,12 @@ def label_words(sample: Sample, least: int = 4) -> list[str]:
     return sorted({f for i in rows for f in features_of(sample.words[i]) if (xxhash.xxh3_64_intdigest(f) | 1) in kept})
 
 
-def fit_crf(sample: Sample, steps: int = 60, window: int = 24) -> Crf:
+def fit_crf(sample: Sample, steps: int = 60, window: int = 24, cold_windows: int = COLD_WINDOWS) -> Crf:
     """Fit the field on texts with document labels.
 
     Words get labels first: 1 for a word of a toxic text that has a marking feature, else 0.
-    Training sequences are a text's windows with such words, and as many of its others, one at
-    least; weights
+    Training sequences are all windows of the sample with such words, and of each text
+    `cold_windows` others; weights
     climb the penalised log-likelihood, whose gradient is empirical minus expected counts from
     forward-backward run over all windows at once. A logistic curve over the log-odds of whole
     texts then turns marginals into scores.
@@ -176,8 +182,8 @@ def fit_crf(sample: Sample, steps: int = 60, window: int = 24) -> Crf:
     for ids, y in sample.docs:
         hot = np.unique(np.flatnonzero(marked[ids]) // window) * window
         cold = np.setdiff1d(np.arange(0, len(ids), window), hot)
-        for s in [*hot.tolist(), *rng.permutation(cold)[: max(1, len(hot))].tolist()]:
-            hits = [marks.get(i, []) for i in ids[s : s + window].tolist()]
+        for s in [*hot.tolist(), *rng.permutation(cold)[:cold_windows].tolist()]:
+            hits = [marks.get(i, NONE) for i in ids[s : s + window].tolist()]
             windows.append((hits, [int(bool(h) and y == 1) for h in hits]))
     if not windows or not names:
         return Crf({}, -6.0, np.zeros((2, 2)), (1.0, 0.0))
@@ -257,7 +263,10 @@ def train(docs: DataFrame, labels: DataFrame, clean: int = SAMPLE_CLEAN, toxic:
     def fit(batches):
         texts = [(i, y, t) for b in batches for i, y, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")))]
         texts.sort(key=lambda r: (r[0], r[1], r[2] or ""))
-        yield pa.record_batch([pa.array([pickle.dumps(fit_crf(Sample((t, y) for _, y, t in texts)))], pa.binary())], names=["field"])
+        field = pickle.dumps(fit_crf(Sample((t, y) for _, y, t in texts)))
+        texts.clear()
+        release()
+        yield pa.record_batch([pa.array([field], pa.binary())], names=["field"])
 
     got = sample.coalesce(1).mapInArrow(fit, "field binary").collect()
     return pickle.loads(got[0].field) if got else fit_crf(Sample(()))
