@@ -156,6 +156,12 @@ def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
     release()
 
 
+def pieces(batch: pa.RecordBatch, rows: int = 8) -> Iterator[pa.RecordBatch]:
+    """A batch of large values, a few rows at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): a row (node, component) for every node that an
     edge names, where component is the smallest node that can be reached.

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, discard, materialize, narrow, packed, release, rows_of, steps, unpacked, unsteps, words_of
+from .common import components, discard, materialize, narrow, packed, pieces, release, rows_of, steps, unpacked, unsteps, words_of
 from .url_filter import build_level, level_hash, passes
 
 #: Words of a shingle, and the similarity in per cent.
@@ -25,7 +25,7 @@ SMALL = 12
 CHECK = 4
 #: Shingles and sets of a block of texts, bytes of text that a range of hashes stands for, and the
 #: bits of a shingle's hash; above them a key has the shingle's frequency class.
-BLOCK, MANY, RANGE_BYTES, HASH_BITS = 3_000_000, 65_535, 13_000_000, 57
+BLOCK, MANY, RANGE_BYTES, HASH_BITS = 1_500_000, 65_535, 6_500_000, 56
 #: Bits of a pre-filter of sets, at most.
 FILTER_BITS = 1 << 27
 #: Entries from which a list is long, and keys that travel with the sets of long lists.
@@ -140,11 +140,14 @@ class Block:
         """A row for each range that the block has shingles in, and one about the block. Of a
         shingle that several sets of the block have, the range gets one entry and how many there
         are, and the block's own row keeps which: so a shingle has an entry a block at most."""
-        h = np.concatenate([np.zeros(0, np.uint64), *self.sets]) >> np.uint64(64 - HASH_BITS)
         sizes = np.array([len(x) for x in self.sets], np.int64)
-        idx = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16)
+        h = np.concatenate([np.zeros(0, np.uint64), *self.sets])
+        self.sets.clear()
+        h >>= np.uint64(64 - HASH_BITS)
+        idx = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
         order = np.argsort(h, kind="stable")
         h, idx = h[order], idx[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
         n = np.diff(np.append(first, len(h)))
         one, several = h[first], n > 1
@@ -188,10 +191,10 @@ def shared_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for i, text in zip(ids, texts):
                 block.add(i, shingle_set(text, words))
                 if block.full:
-                    yield block.rows(ranges, part << 24 | turn)
+                    yield from pieces(block.rows(ranges, part << 24 | turn))
                     turn, block = turn + 1, Block()
         if block.ids:
-            yield block.rows(ranges, part << 24 | turn)
+            yield from pieces(block.rows(ranges, part << 24 | turn))
 
     def meet(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, narrow, packed, release, rows_of, steps, unpacked, unsteps, words_of
+from .common import discard, materialize, narrow, packed, pieces, release, rows_of, steps, unpacked, unsteps, words_of
 
 #: Parameters: sweeps before samples are kept; samples whose predictions are averaged.
 BURN_IN, SAMPLES = 3, 3
@@ -273,10 +273,10 @@ def gathered(docs: DataFrame, facts: Facts, texts: bool) -> DataFrame:
             for i, held, text in zip(ids, flags, all_texts):
                 block.add(i, held, text)
                 if block.full:
-                    yield block.rows(shared.value, part << 24 | turn, texts)
+                    yield from pieces(block.rows(shared.value, part << 24 | turn, texts))
                     turn, block = turn + 1, Block()
         if block.ids:
-            yield block.rows(shared.value, part << 24 | turn, texts)
+            yield from pieces(block.rows(shared.value, part << 24 | turn, texts))
 
     return docs.mapInArrow(gather, "bucket int, block long, data binary, info binary")
 
