@@ -428,7 +428,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     rows = docs.groupBy(row.alias("row")).agg(F.min("doc_id").alias("id"), F.count("*").alias("times"))
     known = groups.groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n"))
     named = known.join(rows, "row").withColumn("order", F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    best = named.groupBy("component").agg(F.min("order").alias("best"))
+    best = materialize(named.groupBy("component").agg(F.min("order").alias("best")), "best")
     judged = named.join(best, "component").select("row", (F.col("best.row") == F.col("row")).alias("stays"), (F.col("times") > 1).alias("repeated"))
     special = materialize(judged.filter("NOT stays OR repeated").select("row", "stays"), "special")
     return dropped(docs, row, special)
