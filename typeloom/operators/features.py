@@ -40,10 +40,11 @@ def char_terms(text: Column, least: int = 3, most: int = 5) -> Column:
 
 def tfidf(docs: DataFrame, key: str, terms: Column, vocabulary: int) -> DataFrame:
     """Long TF-IDF (key, term, weight): the `vocabulary` terms with the highest counts in the
-    corpus, 1 + ln tf, smoothed idf + 1, rows of length 1. Counts are made a document at a time
-    before terms are shuffled; only the vocabulary, bounded by its size, is broadcast."""
+    corpus, 1 + ln tf, smoothed idf + 1, rows of length 1. Documents are dealt by key once, before
+    their terms are spelled out, so counts and lengths need no further shuffle; only the
+    vocabulary, bounded by its size, is broadcast."""
     n = docs.count()
-    tf = docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = docs.repartition(key).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(vocabulary)
     idf = stats.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     w = tf.join(F.broadcast(idf), "term").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
