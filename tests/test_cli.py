@@ -44,6 +44,22 @@ def test_classify_and_predict_only(spark, parts_file, tmp_path, capsys):
     assert read(spark, tmp_path / "p/parts").count() == 120
 
 
+@pytest.mark.parametrize("encoder", ["tfidf", "tfidf+head", "hash"])
+def test_a_saved_model_reads_another_file(spark, parts_file, tmp_path, capsys, encoder):
+    """Words, their numbers and the order of parts all differ from the file that was learned."""
+    base = ["classify", "--description", "description,alt", "--label", "label", "--model", str(tmp_path / "m"), "--encoder", encoder]
+    cli.main([*base, "--input", str(parts_file), "--out", str(tmp_path / "o"), "--folds", "2", "--target", "0.9"])
+    rng, nouns = random.Random(1), ["seal", "valve", "ball"]
+    rows = [f"N{i:04d};{' '.join(rng.sample(['aardvark', 'zinc', 'new', 'long', 'brass'], rng.randint(0, 2)))} {nouns[i % 3]};{nouns[i % 3].upper()};tbd" for i in range(45)]
+    other = tmp_path / "other.csv"
+    other.write_text("\n".join(["pn;description;alt;label", *rows, "N9999;qqqq;xxxx;tbd"]) + "\n")
+    cli.main([*base, "--input", str(other), "--out", str(tmp_path / "p"), "--predict-only"])
+    got = {r.pn: r for r in read(spark, tmp_path / "p/parts").collect()}
+    sure = [i for i in range(45) if got[f"N{i:04d}"].source == "classifier"]
+    assert len(got) == 46 and len(sure) > 15
+    assert all(got[f"N{i:04d}"].cluster_name == nouns[i % 3].upper() for i in sure)
+
+
 def test_override(spark, parts_file, tmp_path, capsys):
     rules = tmp_path / "o.yaml"
     args = ["classify", "--input", str(parts_file), "--out", "x", "--overrides", str(rules)]

@@ -51,7 +51,7 @@ def test_candidate_pages_of_every_benchmark_part(spark, duck):
     texts = [bare(t) for (t,) in duck.sql("SELECT text FROM documents WHERE length(text) > 0").fetchall()]
     parts = {re.search("[^ ]+", t)[0] for (t,) in duck.sql("SELECT text FROM benchmark").fetchall()}
     named = {pn for pn in parts if bare(pn) and any(bare(pn) in t for t in texts)}
-    assert {r.pn for r in QUERIES["candidate_pages_all"](spark, SF).collect()} == named
+    assert {r.pn for r in QUERIES["candidate_pages"](spark, SF).collect()} == named
     assert len(named) > 20
 
 

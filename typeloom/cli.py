@@ -127,15 +127,16 @@ def run_classify(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.extra:
         b = argparse.Namespace(**{**vars(a), "input": a.extra, "limit": None, "rows": None})
         parts = tables.stored(entities.labelled_union(parts, read_parts(spark, b)[1].filter("label != 'tbd'"), "pn"))
+    # A saved model brings the space that its weights belong to.
+    encode = encoders.load(spark, f"{a.model}/encoder") if a.predict_only else encoders.fitted(a.encoder, parts, "pn", "matdesc")
+    parts = tables.stored(parts.join(encode(parts, "pn", "matdesc"), "pn"))
     known = parts.filter(~text.is_unlabelled(F.col("label"), "equals"))
-    vectors = encoders.encoder(a.encoder, known)(parts, "pn", "matdesc")
-    parts = tables.stored(parts.join(vectors, "pn"))
-    known = parts.filter(~text.is_unlabelled(F.col("label"), "equals"))
-    settings = hybrid.Settings(target=a.target, threshold=a.threshold, discovery=a.discovery, folds=a.folds)
+    settings = hybrid.Settings(target=a.target, threshold=a.threshold, discovery=a.discovery, folds=a.folds, head=a.encoder.endswith("+head"))
     model = hybrid.HybridClassifier.load(spark, a.model) if a.predict_only else hybrid.HybridClassifier(settings).fit(known, "pn", "features", "label", fixed)
     metrics = {} if a.predict_only else {**model.report.first().asDict(), "threshold": model.threshold}
     if a.model and not a.predict_only:
         model.save(spark, a.model)
+        encoders.save(encode, a.encoder, spark, f"{a.model}/encoder")
     if a.simulate:
         metrics |= hybrid.simulate_new_types(known, "pn", "features", "label", a.simulate, settings).first().asDict()
     if a.compare:

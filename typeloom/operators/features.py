@@ -38,27 +38,41 @@ def char_terms(text: Column, least: int = 3, most: int = 5) -> Column:
     return F.flatten(F.transform(padded, runs))
 
 
-def tfidf(docs: DataFrame, key: str, terms: Column, vocabulary: int) -> DataFrame:
-    """Long TF-IDF (key, term, weight): the `vocabulary` terms with the highest counts in the
-    corpus, 1 + ln tf, smoothed idf + 1, rows of length 1. Documents are dealt by key once, before
-    their terms are spelled out, so counts and lengths need no further shuffle; only the
-    vocabulary, bounded by its size, is broadcast."""
-    n = docs.count()
-    tf = docs.repartition(key).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(vocabulary)
-    idf = stats.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+def term_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
+    """(key, term, tf). Documents are dealt by key once, before their terms are spelled out, so
+    that what is counted or summed by key later needs no further shuffle."""
+    return docs.repartition(key).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def vocabulary_of(tf: DataFrame, n: int, size: int) -> DataFrame:
+    """The `size` terms with the highest counts in a corpus of n documents, with smoothed idf + 1."""
+    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(size)
+    return stats.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def weighted(tf: DataFrame, key: str, idf: DataFrame) -> DataFrame:
+    """(key, term, weight) of the terms that a vocabulary holds: (1 + ln tf) * idf, rows of length
+    1. Only the vocabulary, bounded by its size, is broadcast."""
     w = tf.join(F.broadcast(idf), "term").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
     return w.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("weight"))
 
 
+def tfidf(docs: DataFrame, key: str, terms: Column, vocabulary: int) -> DataFrame:
+    """Long TF-IDF (key, term, weight) over the `vocabulary` commonest terms of the corpus."""
+    n = docs.count()
+    tf = term_counts(docs, key, terms)
+    return weighted(tf, key, vocabulary_of(tf, n, vocabulary))
+
+
 def numbered_terms(weights: DataFrame) -> DataFrame:
     """A vocabulary with positions; it is bounded, so one window over it is cheap."""
     return weights.select("term").distinct().withColumn("at", F.row_number().over(Window.orderBy("term")) - 1)
 
 
-def sparse_rows(weights: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """Rows (key, features) of a long table, as sparse vectors."""
-    terms = numbered_terms(weights)
+def sparse_rows(weights: DataFrame, key: str, terms: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Rows (key, features) of a long table, as sparse vectors; `terms` (term, at) if they have
+    numbers already."""
+    terms = numbered_terms(weights) if terms is None else terms
     size = terms.count()
 
     @F.udf(VectorUDT())
@@ -69,17 +83,18 @@ def sparse_rows(weights: DataFrame, key: str) -> tuple[DataFrame, int]:
     return rows.select(key, pack("p").alias("features")), size
 
 
-def svd(rows: DataFrame, key: str, dim: int = 200, seed: int = 0) -> DataFrame:
-    """(key, features array) of sparse rows projected on their leading right singular vectors,
-    then scaled to length 1. The factors are found by randomised subspace iteration: each round
-    is one pass that sums X'X Q over partitions, so only size x dim numbers reach the driver."""
-    size = rows.first()["features"].size if rows.take(1) else 1
-    n = rows.count()
+def svd_basis(rows: DataFrame, dim: int = 200, seed: int = 0) -> np.ndarray:
+    """The leading right singular vectors of sparse rows, found by randomised subspace iteration:
+    each round is one pass that sums X'X Q over partitions, so only size x dim numbers reach the
+    driver. Without rows, one column of zeros."""
+    some = rows.take(1)
+    if not some:
+        return np.zeros((1, 1))
+    size, n = some[0]["features"].size, rows.count()
     k = max(1, min(max(2, min(dim, min(n, size) - 1)), size))
-    wide = min(size, k + 10)
-    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, wide)))
+    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, min(size, k + 10))))
     sc = rows.sparkSession.sparkContext
-    data = rows.select(key, "features").persist()
+    data = rows.select("features").persist()
     for _ in range(4):
         shared = sc.broadcast(q)
 
@@ -91,15 +106,27 @@ def svd(rows: DataFrame, key: str, dim: int = 200, seed: int = 0) -> DataFrame:
             yield total
 
         q, _ = np.linalg.qr(data.rdd.mapPartitions(step).treeReduce(np.add))
-    basis = sc.broadcast(q[:, :k])
+        shared.unpersist()
+    data.unpersist()
+    return q[:, :k]
+
+
+def projected(rows: DataFrame, key: str, basis: np.ndarray) -> DataFrame:
+    """(key, features array) of sparse rows projected on a basis, then scaled to length 1."""
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
 
     @F.udf("array<double>")
     def project(v):
-        x = v.values @ basis.value[v.indices]
+        x = v.values @ shared.value[v.indices]
         n = float(np.linalg.norm(x))
         return (x / n if n else x).tolist()
 
-    return data.select(key, project("features").alias("features"))
+    return rows.select(key, project("features").alias("features"))
+
+
+def svd(rows: DataFrame, key: str, dim: int = 200, seed: int = 0) -> DataFrame:
+    """(key, features array) of sparse rows projected on their leading right singular vectors."""
+    return projected(rows, key, svd_basis(rows, dim, seed))
 
 
 def standard_physics(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -144,32 +171,18 @@ def term_scores(docs: DataFrame, group: str, text: str) -> DataFrame:
     return n.select(group, "term", (F.col("n") / total * F.log1p(F.lit(float(groups)) / df)).alias("score"))
 
 
-def group_names(docs: DataFrame, group: str, text: str, words: int = 2, pool: int = 64) -> DataFrame:
+def group_names(docs: DataFrame, group: str, text: str, words: int = 2) -> DataFrame:
     """A proposed name for each group: its best terms, skipping those that share the first four
-    characters with one taken. Terms beyond the first `pool` of a group are never needed unless
-    nearly all of them share a stem."""
-    scores = term_scores(docs, group, text)
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "term"))
-    best = scores.withColumn("r", rank).filter(F.col("r") <= pool).groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda p: p["term"]).alias("terms"))
-
-    def take(chosen: Column, term: Column) -> Column:
-        clash = F.exists(chosen, lambda w: term.startswith(F.substring(w, 1, 4)) | w.startswith(F.substring(term, 1, 4)))
-        return F.when((F.size(chosen) < words) & ~clash, F.concat(chosen, F.array(term))).otherwise(chosen)
-
-    chosen = F.aggregate("terms", F.array().cast("array<string>"), take)
-    named = best.select(group, F.upper(F.array_join(chosen, " ")).alias("n"))
-    every = docs.select(group).distinct()
-    return every.join(named, group, "left").select(group, F.concat(F.lit(NEW_NAME), F.coalesce(F.nullif("n", F.lit("")), F.lit("UNRECOGNISED"))).alias("name"))
+    characters with one taken. Each word is one pass over all terms of a group."""
+    rest, named = term_scores(docs, group, text), docs.select(group).distinct().withColumn("n", F.array().cast("array<string>"))
+    for _ in range(words):
+        best = rest.groupBy(group).agg(F.min_by("term", F.struct(-F.col("score"), "term")).alias("w"))
+        named = named.join(best, group, "left").select(group, F.when(F.col("w").isNull(), F.col("n")).otherwise(F.concat("n", F.array("w"))).alias("n"))
+        clash = F.startswith("term", F.substring("w", 1, 4)) | F.startswith("w", F.substring("term", 1, 4))
+        rest = rest.join(best, group).filter(~clash).drop("w")
+    return named.select(group, F.concat(F.lit(NEW_NAME), F.coalesce(F.nullif(F.upper(F.array_join("n", " ")), F.lit("")), F.lit("UNRECOGNISED"))).alias("name"))
 
 
 def text_cache_key(spec: str, text: Column) -> Column:
     """The key of a text in an embedding cache: one entry a text and encoder."""
     return F.sha2(F.concat(F.lit(spec), F.lit("\u0001"), text).cast("binary"), 256)
-
-
-def as_vector(c: Column) -> Column:
-    from pyspark.ml.functions import array_to_vector
-
-    return array_to_vector(c)
-
-

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import stored
 from . import linear
 from .clustering import cluster
+from .encoders import apply_head, contrast_head
 from .entities import min_class_size
 from .ranking import accuracy_threshold, every_kth_class, new_group_names, stratified_folds
 
@@ -28,16 +29,30 @@ class Settings:
     folds: int = 5
     c: float = 1.0
     seed: int = 0
+    head: bool = False
+
+
+def drawn(df: DataFrame, vector: str, head: np.ndarray | None) -> DataFrame:
+    """df with its vectors drawn through a head, if there is one."""
+    if head is None:
+        return df
+    return apply_head(df.withColumnRenamed(vector, "features"), head).withColumnRenamed("features", vector)
+
+
+def head_for(df: DataFrame, key: str, vector: str, label: str) -> np.ndarray:
+    return contrast_head(df.select(key, F.col(vector).alias("features")), df, key, label)
 
 
 def out_of_fold(df: DataFrame, key: str, vector: str, label: str, settings: Settings) -> DataFrame:
-    """Honest predictions: each row of a class that is large enough is scored by a model that has
-    not seen its fold; rows of small classes only train."""
+    """Honest predictions: each row of a class that is large enough is scored by a model (and a
+    head, if asked for) that has not seen its fold; rows of small classes only train."""
     folded = stored(stratified_folds(df, label, key, settings.folds, settings.least_scored, settings.seed))
     out = None
     for (k,) in folded.filter("fold IS NOT NULL").select("fold").distinct().orderBy("fold").collect():
-        model = linear.fit(folded.filter((F.col("fold") != k) | F.col("fold").isNull()), vector, label, settings.c)
-        part = linear.predict(model, folded.filter(F.col("fold") == k), vector)
+        train = folded.filter((F.col("fold") != k) | F.col("fold").isNull())
+        head = head_for(train, key, vector, label) if settings.head else None
+        model = linear.fit(drawn(train, vector, head), vector, label, settings.c)
+        part = linear.predict(model, drawn(folded.filter(F.col("fold") == k), vector, head), vector)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else folded.withColumn("predicted", F.lit(None).cast("string")).withColumn("margin", F.lit(0.0)).filter("false")
 
@@ -59,7 +74,7 @@ class HybridClassifier:
 
     def __init__(self, settings: Settings | None = None):
         self.settings = settings or Settings()
-        self.model, self.threshold, self.report = None, 0.0, None
+        self.model, self.head, self.threshold, self.report = None, None, 0.0, None
 
     def fit(self, df: DataFrame, key: str, vector: str, label: str, overrides: DataFrame | None = None) -> HybridClassifier:
         s = self.settings
@@ -73,12 +88,13 @@ class HybridClassifier:
         found = accuracy_threshold(scored, "margin", "correct", key, s.target).first()["threshold"]
         self.threshold = found if s.threshold is None else s.threshold
         self.report = quality(oof, label, self.threshold)
-        self.model = linear.fit(rows, vector, label, s.c)
+        self.head = head_for(rows, key, vector, label) if s.head else None
+        self.model = linear.fit(drawn(rows, vector, self.head), vector, label, s.c)
         return self
 
     def predict(self, df: DataFrame, key: str, vector: str, overrides: DataFrame | None = None) -> DataFrame:
         """df with cluster_name, source, confidence and needs_review."""
-        rows = linear.predict(self.model, df, vector)
+        rows = linear.predict(self.model, drawn(df, vector, self.head), vector)
         named = overrides.select(F.col(key), F.col("cluster").alias("own")) if overrides is not None else None
         rows = stored(rows.join(named, key, "left") if named is not None else rows.withColumn("own", F.lit(None).cast("string")))
         declined = rows.filter(F.col("own").isNull() & (F.col("margin") < self.threshold))
@@ -95,8 +111,8 @@ class HybridClassifier:
         return self.model.labels if self.model else []
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Settings, threshold, labels and weights; no training rows."""
-        facts = {**asdict(self.settings), "threshold": float(self.threshold)}
+        """Settings, threshold, head, labels and weights; no training rows."""
+        facts = {**asdict(self.settings), "threshold": float(self.threshold), "drawn": None if self.head is None else self.head.tolist()}
         spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").parquet(f"{path}/facts")
         rows = [(label, w.tolist()) for label, w in zip(self.model.labels, self.model.weights)]
         spark.createDataFrame(rows, "label string, weights array<double>").write.mode("overwrite").parquet(f"{path}/weights")
@@ -104,8 +120,9 @@ class HybridClassifier:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> HybridClassifier:
         facts = json.loads(spark.read.parquet(f"{path}/facts").first()["facts"])
+        drawn_by = facts.pop("drawn", None)
         self = cls(Settings(**facts))
-        self.threshold = facts["threshold"]
+        self.threshold, self.head = facts["threshold"], None if drawn_by is None else np.array(drawn_by)
         rows = spark.read.parquet(f"{path}/weights").orderBy("label").collect()
         self.model = linear.LinearModel([r.label for r in rows], np.array([r.weights for r in rows]))
         return self

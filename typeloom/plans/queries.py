@@ -160,13 +160,13 @@ def pn_variants(spark, sf):
     return views.parts(spark, sf).select("pn", F.array_join(text.pn_variants(F.col("pn")), "/").alias("variants"))
 
 
-@query("""SELECT item_id, doc_id FROM (SELECT item_id, upper(regexp_replace(left(text, 40), '[\\s\\-_.]', '', 'g')) AS k FROM benchmark) b
+@query("""SELECT item_id, doc_id FROM (SELECT item_id, upper(regexp_replace(text, '[\\s\\-_.]', '', 'g')) AS k FROM benchmark) b
     JOIN (SELECT doc_id, upper(regexp_replace(text, '[\\s\\-_.]', '', 'g')) AS t FROM documents) d ON contains(t, k)""")
 def mentions_pn(spark, sf):
-    """A theta join by containment: the list of keys is small and fixed, and is broadcast."""
-    keys = load(spark, sf, "benchmark").select("item_id", F.upper(F.regexp_replace(F.substring("text", 1, 40), text.PN_SEPARATORS, "")).alias("k"))
+    """A theta join by containment of whole texts; Spark broadcasts the side that its size allows."""
+    keys = load(spark, sf, "benchmark").select("item_id", F.upper(F.regexp_replace("text", text.PN_SEPARATORS, "")).alias("k"))
     docs = load(spark, sf, "documents").select("doc_id", F.upper(F.regexp_replace("text", text.PN_SEPARATORS, "")).alias("t"))
-    return docs.join(F.broadcast(keys), F.contains("t", "k")).select("item_id", "doc_id")
+    return docs.join(keys, F.contains("t", "k")).select("item_id", "doc_id")
 
 
 @query(f"""WITH {PARTS} SELECT pn, (CASE WHEN p_size % 2 = 0 THEN 10 ELSE 0 END + 3 + CASE WHEN p_size % 3 = 0 THEN 3 ELSE 0 END)::INTEGER AS score FROM parts""")
@@ -332,9 +332,9 @@ def hidden_classes(spark, sf):
     return ranking.every_kth_class(views.parts(spark, sf), "label", 0.25)
 
 
-@query(f"WITH {PARTS} SELECT pn, ((row_number() OVER (ORDER BY pn) - 1) // 60)::BIGINT AS batch FROM (SELECT * FROM parts ORDER BY pn LIMIT 500)")
+@query(f"WITH {PARTS} SELECT pn, ((row_number() OVER (ORDER BY pn) - 1) // 60)::BIGINT AS batch FROM parts")
 def fixed_batches(spark, sf):
-    return ranking.fixed_batches(ranking.head(views.parts(spark, sf), "pn", 500), "pn", 60).select("pn", "batch")
+    return ranking.fixed_batches(views.parts(spark, sf), "pn", 60).select("pn", "batch")
 
 
 @query(f"WITH {RECORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY pn ORDER BY row_id) AS r FROM records) SELECT pn, row_id FROM r WHERE r = 1")
@@ -574,17 +574,11 @@ def provider_fusion(spark, sf):
     return dimensions.fuse(e)
 
 
-@query(f"""WITH b AS (SELECT item_id, regexp_extract(text, '[^ ]+') AS pn FROM benchmark WHERE item_id < 20), d AS (SELECT doc_id, text, regexp_replace(upper(text), '[\\s\\-_.]', '', 'g') AS t FROM documents WHERE length(text) > 0),
+@query(f"""WITH b AS (SELECT item_id, regexp_extract(text, '[^ ]+') AS pn FROM benchmark), d AS (SELECT doc_id, text, regexp_replace(upper(text), '[\\s\\-_.]', '', 'g') AS t FROM documents WHERE length(text) > 0),
     s AS (SELECT b.pn AS pn, doc_id, CASE WHEN contains(t, regexp_replace(upper(b.pn), '[\\s\\-_.]', '', 'g')) THEN 2 ELSE 0 END + regexp_matches(text, '{text.HAS_WEIGHT}')::INTEGER + regexp_matches(text, '{text.HAS_DIMENSIONS}')::INTEGER AS score FROM (SELECT DISTINCT pn FROM b) b, d),
     r AS (SELECT *, row_number() OVER (PARTITION BY pn ORDER BY score DESC, doc_id) AS rank, max(score >= 2) OVER (PARTITION BY pn) AS seen FROM s)
     SELECT pn, doc_id, score::INTEGER AS score, rank::INTEGER AS rank FROM r WHERE rank <= 2 AND seen""")
 def candidate_pages(spark, sf):
-    """Of the first 20 items only, as its SQL has it; candidate_pages_all takes the whole benchmark."""
-    return benchmark_pages(spark, sf, load(spark, sf, "benchmark").filter("item_id < 20"))
-
-
-@query(SQL["candidate_pages"].replace(" WHERE item_id < 20", ""))
-def candidate_pages_all(spark, sf):
     return benchmark_pages(spark, sf, load(spark, sf, "benchmark"))
 
 
