@@ -1,5 +1,6 @@
 """Operators on texts, against brute force and on awkward tables."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -146,6 +147,26 @@ def test_license_digests(spark):
     assert [got[i] for i in range(8)] == ["MIT", "MIT", "MIT", None, None, None, "MIT-line", "MIT"]
 
 
+def test_every_listed_license_in_another_dress(spark):
+    """Each listed text, and each as others write it, told by a plain account of the rules."""
+    def plain(t):
+        w = re.findall(r"[0-9a-z\u0080-\uffff]+", re.sub(license_scan.COPYRIGHT_LINE, "", t.lower()))
+        line = " " + " ".join(w) + " "
+        for one, other in license_scan.SPELLINGS:
+            while f" {one} " in line:
+                line = line.replace(f" {one} ", f" {other} ")
+        return line.strip()
+
+    dressed = {k: ["Copyright (c) 1999 Some One\n" + t.upper(), re.sub(r"[ \n]+", "\n   ", t), "## " + t.replace(".", " .\r\n")] for k, t in license_scan.KNOWN_TEXTS.items()}
+    rows = [(k, t) for k, ts in dressed.items() for t in [license_scan.KNOWN_TEXTS[k], *ts]] + [(None, "licence licence licence"), (None, license_scan.KNOWN_TEXTS["MIT"][:-20])]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.license_scan(docs, license_scan.known_licenses(spark)).collect()}
+    same = {plain(t): k for k, t in reversed(license_scan.KNOWN_TEXTS.items())}
+    for i, (k, t) in enumerate(rows):
+        assert got[i].license_id == (same[plain(license_scan.KNOWN_TEXTS[k])] if k else None)
+        assert got[i].digest == hashlib.sha256(plain(t).encode()).hexdigest()
+
+
 def test_license_with_typographic_signs_titles_and_holders(spark):
     mit = license_scan.KNOWN_TEXTS["MIT"]
     curly = re.sub(r'"([^"]*)"', "\u201c\\1\u201d", mit)

@@ -80,6 +80,22 @@ def test_near_duplicates_against_all_pairs(spark, seed, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_recall_of_hard_pairs(spark):
+    """Thousands of pairs whose cosine is just above the threshold; the grid at its usual grain."""
+    rng = np.random.default_rng(3)
+    x = vector_dedup.unit(rng.standard_normal((3000, 24)))
+    noise = rng.standard_normal(x.shape)
+    noise = vector_dedup.unit(noise - (noise * x).sum(1, keepdims=True) * x)
+    cosine = rng.uniform(0.98, 0.99, (len(x), 1))
+    both = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * noise])
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(spark.createDataFrame([(i, 0, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, label int, embedding array<double>, n int")).collect()}
+    want = both @ both.T >= 0.98
+    np.fill_diagonal(want, False)
+    assert want.sum() >= 5900
+    assert sum(r.n_links for r in got.values()) >= 0.99 * want.sum()
+    assert all(got[i].n_links <= n for i, n in enumerate(want.sum(1)))
+
+
 def test_traversal_visits_nearest_cells_first():
     rng = np.random.default_rng(0)
     m = vector_dedup.fit(vector_dedup.unit(rng.standard_normal((500, 8))), 5000, 0.9)

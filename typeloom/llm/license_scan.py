@@ -67,6 +67,14 @@ SPELLINGS: list[tuple[str, str]] = [
 COPYRIGHT_LINE = r"(?m)^[^\n\w]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)[ \t]+[0-9]|©|all rights reserved)[^\n]*$"
 
 
+def respelled(t: Column) -> Column:
+    """Words between single spaces in their one spelling; twice, as neighbours share a space."""
+    for one, other in SPELLINGS:
+        for _ in range(2):
+            t = F.replace(t, F.lit(f" {one} "), F.lit(f" {other} "))
+    return t
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a whole text: A-Z lower-cased, copyright lines gone, everything
     but ASCII letters, digits and other alphabets' letters turned into single spaces, and
@@ -74,9 +82,7 @@ def canonical(text: Column) -> Column:
     t = ascii_lower(F.coalesce(text, F.lit("")))
     t = F.when(t.contains("copyright") | t.contains("(c)") | t.contains("©") | t.contains("all rights reserved"), F.regexp_replace(t, COPYRIGHT_LINE, "")).otherwise(t)
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
-    for one, other in SPELLINGS:
-        t = F.replace(t, F.lit(f" {one} "), F.lit(f" {other} "))
-    return F.trim(t)
+    return F.trim(respelled(t))
 
 
 #: Title lines, and lines that name a copyright holder: "copyright" and a sign or a year, or a name
@@ -93,9 +99,7 @@ def canonical_wide(text: Column) -> Column:
     for line in (TITLE_LINE, HOLDER_LINE):
         t = F.regexp_replace(t, line, "")
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    for one, other in SPELLINGS:
-        t = F.replace(t, F.lit(f" {one} "), F.lit(f" {other} "))
-    return F.trim(t)
+    return F.trim(respelled(t))
 
 
 def digest(text: Column) -> Column:

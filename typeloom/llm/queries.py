@@ -78,7 +78,7 @@ def license_sql() -> str:
         clean = f"regexp_replace({lower}, {sql_text(license_scan.COPYRIGHT_LINE)}, '', 'g')"
         spaced = f"' ' || trim(regexp_replace({clean}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) || ' '"
         for one, other in license_scan.SPELLINGS:
-            spaced = f"replace({spaced}, ' {one} ', ' {other} ')"
+            spaced = f"replace(replace({spaced}, ' {one} ', ' {other} '), ' {one} ', ' {other} ')"
         return f"sha256(trim({spaced}))"
 
     known = ", ".join(f"({sql_text(k)}, {sql_text(v)})" for k, v in license_scan.KNOWN_TEXTS.items())

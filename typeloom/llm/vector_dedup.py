@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .common import components, materialize
 from .vectors import kmeans, matrix, usable
 
-#: Parameters: rows that codebooks are fitted on, rows a cell should hold, codes a half at most.
-SAMPLE, PER_CELL, CODES = 8192, 48, 512
+#: Parameters: rows that codebooks are fitted on, at least, and a code; rows a cell should hold;
+#: codes a half at most. The grid grows with the rows up to CODES * CODES cells (some 800 million
+#: rows); beyond, cells grow instead.
+SAMPLE, PER_CODE, PER_CELL, CODES = 8192, 16, 48, 4096
 #: Rows of a block, and the recall that the traversal must reach on the hardest pairs.
 BLOCK, RECALL = 512, 0.995
 #: Rows, about, that one call compares: many small blocks, or a few large ones.
@@ -50,11 +52,16 @@ class MultiIndex:
         return [int(r) * len(self.two) + int(c) for r, end in zip(i, ends) for c in j[:end]]
 
 
+def codes_for(rows: int) -> int:
+    """Codes of a half for so many rows."""
+    return int(max(1, min(CODES, round((rows / PER_CELL) ** 0.5))))
+
+
 def fit(sample: np.ndarray, rows: int, threshold: float, seed: int = 0) -> MultiIndex:
     """Fit codebooks on unit vectors, and calibrate the slack: of pairs that lie exactly at the
     threshold, the hardest there are, a traversal from either side must reach RECALL."""
     half = (sample.shape[1] + 1) // 2
-    codes = int(max(1, min(CODES, round((rows / PER_CELL) ** 0.5))))
+    codes = codes_for(rows)
     index = MultiIndex(kmeans(sample[:, :half], codes, seed=seed), kmeans(sample[:, half:], codes, seed=seed + 1) if sample.shape[1] > 1 else np.zeros((1, 0)), half)
     rng = np.random.default_rng(seed)
     x = np.repeat(sample, max(1, 4096 // max(1, len(sample))), axis=0)[:8192]
@@ -77,7 +84,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, group: str = "l
     BLOCK rows. A block returns, for each of its rows, the number of links it found, and edges
     that join what is linked there, at most one less than it has rows; pairs are never listed.
     A pair of cells that either side visits is compared once, so counts are symmetric.
-    Only the sample of SAMPLE vectors that codebooks are fitted on is collected.
+    Only the sample that codebooks are fitted on (SAMPLE vectors, or PER_CODE a code) is collected.
+    Equal vectors are told by 64 bits of a hash of group and vector.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, rows without a
     group and vectors of different lengths link with nothing. A row without a key has no
@@ -89,8 +97,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, group: str = "l
     fine = usable(F.col(vector)) & F.exists(v, lambda x: x != 0) & F.col(group).isNotNull()
     clean = F.transform(v, lambda x: x + F.lit(0.0))  # -0.0 and 0.0 are equal
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.when(fine, F.col(group).cast("string")).alias("grp"), F.when(fine, clean).alias("v"))
-    classes = rows.filter("grp IS NOT NULL").groupBy("grp", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    classes = materialize(classes.withColumn("dim", F.size("v")).withColumn("cls", F.xxhash64("grp", "v")), "classes")
+    rows = rows.withColumn("cls", F.when(F.col("grp").isNotNull(), F.xxhash64("grp", "v")))
+    classes = rows.filter("grp IS NOT NULL").groupBy("cls").agg(F.first("grp").alias("grp"), F.first("v").alias("v"), F.min("id").alias("rep"), F.count("*").alias("n"))
+    classes = materialize(classes.withColumn("dim", F.size("v")), "classes")
     dims = [(r.dim, r.n) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()]
     found = [link(classes.filter(F.col("dim") == d), d, n, threshold, seed) for d, n in dims]
     empty = spark.createDataFrame([], "cls long, links long, a long, b long")
@@ -102,9 +111,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, group: str = "l
     comps = components(links.filter("a IS NOT NULL").select("a", "b"))
     least = classes.select("cls", "rep").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
     ends = least.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = classes.select("grp", "v", "cls", "n").join(least.select("cls", "root"), "cls").join(ends, "root").join(counts, "cls", "left")
-    known = known.select("grp", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.join(known, ["grp", "v"], "left")
+    known = classes.select("cls", "n").join(least.select("cls", "root"), "cls").join(ends, "root").join(counts, "cls", "left")
+    # Written first, so that the join deals plain rows of both sides and can split a large class.
+    known = materialize(known.select("cls", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "known")
+    out = rows.select("id", "cls").join(known, "cls", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
@@ -113,7 +123,7 @@ def link(classes: DataFrame, dim: int, rows: int, threshold: float, seed: int) -
     """Links between classes of vectors of one length: rows (cls, links, -, -) that count linked
     rows, to be summed by cls, and rows (-, -, a, b) that join classes."""
     spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64(F.lit(seed), "cls"), "cls").limit(SAMPLE).select("v").collect()
+    sample = classes.orderBy(F.xxhash64(F.lit(seed), "cls"), "cls").limit(max(SAMPLE, PER_CODE * codes_for(rows))).select("v").collect()
     raw = np.array([r.v for r in sample], float).reshape(len(sample), dim)
     index = spark.sparkContext.broadcast(fit(unit(raw), rows, threshold, seed))
 
