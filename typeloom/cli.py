@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from . import config
 from .functions import text
-from .operators import clustering, dimensions, encoders, entities, evaluation, features, gateway, hybrid, ranking
-from .sources import tables
+from .operators import clustering, dimensions, encoders, entities, evaluation, features, gateway, hybrid, ranking, readers
+from .sources import providers, tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--rows", type=int, help="the first so many records")
         s.add_argument("--overrides", help="YAML file of expert assignments")
         s.add_argument("--encoder", default="tfidf")
+        s.add_argument("--latest", help="folder that always holds the last document")
         return s
 
     c = table("classify", "learn from labelled parts, assign the others, discover new types")
@@ -67,6 +68,9 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--brand", default="")
     x.add_argument("--samples", help="delimited file of known sheets: pn, title, text")
     x.add_argument("--no-fallback", action="store_true", help="no synthetic sheet for unknown parts")
+    x.add_argument("--pages", help="Parquet table of pages (url, title, html) that is searched before the samples")
+    x.add_argument("--cache", help="folder of sheets found before")
+    x.add_argument("--refresh", action="store_true", help="ask again for what the cache holds")
     x.add_argument("--csv-in")
     x.add_argument("--csv-out")
     x.add_argument("--limit", type=int)
@@ -102,7 +106,9 @@ def finish(spark: SparkSession, a: argparse.Namespace, records: DataFrame, out:
     tables.write_csv(entities.spread_to_records(records.drop("pn", "_matdesc").withColumnRenamed("_pn", "pn"), out, "pn", "cluster_name"), f"{a.out}/records")
     tables.write_csv(legend, f"{a.out}/legend", single=True)
     stamp = datetime.now(timezone.utc).isoformat(timespec="seconds")
-    tables.result_document(out, legend, metrics, stamp).write.mode("overwrite").json(f"{a.out}/document")
+    document = tables.result_document(out, legend, metrics, stamp)
+    for folder in [f"{a.out}/document", *([a.latest] if a.latest else [])]:
+        document.write.mode("overwrite").json(folder)
     print(json.dumps(metrics))
 
 
@@ -213,7 +219,11 @@ def run_extract(spark: SparkSession, a: argparse.Namespace) -> None:
         queries = items.select(pick("pn").alias("pn"), pick("title").alias("title"), pick("category").alias("category")).dropDuplicates(["pn"])
     else:
         queries = spark.createDataFrame([(a.pn, a.title, a.category)], kinds)
-    out = dimensions.process_batch(spark, queries, known)
+    sources = [providers.PageTable(spark.read.parquet(a.pages))] if a.pages else []
+    if a.cache:
+        sources = [providers.Cached(p, f"{a.cache}/{i}", refresh=a.refresh) for i, p in enumerate(sources)]
+    queries = tables.stored(queries)
+    out = readers.process(queries, providers.cascade([*sources, providers.Samples(known, not a.no_fallback)], queries))
     if a.csv_in:
         flat = out.select(F.col("pn").alias("_pn"), "method", "confidence", "metric.*")
         tables.write_csv(items.join(flat, items[found["pn"]] == flat["_pn"], "left").orderBy("row_id").drop("_pn", "row_id"), a.csv_out, single=True)

@@ -204,9 +204,9 @@ def is_complete(c: Column) -> Column:
 
 
 def letters(n: Column) -> Column:
-    """0 is A, 25 is Z, 26 is AA, as spreadsheets name columns (up to four letters)."""
+    """0 is A, 25 is Z, 26 is AA, as spreadsheets name columns (up to seven letters)."""
     out, left = F.lit(""), n + 1
-    for _ in range(4):
+    for _ in range(7):
         digit = (left - 1) % 26
         out = F.when(left > 0, F.concat(F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), digit.cast("int") + 1, 1), out)).otherwise(out)
         left = F.when(left > 0, F.floor((left - 1) / 26)).otherwise(F.lit(0))
@@ -235,3 +235,35 @@ def search_text(brand: Column, pn: Column, title: Column, category: Column) -> C
     """A search string from the fields that are there, each once, in order."""
     given = F.filter(F.array(brand, pn, title, category), lambda x: x.isNotNull() & (F.trim(x) != ""))
     return F.array_join(F.array_distinct(F.transform(given, lambda x: F.trim(x))), " ")
+
+
+# Fixed value: what a search for vehicle parts leaves out.
+UNRELATED_GOODS = '-dishwasher -refrigerator -fridge -dryer -"washing machine" -"home connect"'
+
+
+def web_queries(brand: Column, pn: Column, title: Column, most: int = 8) -> Column:
+    """Search strings for a part, the most telling first, each once, `most` at most; null without
+    a number. Punctuation of the title is not searched for."""
+    said = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), r"[^\p{L}\p{N}_\s]", " "), r"^\s+|\s+$", "")
+    given = F.coalesce(brand, F.lit(""))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    joined = lambda *cs: F.concat_ws(" ", *[F.lit(c) if isinstance(c, str) else c for c in cs])
+    titled = lambda *cs: F.when(said != "", F.array(*cs)).otherwise(F.array().cast("array<string>"))
+    first = titled(joined(given, pn, said, "dimensions"), joined(given, quoted(pn), said, "dimensions weight"), joined(quoted(pn), said, "dimensions"))
+    plain = F.array(joined(given, pn, "dimensions weight"), joined(quoted(pn), "dimensions weight"))
+
+    def of_variant(v: Column) -> Column:
+        return F.concat(F.array(joined(given, quoted(v), "dimensions weight", UNRELATED_GOODS)), titled(joined(quoted(v), said)), F.array(joined(quoted(v), "datasheet specifications")))
+
+    spelled = F.flatten(F.transform(F.slice(pn_variants(pn), 1, 3), of_variant))
+    return F.when(pn.isNotNull(), F.slice(F.array_distinct(F.concat(first, plain, spelled)), 1, most))
+
+
+def catalog_queries(variants: Column, domains: list[str], most_variants: int = 2, at_once: int = 3) -> Column:
+    """Searches for the first spellings of a number within domains, a few domains a search, as
+    engines pass over long alternatives."""
+    sites = [" OR ".join(f"site:{d}" for d in domains[i : i + at_once]) for i in range(0, len(domains), at_once)]
+    if not sites:
+        return F.array().cast("array<string>")
+    asked = F.transform(F.slice(variants, 1, most_variants), lambda v: F.array(*[F.concat(F.lit('"'), v, F.lit(f'" ({s})')) for s in sites]))
+    return F.array_distinct(F.flatten(asked))

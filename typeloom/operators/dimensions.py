@@ -84,6 +84,18 @@ def attachment_lines(docs: DataFrame, key: str, text: str, pn: str, most: int =
     return once.withColumn("rank", rank).filter(F.col("rank") <= most).select(key, "rank", "line")
 
 
+def attachment_rows(cells: DataFrame, key: str, pn: str, most: int = 50, sheets: int = 5, per_sheet: int = 1000, wide: int = 12, cut: int = 200) -> DataFrame:
+    """Rows of a workbook, (key, pn, sheet, sheet_no, row_no, cells) numbered from 1, that name the
+    part, or a size word among few cells: the first `most`, each as a line that says where it is."""
+    filled = F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != ""))
+    rows = cells.filter((F.col("sheet_no") <= sheets) & (F.col("row_no") <= per_sheet)).withColumn("_c", filled).withColumn("line", F.array_join("_c", " | "))
+    word = F.exists(F.array(*[F.lit(w) for w in ATTACHMENT_WORDS]), lambda w: F.contains(F.lower("line"), w))
+    kept = rows.filter((F.size("_c") > 0) & (mentions_pn(F.col("line"), F.col(pn)) | (word & (F.size("_c") <= wide))))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("sheet_no", "row_no"))
+    shown = F.concat(F.lit("["), F.col("sheet"), F.lit(":R"), F.col("row_no").cast("string"), F.lit("] "), F.substring("line", 1, cut))
+    return kept.withColumn("rank", rank).filter(F.col("rank") <= most).select(key, "rank", shown.alias("line"))
+
+
 def method_of(method: Column, confidence: Column) -> Column:
     """extracted or estimated as given; anything else by confidence."""
     return F.when(method.isin("extracted", "estimated"), method).otherwise(F.when(F.coalesce(confidence, F.lit(0.0)) < 0.6, "estimated").otherwise("extracted"))

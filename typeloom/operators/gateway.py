@@ -63,9 +63,13 @@ class KeywordModel:
         if groups := re.findall(r'^GROUP "([^"]+)"\n((?:  - .*\n?)+)', user, re.M):
             return json.dumps({"names": [{"group": g, "name": self.vote(b.splitlines())} for g, b in groups]})
         if cards := re.findall(r'^\[(\d+)\].*?desc="(.*?)"', user, re.M):
-            return json.dumps({"assignments": [{"id": int(i), "cluster": self.kind(d)} for i, d in cards]})
+            return json.dumps({"assignments": [{"id": int(i), "cluster": self.kind(d), **self.doubt(d)} for i, d in cards]})
         return json.dumps({"clusters": sorted({k for _, k in KEYWORDS} | {OTHER})})
 
+    def doubt(self, text: str) -> dict:
+        known = self.kind(text) != OTHER
+        return {"confidence": 0.9 if known else 0.3, "missing": "" if known else "description too generic/only a code"}
+
     def vote(self, lines: list[str]) -> str:
         kinds = [self.kind(x) for x in lines if x.strip(" -\t")]
         best = Counter([k for k in kinds if k != OTHER] or kinds).most_common()
@@ -121,6 +125,25 @@ def taxonomy(mode: str, seed: list[str], find) -> list[str]:
     return tidy_names({"fixed": lambda: seed, "seed": lambda: [*seed, *find()], "discover": find}[mode]())
 
 
+def _answers(model: Model, task: str, group: pd.DataFrame, key: str, card: str) -> list[tuple]:
+    """(key, item) for every item of the answer that names a card of the batch."""
+    ids = group[key].tolist()
+    try:
+        items = _rows(model.ask(task, "\n".join(f"[{i}] {c}" for i, c in enumerate(group[card]))), "assignments")
+    except Exception:  # noqa: BLE001  one failed batch must not end the others
+        return []
+    at = [(str(x.get("id", "")).strip(), x) for x in items if isinstance(x, dict)]
+    return [(ids[int(i)], x) for i, x in at if i.isdigit() and int(i) < len(ids)]
+
+
+def share(value) -> float:
+    """A number between 0 and 1 from whatever a model says; 0 where it is none."""
+    try:
+        return max(0.0, min(1.0, float(value))) if float(value) == float(value) else 0.0
+    except (TypeError, ValueError):
+        return 0.0
+
+
 def classify(cards: DataFrame, key: str, card: str, model: Model, size: int = 25, allow_new: bool = True) -> DataFrame:
     """(key, cluster) in batches, spread over tasks. Items of an answer that make no sense are left
     out, a batch that fails gives no rows, and a leading NEW: is dropped."""
@@ -130,22 +153,27 @@ def classify(cards: DataFrame, key: str, card: str, model: Model, size: int = 25
     work = batches(cards.select(key, card), key, size)
 
     def ask(group: pd.DataFrame) -> pd.DataFrame:
-        ids = group[key].tolist()
-        text = "\n".join(f"[{i}] {c}" for i, c in enumerate(group[card]))
-        out = []
-        try:
-            items = _rows(model.ask("classify", text), "assignments")
-        except Exception:  # noqa: BLE001  one failed batch must not end the others
-            items = []
-        for x in items:
-            if isinstance(x, dict) and str(x.get("id", "")).strip().isdigit() and int(x["id"]) < len(ids) and str(x.get("cluster") or "").strip():
-                out.append((ids[int(x["id"])], str(x["cluster"]).strip()))
-        return pd.DataFrame(out, columns=[key, "cluster"])
+        named = ((k, str(x.get("cluster") or "").strip()) for k, x in _answers(model, "classify", group, key, card))
+        return pd.DataFrame([(k, c) for k, c in named if c], columns=[key, "cluster"])
 
     got = work.groupBy("batch").applyInPandas(ask, f"{key} {kind}, cluster string")
     return got.withColumn("cluster", strip_new(F.col("cluster"))) if allow_new else got
 
 
+def classify_with_confidence(cards: DataFrame, key: str, card: str, model: Model, size: int = 25) -> DataFrame:
+    """(key, cluster, confidence, missing) in batches: how sure the model is of each answer, and
+    what it lacks where it is not. Of several answers for a card the last counts; a batch that
+    fails gives no rows."""
+    kind = cards.schema[key].dataType.simpleString()
+
+    def ask(group: pd.DataFrame) -> pd.DataFrame:
+        last = dict(_answers(model, "classify, with confidence and what is missing", group, key, card))
+        out = [(k, str(x.get("cluster") or "").strip(), share(x.get("confidence")), str(x.get("missing") or "").strip()) for k, x in last.items()]
+        return pd.DataFrame(out, columns=[key, "cluster", "confidence", "missing"])
+
+    return batches(cards.select(key, card), key, size).groupBy("batch").applyInPandas(ask, f"{key} {kind}, cluster string, confidence double, missing string")
+
+
 def classify_missing(cards: DataFrame, cache: DataFrame, key: str, card: str, model: Model, **options) -> DataFrame:
     """Cached answers, and new ones for what the cache lacks; unanswered items get a default."""
     from .entities import keep_missing

@@ -79,13 +79,18 @@ def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, least:
     with_n = df.withColumn("_n", n)
     smallest = with_n.filter(F.col("_n") >= least).agg(F.min("_n")).first()[0]
     k = max(2, min(folds, smallest or folds))
-    order = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")).cast("binary")), key))
+    order = F.row_number().over(Window.partitionBy(label).orderBy(dealt(key, seed), key))
     return with_n.withColumn("fold", F.when(F.col("_n") >= least, (order - 1) % k).cast("int")).drop("_n")
 
 
+def dealt(key: str, seed: int) -> Column:
+    """Hex digits that put keys into an order that looks random and is the same in every run."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")).cast("binary"))
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows that every run draws alike."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(dealt(key, seed), key).limit(n)
 
 
 def head(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -96,7 +101,7 @@ def batches(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
     """Rows in batches of at most `size`. Lanes of about 64 batches are numbered on their own, so
     there is no single order over all rows; only the last batch of a lane may be smaller."""
     lanes = max(1, -(-df.count() // (64 * size)))
-    lane = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(lanes))
+    lane = F.conv(F.substring(dealt(key, seed), 1, 8), 16, 10).cast("long") % lanes
     order = F.row_number().over(Window.partitionBy("_lane").orderBy(key))
     return df.withColumn("_lane", lane).withColumn("batch", F.concat_ws("-", F.col("_lane"), F.floor((order - 1) / size))).drop("_lane")
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import pages, text, units
-from ..operators import clustering, dimensions, encoders, entities, evaluation, features, gateway, hybrid, linear, ranking
+from ..operators import clustering, dimensions, encoders, entities, evaluation, features, gateway, hybrid, linear, ranking, readers
 from ..sources import providers
 from ..sources.tables import result_document, stored
 from . import views
 from .registry import load, query
-from .views import NEAREST, PARTS, RECORDS
+from .views import LINES_SQL, NAMED_SQL, NEAREST, PARTS, RECORDS, WORDS_SQL
 
 R6 = lambda c: F.round(c, 6)
 
@@ -40,12 +40,13 @@ def top2_margins(spark, sf):
     return v.crossJoin(F.broadcast(c)).select("vec_id", R6(ranking.top2_margin(scores)).alias("margin"))
 
 
-@query()
+@query(f"WITH {PARTS} SELECT pn FROM parts ORDER BY md5(pn || '-42'), pn LIMIT 180")
 def sampled_parts(spark, sf):
     return ranking.sample_rows(views.parts(spark, sf), "pn", 180).select("pn")
 
 
-@query()
+@query(f"""WITH {PARTS}, l AS (SELECT pn, ('0x' || substr(md5(pn || '-0'), 1, 8))::UBIGINT::BIGINT % (SELECT greatest(1, ceil(count(*) / 1600))::BIGINT FROM parts) AS lane FROM parts),
+    b AS (SELECT lane, (row_number() OVER (PARTITION BY lane ORDER BY pn) - 1) // 25 AS b FROM l) SELECT lane || '-' || b AS batch, count(*) AS n FROM b GROUP BY ALL""")
 def lane_batches(spark, sf):
     return ranking.batches(views.parts(spark, sf), "pn", 25).groupBy("batch").agg(F.count("*").alias("n"))
 
@@ -160,3 +161,63 @@ def wiki_search(spark, sf):
 def taxonomy_names(spark, sf):
     cards = views.parts(spark, sf).select("pn", text.part_card({"desc": F.col("matdesc")}, ("desc",)).alias("card"))
     return spark.createDataFrame([(n,) for n in gateway.discover_taxonomy(cards, "pn", "card", gateway.KeywordModel())], "name string")
+
+
+GOODS = text.UNRELATED_GOODS
+
+
+@query(f"""WITH {PARTS}, v AS (SELECT pn, p_brand AS b, p_name AS t, '"' || pn || '"' AS q FROM parts)
+    SELECT pn, [b || ' ' || pn || ' ' || t || ' dimensions', b || ' ' || q || ' ' || t || ' dimensions weight', q || ' ' || t || ' dimensions', b || ' ' || pn || ' dimensions weight', q || ' dimensions weight',
+        b || ' ' || q || ' dimensions weight {GOODS}', q || ' ' || t, q || ' datasheet specifications'] AS searches FROM v""")
+def web_queries(spark, sf):
+    return views.parts(spark, sf).select("pn", text.web_queries(F.col("p_brand"), F.col("pn"), F.concat(F.lit(" "), "p_name", F.lit("! "))).alias("searches"))
+
+
+DOMAINS = ["a.example", "b.example", "c.example", "d.example"]
+
+
+@query(f"""WITH {PARTS}, v AS (SELECT pn, unnest([pn, substr(pn, 1, 1) || ' ' || substr(pn, 2, 3) || ' ' || substr(pn, 5, 3) || ' ' || substr(pn, 8)]) AS v, unnest([1, 2]) AS i FROM parts)
+    SELECT pn, flatten(list(['"' || v || '" (site:a.example OR site:b.example OR site:c.example)', '"' || v || '" (site:d.example)'] ORDER BY i)) AS searches FROM v GROUP BY pn""")
+def catalog_queries(spark, sf):
+    return views.parts(spark, sf).select("pn", text.catalog_queries(text.pn_variants(F.col("pn")), DOMAINS).alias("searches"))
+
+
+@query(f"""WITH {PARTS}, k AS (SELECT pn, CASE {' '.join(f"WHEN contains(lower(matdesc), '{w}') THEN '{k}'" for w, k in gateway.KEYWORDS)} ELSE 'OTHER' END AS cluster FROM parts)
+    SELECT pn, cluster, CASE WHEN cluster = 'OTHER' THEN 0.3 ELSE 0.9 END::DOUBLE AS confidence, CASE WHEN cluster = 'OTHER' THEN 'description too generic/only a code' ELSE '' END AS missing FROM k""")
+def confident_types(spark, sf):
+    cards = views.parts(spark, sf).select("pn", text.part_card({"desc": F.col("matdesc")}, ("desc",)).alias("card"))
+    return gateway.classify_with_confidence(cards, "pn", "card", gateway.KeywordModel())
+
+
+@query(f"""WITH l AS ({LINES_SQL}), c AS (SELECT doc_id, 'S' || (pos % 7 + 1) AS sheet, pos % 7 + 1 AS s, pos // 7 + 1 AS r, list_filter(list_transform(string_split(line, ' '), lambda x: trim(x)), lambda x: x <> '') AS cells FROM l),
+    k AS (SELECT *, array_to_string(cells, ' | ') AS line FROM c WHERE s <= 5 AND r <= 1000 AND len(cells) > 0),
+    w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, r) AS rank FROM k WHERE {NAMED_SQL} OR (({WORDS_SQL}) AND len(cells) <= 12))
+    SELECT doc_id, rank::INTEGER AS rank, '[' || sheet || ':R' || r || '] ' || substr(line, 1, 200) AS line FROM w WHERE rank <= 50""")
+def attachment_rows(spark, sf):
+    """Each document as a workbook of seven sheets, dealt line by line."""
+    lines = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"[.,] ", "\n"), "\n")).alias("pos", "line"))
+    no = F.col("pos") % 7 + 1
+    cells = lines.select("doc_id", F.lit("0265005303").alias("pn"), F.concat(F.lit("S"), no.cast("string")).alias("sheet"), no.alias("sheet_no"), (F.floor(F.col("pos") / 7) + 1).alias("row_no"), F.split("line", " ").alias("cells"))
+    return dimensions.attachment_rows(cells, "doc_id", "pn")
+
+
+class StandIn:
+    """A reader by simple rules: fails on texts without a letter q, is sure of those with an x, and of any picture."""
+
+    def read(self, question: str, images: list[bytes]) -> dict:
+        body = question.split("DATASHEET\n", 1)[1]
+        if images:
+            return {"raw_weight": f"{len(images)} kg", "confidence": 0.9, "method": "seen"}
+        if "q" not in body:
+            raise ValueError("no q")
+        return {"raw_length": "10 mm", "confidence": 0.8 if "x" in body else 0.4}
+
+
+@query("""WITH s AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 2 = 1 AS pics FROM documents), a AS (SELECT *, CASE WHEN NOT contains(t, 'q') THEN 'patterns' WHEN contains(t, 'x') OR NOT pics THEN 'text' ELSE 'images' END AS seen FROM s)
+    SELECT doc_id, seen, CASE WHEN seen = 'patterns' THEN 'regex_fallback' WHEN seen = 'images' OR contains(t, 'x') THEN 'extracted' ELSE 'estimated' END AS method,
+        CASE WHEN seen = 'text' THEN '10 mm' END AS raw_length, CASE WHEN seen = 'images' THEN '1 kg' END AS raw_weight, CASE WHEN seen = 'patterns' THEN 'ValueError: no q' END AS error FROM a""")
+def escalated_reading(spark, sf):
+    picture = F.when(F.col("doc_id") % 2 == 1, F.array(F.lit(b"x"))).otherwise(F.array().cast("array<binary>"))
+    sheets = load(spark, sf, "documents").select("doc_id", "text", picture.alias("images"))
+    own = lambda c: F.when(F.col("seen") != "patterns", F.col(c)).alias(c)  # noqa: E731  patterns have queries of their own
+    return readers.read_sheets(sheets, StandIn(), images="images").select("doc_id", "seen", "method", own("raw_length"), own("raw_weight"), "error")

@@ -11,7 +11,7 @@ from ..operators import clustering, dimensions, entities, evaluation, features,
 from ..sources.tables import stored
 from . import views
 from .registry import SQL, load, query
-from .views import CENTROIDS, NEAREST, PARTS, RECORDS
+from .views import CENTROIDS, EDGE_SQL, LINES_SQL, NAMED_SQL, NEAREST, PARTS, RECORDS, WORDS_SQL
 
 R6 = lambda c: F.round(c, 6)
 PHRASE_SQL = (
@@ -356,7 +356,10 @@ def cluster_source_pivot(spark, sf):
     return ranking.cluster_summary(r, "cluster", "l_quantity", "l_returnflag", ["A", "N", "X"]).withColumn("mean_confidence", R6(F.col("mean_confidence")))
 
 
-@query()
+@query(f"""WITH l AS ({LINES_SQL}), h AS (SELECT *, regexp_matches(line, '{EDGE_SQL}') AS hit FROM l),
+    k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, pos < 30 OR max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS kept FROM h),
+    r AS (SELECT *, sum(kept::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS r FROM k)
+    SELECT doc_id, pos::INTEGER AS pos, line FROM r WHERE n <= 40 OR (kept AND r <= 40)""")
 def relevant_lines(spark, sf):
     return ranking.relevant_lines(load(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[.,] ", "\n").alias("text")), "doc_id", "text", text.DIMENSION_LINE, most=40)
 
@@ -595,7 +598,8 @@ def allowed_domains(spark, sf):
     return load(spark, sf, "pages").select("page_id", "url").filter(dimensions.allowed(F.col("url"), ["spam-farm", "cheap-pills"], [".org", ".net"]))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, trim(line) AS line, pos FROM ({LINES_SQL})), k AS (SELECT doc_id, line, min(pos) AS pos FROM t WHERE length(line) >= 3 AND ({WORDS_SQL} OR {NAMED_SQL}) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM k) SELECT doc_id, rank::INTEGER AS rank, line FROM r WHERE rank <= 150""")
 def attachment_lines(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[.,] ", "\n").alias("text"), F.lit("0265005303").alias("pn"))
     return dimensions.attachment_lines(d, "doc_id", "text", "pn")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import build_description, type_phrase
+from ..functions.text import ATTACHMENT_WORDS, DIMENSION_LINE, build_description, type_phrase
 from ..functions.units import cosine
 from ..operators.features import centroids
 from .registry import load
@@ -57,3 +59,10 @@ CENTROIDS = """vecs AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embeddin
 NEAREST = CENTROIDS + """, sims AS (SELECT vec_id, vecs.label AS label, means.label AS l, round(list_cosine_similarity(v, m), 9) AS s FROM vecs, means),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, l DESC) AS r, lead(s) OVER (PARTITION BY vec_id ORDER BY s DESC, l DESC) AS s2 FROM sims),
     nearest AS (SELECT vec_id, label, l AS cluster, s AS similarity, s - s2 AS margin FROM ranked WHERE r = 1)"""
+
+# Lines of the documents, and tests of a line for size words and for one part's number.
+WORDS_SQL = " OR ".join(f"contains(lower(line), '{w}')" for w in ATTACHMENT_WORDS)
+LINES_SQL = "SELECT doc_id, unnest(string_split(regexp_replace(text, '[.,] ', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '[.,] ', chr(10), 'g'), chr(10)), 1) - 1 AS pos FROM documents"
+NAMED_SQL = r"contains(upper(regexp_replace(line, '[\s\-_.]', '', 'g')), '0265005303')"
+# DuckDB knows word boundaries between ASCII letters only, so others are spelled out.
+EDGE_SQL = re.sub(r"(?<=[|(])\\b", r"(^|[^\\p{L}\\p{N}_])", DIMENSION_LINE).replace(r"\b", r"($|[^\p{L}\p{N}_])")
