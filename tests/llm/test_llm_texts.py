@@ -232,6 +232,27 @@ def test_small_sets_alone(spark, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def test_a_large_group_that_is_nearly_linked(spark, monkeypatch):
+    """Copies with three words changed, most pairs of them just below the threshold: few of the
+    31125 pairs are met, and no link is lost."""
+    rng, met, verified = random.Random(5), [], jaccard_join.verified
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(250):
+        w = list(base)
+        for at in rng.sample(range(5, 145), rng.choice([2, 3, 3, 3])):
+            w[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+
+    def counted(shared, pairs, percent):
+        met.append(pairs.count())
+        return verified(shared, pairs, percent)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+    assert met[-1] < 500
+
+
 def test_one_of_each_keeps_rows_without_words(spark, docs):
     kept = jaccard_join.one_of_each(docs).collect()
     assert docs.columns == list(kept[0].asDict())

@@ -28,8 +28,9 @@ CHECK = 4
 BLOCK, MANY, RANGE_BYTES, HASH_BITS = 1_500_000, 65_535, 6_500_000, 56
 #: Bits of a pre-filter of sets, at most.
 FILTER_BITS = 1 << 27
-#: Entries from which a list is long, and keys that travel with the sets of long lists.
-LONG, FRONT = 32, 64
+#: Entries from which a list is long, keys that travel with the sets of long lists, and longs of a
+#: set's signature.
+LONG, FRONT, SIGNATURE = 32, 64, 16
 #: Rounds with chance neighbours before all remaining pairs are met, neighbours of an entry, and
 #: entries of a part of a list.
 TURNS, NEAR, PART = 2, 4, 4096
@@ -291,10 +292,11 @@ def verified(shared: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that are linked, by the exact size of the intersection of their
     whole sets: what two sets share are keys of both. A bounded filter spares the keys of other
     sets, and the joins drop what it lets through."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "named")
     level = build_level(named, 7, 12, FILTER_BITS)
+    discard(named)
     if level is None:
-        return pairs
+        return pairs.limit(0)
     sets = shared.filter("keys IS NOT NULL").filter(passes(level)(level_hash(F.col("set"), 7))).select("set", "n", "keys").dropDuplicates(["set"])
     a, b = sets.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("keys").alias("x")), sets.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("y"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b")
@@ -302,6 +304,35 @@ def verified(shared: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return materialize(both.filter(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b"), "links")
 
 
+def signature(keys: pd.Series) -> pd.Series:
+    """Keys as bits: a bit of SIGNATURE longs is set where a key has that number as its low bits."""
+    out = np.zeros((len(keys), 64 * SIGNATURE), np.uint8)
+    for row, k in zip(out, keys):
+        row[k.astype(np.int64) % (64 * SIGNATURE)] = 1
+    return pd.Series([*np.packbits(out, axis=1, bitorder="little").view(np.int64)])
+
+
+def promising(shared: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures allow a link: a bit that only one of two sets has stands
+    for one or more keys that the other lacks. Signatures are made at the scan, keys stay there."""
+    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "named")
+    level = build_level(named, 7, 12, FILTER_BITS)
+    discard(named)
+    if level is None:
+        return pairs
+    sets = shared.filter("keys IS NOT NULL").filter(passes(level)(level_hash(F.col("set"), 7)))
+    sets = materialize(sets.select("set", F.col("n").cast("int").alias("n"), F.size("keys").alias("k"), F.pandas_udf(signature, "array<long>")("keys").alias("g")).dropDuplicates(["set"]), "signatures")
+    a, b = (sets.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}{s}") for c in "nkg"]) for s in "ab")
+
+    def only(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda total, bits: total + bits)
+
+    most = F.least(F.col("ka") - only("ga", "gb"), F.col("kb") - only("gb", "ga"))
+    out = materialize(pairs.join(a, "a").join(b, "b").filter(most >= need(F.col("na"), F.col("nb"), percent)).select("a", "b"), "pairs")
+    discard(sets, pairs)
+    return out
+
+
 def reachable(n, pos, n2, pos2, percent: int) -> Column:
     """Whether sets of n and n2 elements whose first common element stands at pos and pos2 (from
     0) can still share enough."""
@@ -326,9 +357,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     sets must meet there. The boundary is chosen by cost, and small sets near it also lie in the
     lists. In a list, every set is compared with the list's pivot; links so found join sets into
     components, and only lists that still hold several components are gone through again: in
-    rounds with chance neighbours, and then for all pairs of different components whose sizes and
-    whose places in both orders allow a link. What is dropped on the way cannot be linked or is
-    joined already, so components are exact. Rows are spread by shingle; no key gathers a group's
+    rounds with chance neighbours, and then for all pairs of different components whose sizes,
+    places in both orders, and then signatures, allow a link. What is dropped on the way cannot be
+    linked or is joined already, so components are exact. Rows are spread by shingle; no key gathers a group's
     texts.
 
     Null and empty texts and texts of white space have empty sets and link with nothing; fewer
@@ -402,7 +433,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     enough = ~whole | (F.size(common) + F.ceil(F.col("na") * percent / 100 - 1e-9) - 1 >= need(F.col("na"), F.col("nb"), percent))
     can = once & fits(F.col("na"), F.col("nb"), percent) & reachable(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb"), percent)
     met = x.join(y, (F.col("ka") == F.col("kb")) & can & (F.col("fronta").isNull() | F.col("frontb").isNull() | (here & enough)))
-    pairs = materialize(met.select(*pair("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = promising(shared, materialize(met.select(*pair("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs"), percent)
     discard(tried, open_)
     edges, comps = joined(pairs, edges, comps)
     discard(pairs, edges)
