@@ -45,6 +45,28 @@ def test_average_linkage(spark, seed):
     assert len(set(clustering.average_linkage(x, k=7).tolist())) == 7
 
 
+@pytest.mark.parametrize("most", [0, 25])
+def test_average_linkage_by_rounds_of_blocks(spark, monkeypatch, most):
+    """Blocks of rows, copies, zero rows, groups and rows without a vector or a group; copies take
+    no round each, and no table of pairs is written."""
+    monkeypatch.setattr(clustering, "KERNEL_ROWS", most)
+    monkeypatch.setattr(clustering, "BLOCK", 16)
+    written, stored = [], clustering.stored
+    monkeypatch.setattr(clustering, "stored", lambda df: written.append(stored(df)) or written[-1])
+    x = np.random.default_rng(3).standard_normal((60, 5))
+    x = np.concatenate([x, np.repeat(x[:1], 40, 0), np.zeros((2, 5))])
+    rows = [(i, v.tolist(), "ab"[i % 3 == 0]) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (900, None, "a"), (901, x[0].tolist(), None)], "k long, v array<double>, g string")
+    got = [(r.k, r.cluster) for r in clustering.cluster_rounds(df, "k", "v", 0.6, by="g").collect()]
+    want = {frozenset([900]), frozenset([901])}
+    for g in "ab":
+        own = [i for i, _, h in rows if h == g]
+        want |= {frozenset(own[i] for i in c) for c in slow_linkage(x[own], 0.6)}
+    assert as_sets(got) == want
+    assert all(c == min(k for k, d in got if d == c) for _, c in got)
+    assert len(written) < 40 and max(t.count() for t in written) <= len(rows) + 2
+
+
 def test_average_linkage_on_edges():
     assert clustering.average_linkage(np.zeros((0, 3)), 0.5).tolist() == []
     assert len(set(clustering.average_linkage(np.array([[0.0, 0], [0, 0], [1, 0], [1, 0]]), 0.5).tolist())) == 3

@@ -10,21 +10,23 @@ from pyspark.sql.window import Window
 
 from ..functions.units import cosine
 from ..sources.tables import stored
-from .features import centroids
+from .features import centroids, unit_length
 
-#: Up to so many vectors one task clusters alone; more go round by round over a pair table.
-KERNEL_ROWS = 3000
+#: Up to so many vectors one task clusters alone; more go round by round, in blocks of rows.
+KERNEL_ROWS, BLOCK = 3000, 4096
 
 
-def average_linkage(x: np.ndarray, threshold: float | None = None, k: int | None = None) -> np.ndarray:
+def average_linkage(x: np.ndarray, threshold: float | None = None, k: int | None = None, size: np.ndarray | None = None) -> np.ndarray:
     """Flat clusters of rows by average cosine distance: the closest two merge while they are
-    nearer than `threshold`, or until k are left. A zero row is at distance 1 from all others."""
+    nearer than `threshold`, or until k are left. A zero row is at distance 1 from all others.
+    With `size`, a row is the mean of so many vectors of length 1."""
     n = len(x)
-    length = np.linalg.norm(x, axis=1, keepdims=True)
-    u = x / np.where(length > 0, length, 1)
-    d = 1 - u @ u.T
+    if size is None:
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        x, size = x / np.where(length > 0, length, 1), np.ones(n)
+    d = 1 - x @ x.T
     np.fill_diagonal(d, np.inf)
-    size, label, live = np.ones(n), np.arange(n), n
+    size, label, live = np.array(size, float), np.arange(n), n
     near = d.argmin(1) if n else np.zeros(0, int)
     gap = d[np.arange(n), near] if n else np.zeros(0)
     while live > max(1, k or 1):
@@ -62,33 +64,89 @@ def cluster_small(df: DataFrame, key: str, vector: str, threshold: float | None
     return rows.groupBy("g").applyInPandas(run, f"{key} {kind}, cluster long")
 
 
+def nearest_in(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of the clusters of two blocks (or of one, met with itself), each one's nearest in the other
+    and its distance; of equally near ones the smallest."""
+    rows = rows.sort_values("c")
+    one, two = rows[rows["i"] == rows["lo"]], rows[rows["i"] == rows["hi"]]
+    a, b = (np.array(r["s"].tolist(), float).reshape(len(r), -1) / r["n"].to_numpy(float)[:, None] for r in (one, two))
+    keys, others, same = one["c"].to_numpy(), two["c"].to_numpy(), len(rows) and rows["lo"].iloc[0] == rows["hi"].iloc[0]
+    far, at, out = np.full(len(b), np.inf), np.zeros(len(b), int), []
+    if not len(a) or not len(b):
+        return rows[["c"]].iloc[:0].assign(d=0.0, b=rows["c"].iloc[:0])
+    for start in range(0, len(a), 512):
+        d = np.round(1 - a[start : start + 512] @ b.T, 12) + 0.0
+        if same:
+            d[np.arange(len(d)), start + np.arange(len(d))] = np.inf
+        else:
+            low = d.argmin(0)
+            gap = d[low, np.arange(len(b))]
+            far, at = np.where(gap < far, gap, far), np.where(gap < far, start + low, at)
+        near = d.argmin(1)
+        out.append(pd.DataFrame({"c": keys[start : start + 512], "d": d[np.arange(len(d)), near], "b": others[near]}))
+    if not same:
+        out.append(pd.DataFrame({"c": others, "d": far, "b": keys[at]}))
+    met = pd.concat(out)
+    return met[np.isfinite(met["d"])]
+
+
 def cluster_rounds(df: DataFrame, key: str, vector: str, threshold: float, by: str | None = None) -> DataFrame:
-    """The same clusters by rounds over a table of pairs. Average linkage is reducible, so every
-    two clusters that are each other's nearest can merge at once: each round finds nearest
-    neighbours, merges such pairs below the threshold, and averages distances by size. The pair
-    table holds the pairs inside each value of `by`; it is quadratic in the largest of these."""
-    rows = stored(df.select(F.col(key).alias("k"), F.col(vector).alias("v"), (F.col(by) if by else F.lit(0)).alias("g")))
-    a, b = rows.select("g", F.col("k").alias("a"), F.col("v").alias("x")), rows.select("g", F.col("k").alias("b"), F.col("v").alias("y"))
-    pairs = stored(a.join(b, "g").filter("a != b").select("a", "b", (1 - cosine(F.col("x"), F.col("y"))).alias("d")))
-    sizes, members = rows.select("k", F.lit(1).alias("n")), rows.select("k", F.col("k").alias("cluster"))
+    """The same clusters by rounds, inside each value of `by`. The average distance of two clusters
+    follows from the sums of their vectors of length 1, so a cluster is one row and there is no table
+    of pairs. Equal vectors merge first. Average linkage is reducible, so every two clusters that are
+    each other's nearest can merge at once: each round compares blocks of clusters, block with block,
+    and merges such pairs below the threshold; once KERNEL_ROWS or fewer are left in every group, one
+    task a group ends the work. Comparisons are quadratic in a group, rows are not. A cluster is
+    named by its smallest key; rows without a vector or a group stay alone."""
+    kind = df.schema[key].dataType.simpleString()
+    v = F.transform(vector, lambda x: x.cast("double"))
+    rows = df.select(F.col(key).alias("k"), unit_length(v).alias("u"), (F.col(by) if by else F.lit(0)).alias("g"))
+    rows = stored(rows.withColumn("z", F.when(F.exists("u", lambda x: x != 0) & (F.lit(threshold) > 0), F.lit("")).otherwise(F.col("k").cast("string"))))
+    whole = rows.filter("u IS NOT NULL AND g IS NOT NULL")
+    heads = stored(whole.groupBy("g", "u", "z").agg(F.min("k").alias("c"), F.count("*").alias("n")))
+    state = heads.select("g", "c", F.col("n").cast("double").alias("n"), F.transform("u", lambda x: x * F.col("n")).alias("s"))
+    names = heads.select("c", F.col("c").alias("cluster"))
     while True:
-        near = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))
-        back = near.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        merges = stored(near.filter(F.col("d") < threshold).join(back, ["a", "b"]).filter("a < b").select(F.col("b").alias("old"), F.col("a").alias("new")))
-        if merges.isEmpty():
+        counts = state.groupBy("g").agg(F.count("*").alias("m"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        if (counts.agg(F.max("m")).first()[0] or 0) <= KERNEL_ROWS:
+            names = finished(state, names, threshold, kind)
             break
-        to = lambda side: F.coalesce(f"n_{side}", side)
-        moved = pairs
-        for side in ("a", "b"):
-            moved = moved.join(merges.select(F.col("old").alias(side), F.col("new").alias(f"n_{side}")), side, "left")
-            moved = moved.join(sizes.select(F.col("k").alias(side), F.col("n").alias(f"w_{side}")), side)
-        w = F.col("w_a") * F.col("w_b")
-        moved = moved.select(to("a").alias("a"), to("b").alias("b"), (w * F.col("d")).alias("s"), w.alias("w")).filter("a != b")
-        pairs = stored(moved.groupBy("a", "b").agg((F.sum("s") / F.sum("w")).alias("d")))
-        onto = merges.select(F.col("old").alias("k"), "new")
-        sizes = stored(sizes.join(onto, "k", "left").groupBy(F.coalesce("new", "k").alias("k")).agg(F.sum("n").alias("n")))
-        members = stored(members.join(onto.withColumnRenamed("k", "cluster"), "cluster", "left").select("k", F.coalesce("new", "cluster").alias("cluster")))
-    return members.select(F.col("k").alias(key), "cluster")
+        dealt = state.join(F.broadcast(counts.filter("m > 1")), "g").withColumn("i", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+        sent = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "c", "n", "s", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+        met = sent.groupBy("g", "lo", "hi").applyInPandas(nearest_in, f"c {kind}, d double, b {kind}")
+        near = stored(met.groupBy("c").agg(F.min(F.struct("d", "b")).alias("m")).select("c", F.col("m.b").alias("b"), F.col("m.d").alias("d")).filter(F.col("d") < threshold))
+        back = near.select(F.col("b").alias("c"), F.col("c").alias("b"))
+        merges = stored(near.join(back, ["c", "b"]).filter("c < b").select(F.col("b").alias("old"), F.col("c").alias("new")))
+        if merges.isEmpty():
+            closest = near.orderBy("d", F.least("c", "b")).limit(1)  # rounding may hide who is nearest to whom
+            merges = stored(closest.select(F.greatest("c", "b").alias("old"), F.least("c", "b").alias("new")))
+            if merges.isEmpty():
+                break
+        gone = state.join(merges, F.col("c") == F.col("old")).select(F.col("new").alias("c"), F.col("n").alias("n2"), F.col("s").alias("s2"))
+        kept = state.join(merges.select(F.col("old").alias("c")), "c", "left_anti").join(gone, "c", "left")
+        both = F.when(F.col("s2").isNull(), F.col("s")).otherwise(F.zip_with("s", "s2", lambda x, y: x + y))
+        state = stored(kept.select("g", "c", (F.col("n") + F.coalesce("n2", F.lit(0.0))).alias("n"), both.alias("s")))
+        names = renamed(names, merges)
+    alone = rows.filter("u IS NULL OR g IS NULL").select("k", F.col("k").alias("cluster"))
+    members = whole.join(heads.select("g", "u", "z", "c"), ["g", "u", "z"]).join(names, "c").select("k", "cluster")
+    return members.unionByName(alone).select(F.col("k").alias(key), "cluster")
+
+
+def renamed(names: DataFrame, merges: DataFrame) -> DataFrame:
+    moved = names.join(merges.withColumnRenamed("old", "cluster"), "cluster", "left")
+    return stored(moved.select("c", F.coalesce("new", "cluster").alias("cluster")))
+
+
+def finished(state: DataFrame, names: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """names after average linkage of what is left, a kernel call for each group."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("c")
+        n = rows["n"].to_numpy(float)
+        label = average_linkage(np.array(rows["s"].tolist(), float).reshape(len(n), -1) / n[:, None], threshold, size=n)
+        return pd.DataFrame({"old": rows["c"], "new": rows["c"].groupby(label).transform("min")})
+
+    return renamed(names, state.groupBy("g").applyInPandas(run, f"old {kind}, new {kind}"))
 
 
 def cluster(df: DataFrame, key: str, vector: str, threshold: float = 0.6) -> DataFrame:
