@@ -40,6 +40,39 @@ def test_query(spark, duck, name):
     assert got == sorted(repr([plain(r[i]) for i in at]) for r in rel.fetchall())
 
 
+def same_on(spark, tmp_path, name, **tables):
+    """Whether a query and its SQL agree on tables that SQL makes."""
+    con = duckdb.connect()
+    for t, sql in tables.items():
+        con.execute(f"CREATE TABLE {t} AS {sql}")
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    rel = con.sql(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})")
+    got = sorted(repr([plain(x) for x in r]) for r in df.collect())
+    assert got == sorted(repr([plain(x) for x in r]) for r in rel.fetchall())
+    return got
+
+
+@pytest.mark.parametrize("name, n", [("cache_ttl", 2), ("cache_refetch", 2)])
+def test_ages_to_the_microsecond(spark, tmp_path, name, n):
+    times = "('2024-01-16 23:59:59.999999'), ('2024-01-17 00:00:00'), ('2024-01-17 00:00:00.000001'), ('2024-01-17 00:00:00.9')"
+    events = f"SELECT row_number() OVER () AS event_id, 1::BIGINT AS user_id, t::TIMESTAMP AS ts, 'view' AS event_type FROM (VALUES {times}) v(t)"
+    assert len(same_on(spark, tmp_path, name, events=events)) == n
+
+
+def test_word_edges_of_units(spark, tmp_path):
+    texts = ["212.161 in\u00dflichver", "3 g\u00e4", "\u00e45 mm", "5\u000bmm", "4 \u212ag", "2 lb\u017f", "2 lbs", "9 mm_", "7\u00a0cm", "1x2", "5 m\u0131n", "6 \u0130n"]
+    docs = "SELECT row_number() OVER () AS doc_id, t AS text FROM (VALUES " + ", ".join(f"('{t}')" for t in texts) + ", (NULL)) v(t)"
+    same_on(spark, tmp_path, "completeness", documents=docs)
+
+
+def test_upper_case_keeps_letters_single(spark, tmp_path):
+    keys = ["gr\u00fc\u00dfe", "grusse", "\ufb01x", "FIX", "a\u000bb", "a b", "\u1fb3", "\u1e9e"]
+    docs = [*keys, "GR\u00dcSSE", "gr\u00fcsse", "GRU\u00dfE", "\u1fbc", "\u0391\u0399", "AB", "stra\u00dfe"]
+    tables = {"benchmark": ("item_id", keys), "documents": ("doc_id", docs)}
+    same_on(spark, tmp_path, "mentions_pn", **{t: f"SELECT row_number() OVER () AS {i}, t AS text FROM (VALUES " + ", ".join(f"('{x}')" for x in v) + ") v(t)" for t, (i, v) in tables.items()})
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     df = QUERIES[name](spark, SF)

@@ -22,7 +22,8 @@ def real_data(text: Column, has_data: Column) -> Column:
 
 
 def fresh(fetched: Column, now: Column, ttl: int | None) -> Column:
-    return F.lit(True) if ttl is None else (F.unix_timestamp(now) - F.unix_timestamp(fetched)) < ttl
+    """Whether less than ttl seconds have passed, to the microsecond."""
+    return F.lit(True) if ttl is None else (F.unix_micros(now) - F.unix_micros(fetched)) < ttl * 1_000_000
 
 
 def cache_hits(cache: DataFrame, now: Column, ttl: int | None = TTL_SECONDS, negative_ttl: int | None = None) -> DataFrame:
