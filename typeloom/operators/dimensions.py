@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import ATTACHMENT_WORDS, PN_SEPARATORS, has_dimensions, has_weight, is_complete, mentions_pn, pn_clean
+from ..functions.text import ATTACHMENT_WORDS, bare_upper, has_dimensions, has_weight, is_complete, mentions_pn, pn_clean, upper_each
 from ..functions.units import metric_record, raw_dimensions
 
 FIELDS = ["raw_length", "raw_width", "raw_height", "raw_diameter", "raw_weight"]
@@ -43,13 +43,13 @@ def to_fetch(queries: DataFrame, cache: DataFrame, key: str, now: Column, refres
 
 def page_facts(pages: DataFrame, text: str) -> DataFrame:
     """What scoring needs of a page, worked out once a page before it meets any part number."""
-    bare = F.upper(F.regexp_replace(text, PN_SEPARATORS, ""))
+    bare = bare_upper(F.col(text))
     return pages.withColumns({"_bare": bare, "_facts": has_weight(F.col(text)).cast("int") + has_dimensions(F.col(text)).cast("int")}).drop(text)
 
 
 def score_candidates(met: DataFrame, pn: str) -> DataFrame:
     """Page facts beside a part number: two for naming the part, one for a weight, one for sizes."""
-    key = F.upper(pn_clean(F.col(pn)))
+    key = upper_each(pn_clean(F.col(pn)))
     relevant = F.coalesce((key != "") & F.col("_bare").contains(key), F.lit(False))
     return met.withColumn("relevant", relevant).withColumn("score", F.col("relevant").cast("int") * 2 + F.col("_facts")).drop("_bare", "_facts")
 
@@ -57,7 +57,7 @@ def score_candidates(met: DataFrame, pn: str) -> DataFrame:
 def score_all(facts: DataFrame, keys: DataFrame, pn: str) -> DataFrame:
     """score_candidates for every page and part number. The numbers meet a page as one array, so
     each is made bare once and no text is copied beside it."""
-    bare = keys.select(F.struct(F.col(pn), F.upper(pn_clean(F.col(pn))).alias("k")).alias("key")).agg(F.collect_list("key").alias("_keys"))
+    bare = keys.select(F.struct(F.col(pn), upper_each(pn_clean(F.col(pn))).alias("k")).alias("key")).agg(F.collect_list("key").alias("_keys"))
     tested = F.transform("_keys", lambda x: F.struct(x[pn].alias(pn), F.coalesce((x["k"] != "") & F.col("_bare").contains(x["k"]), F.lit(False)).alias("relevant")))
     met = facts.crossJoin(F.broadcast(bare)).withColumn("_met", tested).drop("_bare", "_keys").select("*", F.inline("_met")).drop("_met")
     return met.withColumn("score", F.col("relevant").cast("int") * 2 + F.col("_facts")).drop("_facts")

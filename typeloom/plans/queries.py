@@ -164,8 +164,8 @@ def pn_variants(spark, sf):
     JOIN (SELECT doc_id, upper(regexp_replace(text, '[\\s\\-_.]', '', 'g')) AS t FROM documents) d ON contains(t, k)""")
 def mentions_pn(spark, sf):
     """A theta join by containment of whole texts; Spark broadcasts the side that its size allows."""
-    keys = load(spark, sf, "benchmark").select("item_id", F.upper(F.regexp_replace("text", text.PN_SEPARATORS, "")).alias("k"))
-    docs = load(spark, sf, "documents").select("doc_id", F.upper(F.regexp_replace("text", text.PN_SEPARATORS, "")).alias("t"))
+    keys = load(spark, sf, "benchmark").select("item_id", text.bare_upper(F.col("text")).alias("k"))
+    docs = load(spark, sf, "documents").select("doc_id", text.bare_upper(F.col("text")).alias("t"))
     return docs.join(keys, F.contains("t", "k")).select("item_id", "doc_id")
 
 
@@ -199,7 +199,8 @@ def name_hits(spark, sf):
 
 @query(f"""SELECT doc_id, regexp_matches(text, '{text.HAS_WEIGHT}') AS w, regexp_matches(text, '{text.HAS_DIMENSIONS}') AS d FROM documents""")
 def completeness(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", text.has_weight(F.col("text")).alias("w"), text.has_dimensions(F.col("text")).alias("d"))
+    there = F.col("text").isNotNull()
+    return load(spark, sf, "documents").select("doc_id", F.when(there, text.has_weight(F.col("text"))).alias("w"), F.when(there, text.has_dimensions(F.col("text"))).alias("d"))
 
 
 # Numbers and units

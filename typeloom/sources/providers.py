@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.pages import page_text
-from ..functions.text import PN_SEPARATORS, pn_clean, pn_variants, title_score
+from ..functions.text import bare_upper, pn_clean, pn_variants, title_score, upper_each
 from ..operators.dimensions import TTL_SECONDS, cache_hits, sample_sheets, to_fetch
 from .tables import read_cache, stored
 
@@ -62,10 +62,10 @@ class PageTable:
         return out.distinct().join(found.select("pn", "_id"), ["pn", "_id"], "left_anti")
 
     def sheets(self, queries: DataFrame) -> DataFrame:
-        keys = queries.select("pn").distinct().withColumn("_k", F.upper(pn_clean(F.col("pn")))).filter("_k != ''")
+        keys = queries.select("pn").distinct().withColumn("_k", upper_each(pn_clean(F.col("pn")))).filter("_k != ''")
         # a row for each length of number; where all of a length are digits, so must be the stretches
         sizes = keys.groupBy(F.length("_k").alias("n")).agg(F.min(F.when(F.col("_k").rlike("^[0-9]+$"), 2).when(F.col("_k").rlike("^[A-Z0-9]+$"), 1).otherwise(0)).alias("kind")).collect()
-        bare = F.upper(F.regexp_replace("text", PN_SEPARATORS, ""))
+        bare = bare_upper(F.col("text"))
         windows = [F.array_distinct(F.regexp_extract_all(bare, F.lit(f"(?s)(?=({('.', '[A-Z0-9]', '[0-9]')[s.kind]}{{{s.n}}}))"), F.lit(1))) for s in sizes]
         pages = self.pages.select("url", "title", "text").withColumn("_id", F.sha2(F.to_json(F.struct("url", "title", "text")), 256))
         found = pages.select("_id", "url", "title", F.explode(F.concat(*windows) if windows else F.array().cast("array<string>")).alias("_k"))
