@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], KINDS)
     assert vector_dedup.near_duplicates(none).count() == 0
     assert topk_search.top_k(none, F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_visits_leave_a_task_in_bounded_frames(monkeypatch):
+    """All of a batch's visits arrive, but never all at once."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(topk_search, "VISITS", 50)
+    d = SimpleNamespace(bounds=lambda q: np.arange(30.0), rows=np.full(30, 100), blocks=np.full(30, 3), cell=np.arange(30))
+    b = pd.DataFrame({"ask": range(20), "id": range(20), "v": [np.zeros(2, "<i8").tobytes()] * 20, "chunk": 0, "floor": [None] * 20})
+    frames = list(topk_search.planned(d, b, 5, False))
+    assert max(map(len, frames)) < 60
+    every = pd.concat(frames)
+    assert len(every) == len(every.drop_duplicates(["ask", "cell", "block"])) == 20 * 29 * 3

@@ -18,6 +18,8 @@ SAMPLE, PIVOTS, CELLS, BLOCK, CHUNK = 4096, 48, 8192, 1024, 1024
 #: Products of numbers up to this size sum exactly in doubles; larger ones use Python integers.
 EXACT = 1 << 22
 LONG = (1 << 63) - 1
+#: Visits from which they are handed on, so that a task holds few of them.
+VISITS = 20_000
 
 
 def ints(raw) -> np.ndarray:
@@ -66,6 +68,27 @@ class Directory:
         return bound + 1e-9 * (np.abs(bound) + qq + self.norm**2) + 1e-6
 
 
+def planned(d: Directory, b: pd.DataFrame, k: int, first: bool):
+    """The visits of a batch of queries to blocks of cells, in frames of about VISITS rows."""
+    columns = ["ask", "id", "v", "chunk", "floor", "cell", "block"]
+    out = []
+    for row, q in zip(b.itertuples(index=False), ints(b["v"]).astype(float) if len(b) else []):
+        bound = d.bounds(q)
+        order = np.argsort(-bound, kind="stable")
+        enough = int(np.searchsorted(np.cumsum(d.rows[order]), 4 * k + 1)) + 1
+        if first:
+            chosen = order[:enough]
+        else:
+            rest = order[enough:]
+            chosen = rest if pd.isna(row.floor) else rest[bound[rest] >= row.floor]
+        for c in chosen:
+            out += [(row.ask, row.id, row.v, row.chunk, row.floor, int(d.cell[c]), s) for s in range(d.blocks[c])]
+            if len(out) >= VISITS:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+    yield pd.DataFrame(out, columns=columns)
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", seed: int = 0) -> DataFrame:
     """For every row where the condition `is_query` holds, its k best other rows by the inner
     product of floor(scale * x): query_id, rank, vec_id, score.
@@ -128,21 +151,8 @@ def top_k_of(rows: DataFrame, dim: int, n: int, k: int, seed: int) -> DataFrame:
 
     def visits(asked: DataFrame, first: bool) -> DataFrame:
         def plan(batches):
-            d = book.value
             for b in batches:
-                out = []
-                for row, q in zip(b.itertuples(index=False), ints(b["v"]).astype(float) if len(b) else []):
-                    bound = d.bounds(q)
-                    order = np.argsort(-bound, kind="stable")
-                    enough = int(np.searchsorted(np.cumsum(d.rows[order]), 4 * k + 1)) + 1
-                    if first:
-                        chosen = order[:enough]
-                    else:
-                        rest = order[enough:]
-                        chosen = rest if pd.isna(row.floor) else rest[bound[rest] >= row.floor]
-                    for c in chosen:
-                        out += [(row.ask, row.id, row.v, row.chunk, row.floor, int(d.cell[c]), s) for s in range(d.blocks[c])]
-                yield pd.DataFrame(out, columns=["ask", "id", "v", "chunk", "floor", "cell", "block"])
+                yield from planned(book.value, b, k, first)
 
         return asked.select("ask", "id", "v", "chunk", "floor").mapInPandas(plan, schema)
 
