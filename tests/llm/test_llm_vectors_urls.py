@@ -34,6 +34,37 @@ def test_components_against_a_walk(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def jobs_of(spark, run) -> int:
+    spark.sparkContext.setJobGroup("counted", "counted")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    run()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+
+
+def test_few_edges_need_few_jobs_and_many_go_by_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(150)], "a long, b long")
+    found = []
+    assert jobs_of(spark, lambda: found.append(common.components(edges))) <= 8
+    for few in (0, 40):  # rounds alone, and rounds that one task ends
+        monkeypatch.setattr(common, "FEW", few)
+        assert sorted(common.components(edges).collect()) == sorted(found[0].collect())
+
+
+def test_a_filter_is_collected_in_one_job(spark, monkeypatch):
+    keys = spark.range(4000).withColumnRenamed("id", "key")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        found = []
+        assert jobs_of(spark, lambda: found.append(url_filter.build_level(keys, 7, 12))) <= 6
+        monkeypatch.setattr(url_filter, "AT_ONCE", 0)
+        assert (found[0].words == url_filter.build_level(keys, 7, 12).words).all()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def vectors(seed, n=700, dim=12):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, dim)).astype(np.float32)

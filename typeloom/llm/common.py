@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts define it; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Edges that one task joins into components, at most.
+FEW = 1 << 18
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -162,10 +164,32 @@ def pieces(batch: pa.RecordBatch, rows: int = 8) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def forest(batches: Iterator) -> Iterator[pa.RecordBatch]:
+    """(node, to) for the nodes of all edges (a, b) of a task: the smallest node they reach."""
+    to: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := to.setdefault(x, x)) != x:
+            to[x] = x = to[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            to[max(a, b)] = min(a, b)
+    nodes = [*to]
+    for at in range(0, len(nodes), 50_000):
+        part = nodes[at : at + 50_000]
+        yield pa.RecordBatch.from_pydict({"node": part, "to": [root(x) for x in part]}, pa.schema([("node", pa.int64()), ("to", pa.int64())]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): a row (node, component) for every node that an
     edge names, where component is the smallest node that can be reached.
 
+    More than FEW edges are contracted by rounds of joins; up to FEW that are left are joined up
+    in one task, which spares small tables dozens of jobs.
+
     Each round every node moves to the neighbour (or itself) with the smallest hash of that
     round, and on to where that one moved; edges are renamed, loops and repeats go. Renaming
     keeps what is connected connected, and random orders shrink even long paths by a factor
@@ -174,7 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     maps: list[DataFrame] = []
-    while not left.isEmpty():
+    while (n := left.count()) > FEW:
         seed = F.lit(len(maps) + 1)
         both = left.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("near")))
         best = both.groupBy("node").agg(F.min(F.struct(F.xxhash64(seed, "near").alias("h"), F.col("near").alias("id"))).alias("m"))
@@ -188,7 +212,12 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(jump)
         left = rest
     if not maps:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        found = left.coalesce(1).mapInArrow(forest, "node long, to long") if n else left.toDF("node", "to")
+        found = materialize(found.withColumnRenamed("to", "component"), "components")
+        discard(left)
+        return found
+    if n:
+        maps.append(materialize(left.coalesce(1).mapInArrow(forest, "node long, to long"), "jump"))
     found = maps[0].select("node", F.col("to").alias("root"))
     for m in maps[1:]:
         found = found.join(m.select(F.col("node").alias("root"), F.col("to").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))

@@ -296,7 +296,7 @@ def verified(shared: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     level = build_level(named, 7, 12, FILTER_BITS)
     discard(named)
     if level is None:
-        return pairs.limit(0)
+        return materialize(pairs.limit(0), "links")  # pairs may be discarded while links are still read
     sets = shared.filter("keys IS NOT NULL").filter(passes(level)(level_hash(F.col("set"), 7))).select("set", "n", "keys").dropDuplicates(["set"])
     a, b = sets.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("keys").alias("x")), sets.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("y"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize
 
+#: Bits of a filter that is collected in one piece, at most (16 bytes for every 64 bits).
+AT_ONCE = 1 << 25
 #: The rules of the url query, (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -72,8 +74,12 @@ def build_level(keys: DataFrame, seed: int, bits_per_key: int, most_bits: int =
     at = keys.select(F.explode(positions(level_hash(F.col("key"), seed))).alias("p"))
     words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63).cast("int"))).alias("bits"))
     table = np.zeros(size // 64 + 1, np.uint64)
-    for w, b in words.toLocalIterator():
-        table[w] = np.uint64(b & 0xFFFFFFFFFFFFFFFF)
+    if size <= AT_ONCE:  # one job; an iterator starts one for each partition
+        got = words.toArrow()
+        table[got["w"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    else:
+        for w, b in words.toLocalIterator():
+            table[w] = np.uint64(b & 0xFFFFFFFFFFFFFFFF)
     return Level(seed, size, probes, table)
 
 
