@@ -232,6 +232,22 @@ def test_small_sets_alone(spark, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def test_signatures_take_one_worker_a_task(spark, monkeypatch):
+    """A plan that filters and signs in one step holds two Python workers beside a task."""
+    plans, real = [], jaccard_join.materialize
+
+    def seen(df, name="step"):
+        if name == "signatures":
+            plans.append(df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython"))
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard_join, "materialize", seen)
+    shared = spark.createDataFrame([(1, 6, list(range(6))), (2, 6, list(range(6))), (3, 6, list(range(40, 46)))], "`set` long, n long, keys array<long>")
+    pairs = real(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), "pairs")
+    assert [tuple(r) for r in jaccard_join.promising(shared, pairs, 75).collect()] == [(1, 2)]
+    assert plans == [1]
+
+
 def test_a_large_group_that_is_nearly_linked(spark, monkeypatch):
     """Copies with three words changed, most pairs of them just below the threshold: few of the
     31125 pairs are met, and no link is lost."""

@@ -196,9 +196,15 @@ def shared_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     turn, block = turn + 1, Block()
         if block.ids:
             yield from pieces(block.rows(ranges, part << 24 | turn))
+        del block
+        release()
 
     def meet(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
+        out = ranked(group.to_pylist())
+        release()
+        return pa.Table.from_pylist(out, pa.schema(TO_BLOCKS))
+
+    def ranked(rows: list[dict]) -> list[dict]:
         told = [r for r in rows if r["info"] is not None]
         rows = [r for r in rows if r["info"] is None]
         out = [{"block": r["block"], "n": 0, "hashes": None, "idx": None, "ranks": None, "info": r["info"]} for r in told]
@@ -218,11 +224,14 @@ def shared_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 some = k > 0
                 if some.any():
                     out.append({"block": r["block"], "n": int(some.sum()), "hashes": steps(x[some]).tobytes(), "idx": i[some].tobytes(), "ranks": k[some].tobytes(), "info": None})
-        release()
-        return pa.Table.from_pylist(out, pa.schema(TO_BLOCKS))
+        return out
 
     def settle(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
+        out = keyed(group.to_pylist())
+        release()
+        return out
+
+    def keyed(rows: list[dict]) -> pa.Table:
         ids, none, at, names, sizes, many, times, inside = unpacked(next(r["info"] for r in rows if r["info"] is not None), 8)
         rows = [r for r in rows if r["info"] is None]
         at, sizes, times = at.astype(np.int64) - 1, sizes.astype(np.int64), times.astype(np.int64)
@@ -320,8 +329,10 @@ def promising(shared: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     discard(named)
     if level is None:
         return pairs
-    sets = shared.filter("keys IS NOT NULL").filter(passes(level)(level_hash(F.col("set"), 7)))
-    sets = materialize(sets.select("set", F.col("n").cast("int").alias("n"), F.size("keys").alias("k"), F.pandas_udf(signature, "array<long>")("keys").alias("g")).dropDuplicates(["set"]), "signatures")
+    # In two steps, as a task that filters and signs at once holds two Python workers.
+    some = materialize(shared.filter("keys IS NOT NULL").filter(passes(level)(level_hash(F.col("set"), 7))).select("set", "n", "keys"), "named")
+    sets = materialize(some.select("set", F.col("n").cast("int").alias("n"), F.size("keys").alias("k"), F.pandas_udf(signature, "array<long>")("keys").alias("g")).dropDuplicates(["set"]), "signatures")
+    discard(some)
     a, b = (sets.select(F.col("set").alias(s), *[F.col(c).alias(f"{c}{s}") for c in "nkg"]) for s in "ab")
 
     def only(x: str, y: str) -> Column:
