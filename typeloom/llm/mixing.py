@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize
+from .common import WORD, materialize, release
 
 #: Words in a block at most; a source is cut into 1024 blocks at least, as far as it has words.
 BLOCK = 512
@@ -207,6 +207,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
                 new = [take_spans(t, [(s["start"], s["length"]) for s in ss]) for t, ss in zip(part.column(at).to_pylist(), part.column(len(fields)).to_pylist())]
                 columns = [pa.array(new, part.schema.field(at).type) if i == at else part.column(i) for i in range(len(fields))]
                 yield pa.RecordBatch.from_arrays(columns, names=fields)
+            release()  # a batch holds thousands of texts, and workers stay beside the executor's heap
 
     new = met.select(*fields, "mix_spans").mapInArrow(cut, met.select(*fields).schema)
     out = [F.length(text_).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"c{i}").alias(c) for i, c in enumerate(names)]

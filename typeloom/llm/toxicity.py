@@ -319,5 +319,7 @@ def drop_toxic(docs: DataFrame, model: Crf) -> DataFrame:
                     words = tokens_of(t)
                     fine.append(crf.score(crf.raw(crf.marginals(np.fromiter(map(known.__getitem__, words), float, len(words))))) < 0.5)
                 yield part.filter(pa.array(fine, pa.bool_()))
+        del known
+        release()
 
     return docs.mapInArrow(keep, docs.schema)
