@@ -263,3 +263,17 @@ def test_linear_fit_is_a_minimum(spark):
     s = m.scores(x)
     assert [r.predicted for r in got] == [m.labels[i] for i in s.argmax(1)]
     assert [r.margin for r in got] == pytest.approx(np.sort(s)[:, -1] - np.sort(s)[:, -2])
+
+
+def test_rounds_merge_vectors_that_differ_by_rounding_only(spark, monkeypatch):
+    seen, finished = [], clustering.finished
+    monkeypatch.setattr(clustering, "finished", lambda state, *rest: seen.append(state.count()) or finished(state, *rest))
+    rows = [(i, [1.0 + (i % 7) * 1e-15, float(i % 3), 0.3 - (i % 5) * 1e-16]) for i in range(60)]
+    got = {r.k: r.cluster for r in clustering.cluster_rounds(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", 1e-6).collect()}
+    assert got == {i: i % 3 for i in range(60)} and seen == [3]
+
+
+def test_sparse_rows_spell_their_terms_once(spark):
+    weights = features.tfidf(spark.createDataFrame([(1, "one two two"), (2, "two three")], "k long, t string"), "k", features.word_terms(F.col("t")), 100)
+    rows, _ = features.sparse_rows(weights, "k")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 2

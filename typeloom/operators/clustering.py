@@ -14,6 +14,8 @@ from .features import centroids, unit_length
 
 #: Up to so many vectors one task clusters alone; more go round by round, in blocks of rows.
 KERNEL_ROWS, BLOCK = 3000, 4096
+#: Decimals of vectors and distances that rounds tell apart.
+DIGITS = 12
 
 
 def average_linkage(x: np.ndarray, threshold: float | None = None, k: int | None = None, size: np.ndarray | None = None) -> np.ndarray:
@@ -75,7 +77,7 @@ def nearest_in(rows: pd.DataFrame) -> pd.DataFrame:
     if not len(a) or not len(b):
         return rows[["c"]].iloc[:0].assign(d=0.0, b=rows["c"].iloc[:0])
     for start in range(0, len(a), 512):
-        d = np.round(1 - a[start : start + 512] @ b.T, 12) + 0.0
+        d = np.round(1 - a[start : start + 512] @ b.T, DIGITS) + 0.0
         if same:
             d[np.arange(len(d)), start + np.arange(len(d))] = np.inf
         else:
@@ -93,14 +95,14 @@ def nearest_in(rows: pd.DataFrame) -> pd.DataFrame:
 def cluster_rounds(df: DataFrame, key: str, vector: str, threshold: float, by: str | None = None) -> DataFrame:
     """The same clusters by rounds, inside each value of `by`. The average distance of two clusters
     follows from the sums of their vectors of length 1, so a cluster is one row and there is no table
-    of pairs. Equal vectors merge first. Average linkage is reducible, so every two clusters that are
+    of pairs. Vectors equal to DIGITS decimals merge first, as sums in another order differ by less. Average linkage is reducible, so every two clusters that are
     each other's nearest can merge at once: each round compares blocks of clusters, block with block,
     and merges such pairs below the threshold; once KERNEL_ROWS or fewer are left in every group, one
     task a group ends the work. Comparisons are quadratic in a group, rows are not. A cluster is
     named by its smallest key; rows without a vector or a group stay alone."""
     kind = df.schema[key].dataType.simpleString()
     v = F.transform(vector, lambda x: x.cast("double"))
-    rows = df.select(F.col(key).alias("k"), unit_length(v).alias("u"), (F.col(by) if by else F.lit(0)).alias("g"))
+    rows = df.select(F.col(key).alias("k"), F.transform(unit_length(v), lambda x: F.round(x, DIGITS)).alias("u"), (F.col(by) if by else F.lit(0)).alias("g"))
     rows = stored(rows.withColumn("z", F.when(F.exists("u", lambda x: x != 0) & (F.lit(threshold) > 0), F.lit("")).otherwise(F.col("k").cast("string"))))
     whole = rows.filter("u IS NOT NULL AND g IS NOT NULL")
     heads = stored(whole.groupBy("g", "u", "z").agg(F.min("k").alias("c"), F.count("*").alias("n")))

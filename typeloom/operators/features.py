@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import NEW_NAME, name_tokens
 from ..functions.units import let, log_size
+from ..sources.tables import stored
 
 WORDS = r"[\p{L}\p{N}_]{2,}"
 
@@ -71,16 +72,17 @@ def numbered_terms(weights: DataFrame) -> DataFrame:
 
 def sparse_rows(weights: DataFrame, key: str, terms: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Rows (key, features) of a long table, as sparse vectors; `terms` (term, at) if they have
-    numbers already."""
+    numbers already. The long table is written first, as its terms are spelled out but once then."""
+    weights = stored(weights)
     terms = numbered_terms(weights) if terms is None else terms
     size = terms.count()
 
     @F.udf(VectorUDT())
-    def pack(pairs):
-        return SparseVector(size, sorted((p["at"], p["weight"]) for p in pairs))
+    def pack(at, weight):
+        return SparseVector(size, at, weight)
 
-    rows = weights.join(F.broadcast(terms), "term").groupBy(key).agg(F.collect_list(F.struct("at", "weight")).alias("p"))
-    return rows.select(key, pack("p").alias("features")), size
+    rows = weights.join(F.broadcast(terms), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("p"))
+    return stored(rows.select(key, pack("p.at", "p.weight").alias("features"))), size
 
 
 def svd_basis(rows: DataFrame, dim: int = 200, seed: int = 0) -> np.ndarray:
