@@ -277,3 +277,31 @@ def test_sparse_rows_spell_their_terms_once(spark):
     weights = features.tfidf(spark.createDataFrame([(1, "one two two"), (2, "two three")], "k long, t string"), "k", features.word_terms(F.col("t")), 100)
     rows, _ = features.sparse_rows(weights, "k")
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 2
+
+
+def test_discovered_types_are_made_once_and_meet_parts_unshuffled(spark):
+    v = {"BOLT": [1.0, 0.0, 0.1], "BOLTS": [1.0, 0.1, 0.0], "RING": [0.0, 1.0, 0.0], "SEAL": [0.0, 0.0, 1.0]}
+    df = tables.stored(spark.createDataFrame([(f"p{i}", p, v[p]) for i, p in enumerate([*v] * 5)], "pn string, phrase string, v array<double>"))
+    fixed = spark.createDataFrame([("p2", "FIXED"), ("p3", "ONE"), ("p7", "TWO")], "pn string, cluster string")
+    out = clustering.discover_types(df, "pn", "phrase", "v", 0.5, overrides=fixed)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Generate" not in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    rows = {r.pn: r for r in out.collect()}
+    # experts agree on RING, so it moves; they differ on SEAL, which keeps its name but for their own parts
+    want = {f"p{i}": ("BOLT", "BOLT", "FIXED", "SEAL")[i % 4] for i in range(20)} | {"p3": "ONE", "p7": "TWO"}
+    assert {k: r.type_group for k, r in rows.items()} == want
+    assert {k for k, r in rows.items() if r.source == "override"} == {"p2", "p3", "p7"}
+    assert all(r.confidence > 0.99 for r in rows.values()) and sum(r.needs_review for r in rows.values()) <= 10
+
+
+def test_svd_basis_weighs_equal_rows_by_their_number(spark):
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.sql import types as T
+
+    dense = np.array([[1.0, 0, 0, 0.5, 0, 0], [0, 1.0, 0, 0.4, 0, 0], [0, 0, 1.0, 0, 0.3, 0.2]])
+    many = [x for x, n in zip(dense, (1, 20, 400)) for _ in range(n)]
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("features", VectorUDT())])
+    rows = spark.createDataFrame([(i, SparseVector(6, np.flatnonzero(x).tolist(), x[x != 0].tolist())) for i, x in enumerate(many)], schema)
+    basis = features.svd_basis(rows, 2)
+    want = np.linalg.svd(np.array(many))[2][:2].T
+    assert np.allclose(abs((basis * want).sum(0)), 1, atol=1e-3)

@@ -163,7 +163,7 @@ def shortest_name(df: DataFrame, group: str, phrase: str) -> DataFrame:
 
 def centroid_confidence(df: DataFrame, group: str, vector: str) -> DataFrame:
     """Cosine of each row to its group's centroid, 0 where either is missing or zero."""
-    c = centroids(df, group, vector)
+    c = stored(centroids(df, group, vector))
     return df.join(c, group, "left").withColumn("confidence", cosine(F.col(vector), F.col("centroid"))).drop("centroid")
 
 
@@ -177,13 +177,17 @@ def discover_types(parts: DataFrame, key: str, phrase: str, vector: str, thresho
     """Types without labels: phrases that `known` (phrase, group) lacks are clustered by their mean
     vector; corrections by experts then move whole phrases where they agree; confidence is the
     cosine to the group's centroid, and the least certain rows are marked for review.
-    Returns parts with type_group, source, confidence and needs_review."""
+    Returns parts with type_group, source, confidence and needs_review.
+    Tables of a row a phrase, group or correction are written first: each is made once, the plan
+    stays short, and Spark knows their sizes, so small ones meet the parts without a shuffle."""
     from .entities import phrase_corrections
 
     phrases = centroids(parts, phrase, vector).withColumnRenamed("centroid", "v")
     if known is not None:
         phrases = phrases.join(known.select(phrase), phrase, "left_anti")
-    grouped = cluster(phrases, phrase, "v", threshold)
+    if overrides is not None:
+        overrides = stored(overrides.select(key, "cluster"))
+    grouped = stored(cluster(stored(phrases), phrase, "v", threshold))
     names = shortest_name(grouped, "cluster", phrase)
     groups = grouped.join(names, "cluster").select(phrase, F.col("name").alias("type_group"))
     if known is not None:
@@ -192,7 +196,7 @@ def discover_types(parts: DataFrame, key: str, phrase: str, vector: str, thresho
     if overrides is not None:
         fixed = phrase_corrections(parts.select(key, phrase), overrides, key, phrase, "cluster").withColumnRenamed("cluster", "fix")
         groups = groups.join(fixed, phrase, "left").select(phrase, F.coalesce("fix", "type_group").alias("type_group"))
-    rows = parts.join(groups, phrase, "left").withColumn("type_group", F.coalesce("type_group", phrase))
+    rows = parts.join(stored(groups), phrase, "left").withColumn("type_group", F.coalesce("type_group", phrase))
     if overrides is not None:
         own = overrides.select(F.col(key), F.col("cluster").alias("own"))
         rows = rows.join(own, key, "left").withColumn("source", F.when(F.col("own").isNotNull(), "override").otherwise(source)).withColumn("type_group", F.coalesce("own", "type_group")).drop("own")

@@ -88,7 +88,7 @@ def sparse_rows(weights: DataFrame, key: str, terms: DataFrame | None = None) ->
 def svd_basis(rows: DataFrame, dim: int = 200, seed: int = 0) -> np.ndarray:
     """The leading right singular vectors of sparse rows, found by randomised subspace iteration:
     each round is one pass that sums X'X Q over partitions, so only size x dim numbers reach the
-    driver. Without rows, one column of zeros."""
+    driver. Equal rows are merged first and weigh by their number. Without rows, one column of zeros."""
     some = rows.take(1)
     if not some:
         return np.zeros((1, 1))
@@ -96,7 +96,7 @@ def svd_basis(rows: DataFrame, dim: int = 200, seed: int = 0) -> np.ndarray:
     k = max(1, min(max(2, min(dim, min(n, size) - 1)), size))
     q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, min(size, k + 10))))
     sc = rows.sparkSession.sparkContext
-    data = rows.select("features").persist()
+    data = rows.groupBy("features").agg(F.count("*").alias("n")).persist()
     for _ in range(4):
         shared = sc.broadcast(q)
 
@@ -104,7 +104,7 @@ def svd_basis(rows: DataFrame, dim: int = 200, seed: int = 0) -> np.ndarray:
             total = np.zeros_like(shared.value)
             for r in batch:
                 v = r["features"]
-                total[v.indices] += np.outer(v.values, v.values @ shared.value[v.indices])
+                total[v.indices] += np.outer(r["n"] * v.values, v.values @ shared.value[v.indices])
             yield total
 
         q, _ = np.linalg.qr(data.rdd.mapPartitions(step).treeReduce(np.add))

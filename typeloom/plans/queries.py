@@ -529,19 +529,20 @@ def agglomerative_rounds(spark, sf):
     return clustering.cluster_rounds(views.vectors(spark, sf), "vec_id", "v", 0.6, by="label")
 
 
-def part_vectors(spark, sf):
-    """Description, phrase and physics blocks of each part."""
+def part_vectors(spark, sf, columns: list[str], weights: dict[str, float]):
+    """The given columns of each part, and as v its blocks by weight: description (d), phrase (f)
+    and physics. Only v is kept of them."""
     p = views.phrases(spark, sf)
     rows, _ = features.sparse_rows(features.tfidf(p.select("pn", "matdesc"), "pn", features.word_terms(F.col("matdesc")), 10_000), "pn")
     phrase_rows, _ = features.sparse_rows(features.tfidf(p.select("pn", "phrase"), "pn", features.char_terms(F.col("phrase")), 20_000), "pn")
     physics = features.standard_physics(p.select("pn", F.col("p_size").cast("double").alias("size")), ["size"])
     met = p.join(features.svd(rows, "pn", 40).withColumnRenamed("features", "d"), "pn").join(features.svd(phrase_rows, "pn", 40).withColumnRenamed("features", "f"), "pn").join(physics.select("pn", "physics"), "pn")
-    return stored(met.withColumn("v", features.blocks((F.col("d"), 0.7), (F.col("f"), 0.3), (F.col("physics"), 0.0))))
+    return stored(met.select(*columns, features.blocks(*[(F.col(c), w) for c, w in weights.items()]).alias("v")))
 
 
 @query()
 def hybrid_classify(spark, sf):
-    p = part_vectors(spark, sf)
+    p = part_vectors(spark, sf, ["pn", "matdesc", "label", "p_partkey"], {"d": 0.7, "f": 0.3, "physics": 0.0})
     known = p.filter("label != 'tbd'")
     fixed = p.filter("p_partkey % 97 = 0").select("pn", F.lit("FIXED").alias("cluster"))
     model = hybrid.HybridClassifier(hybrid.Settings(folds=2)).fit(known, "pn", "v", "label", fixed)
@@ -550,7 +551,7 @@ def hybrid_classify(spark, sf):
 
 @query()
 def discover_types(spark, sf):
-    p = part_vectors(spark, sf).withColumn("v", features.blocks((F.col("f"), 0.5), (F.col("d"), 0.2), (F.col("physics"), 0.3)))
+    p = part_vectors(spark, sf, ["pn", "phrase", "p_partkey"], {"f": 0.5, "d": 0.2, "physics": 0.3})
     fixed = p.filter("p_partkey % 97 = 0").select("pn", F.lit("FIXED").alias("cluster"))
     return clustering.discover_types(p, "pn", "phrase", "v", 0.75, overrides=fixed).select("pn", "phrase", "type_group", "source", "confidence", "needs_review")
 
