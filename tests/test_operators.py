@@ -305,3 +305,44 @@ def test_svd_basis_weighs_equal_rows_by_their_number(spark):
     basis = features.svd_basis(rows, 2)
     want = np.linalg.svd(np.array(many))[2][:2].T
     assert np.allclose(abs((basis * want).sum(0)), 1, atol=1e-3)
+
+
+ODD_TEXTS = ["The theme  of\tthe Été\n", None, "", " \t ", "a", "A b AB", "\U0001f600x 日本語 日本語", "x" * 300, "the theme of the été", " non breaking İstanbul ΣΣ"]
+
+
+@pytest.mark.parametrize(("vocabulary", "least"), [(1000, 3), (15, 3), (1000, 4)])
+def test_char_tfidf_is_tfidf_of_char_terms(spark, vocabulary, least):
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "k long, t string")
+    slow = features.tfidf(df, "k", features.char_terms(F.col("t"), least, least + 2), vocabulary)
+    fast = features.char_tfidf(df, "k", F.col("t"), vocabulary, None, least, least + 2)
+    want, got = ({(r.k, r.term): r.weight for r in x.collect()} for x in (slow, fast))
+    assert fast.dtypes == slow.dtypes and got == pytest.approx(want) and len(got) > 15
+    assert features.char_tfidf(df.limit(0), "k", F.col("t"), 10).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 25])
+def test_run_counts_by_small_slices(monkeypatch, dense):
+    import pyarrow as pa
+
+    for name, most in (("SPELLED", 40), ("COUNTED", 2), ("SLICE", 3), ("DENSE", dense)):
+        monkeypatch.setattr(features, name, most)
+
+    def runs(word, least, most):
+        w = f" {word} "
+        return [w[i : i + n] for n in range(least, most + 1) for i in range(max(len(w) - n, 0 if n == least else -1) + 1)]
+
+    rng = random.Random(4)
+    rows = [None if i % 9 == 8 else ["".join(rng.choice("abé\U0001f600") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 20))] for i in range(40)]
+    for least, most in ((3, 5), (4, 6)):
+        terms = sorted({t for r in rows for w in r or [] for t in runs(w, least, most)})[::2] + ["zz9"]
+        got = np.concatenate([total for _, total in features.run_counts(pa.array(rows), features.RunTable(terms), least, most)])
+        for row, counts in zip(rows, got, strict=True):
+            all_runs = [t for w in row or [] for t in runs(w, least, most)]
+            assert counts.tolist() == [all_runs.count(t) for t in terms]
+
+
+def test_tfidf_char_makes_no_table_of_runs(spark):
+    from typeloom.plans.registry import QUERIES
+
+    plan = QUERIES["tfidf_char"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "Window" not in plan

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import NEW_NAME, name_tokens
@@ -13,6 +18,9 @@ from ..functions.units import let, log_size
 from ..sources.tables import stored
 
 WORDS = r"[\p{L}\p{N}_]{2,}"
+#: Of a batch of documents, so many words are spelled out at a time, and the terms of so many
+#: documents and words are counted at once. Steps of a trie that are kept in one array at most.
+SPELLED, COUNTED, SLICE, DENSE = 2_000_000, 32, 65_536, 1 << 25
 
 
 def word_terms(text: Column, pairs: bool = True) -> Column:
@@ -23,20 +31,35 @@ def word_terms(text: Column, pairs: bool = True) -> Column:
     return let(words, lambda w: F.concat(w, F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))))
 
 
-def char_terms(text: Column, least: int = 3, most: int = 5) -> Column:
-    """Runs of characters inside words padded with a space on both sides; a word shorter than a
-    run stands for itself, once."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " "), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+def char_words(text: Column) -> Column:
+    """Lower-cased words between blanks."""
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
+
 
-    def of_length(w: Column, n: int) -> Column:
+def char_runs(word: Column, least: int = 3, most: int = 5) -> Column:
+    """Runs of characters of a word padded with a space on both sides; a word shorter than a run
+    stands for itself, once."""
+    w = F.concat(F.lit(" "), word, F.lit(" "))
+
+    def of_length(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))
 
-    def runs(w: Column) -> Column:
-        longer = [F.when(F.length(w) >= n, of_length(w, n)).otherwise(F.array().cast("array<string>")) for n in range(least + 1, most + 1)]
-        return F.flatten(F.array(of_length(w, least), *longer))
+    longer = [F.when(F.length(w) >= n, of_length(n)).otherwise(F.array().cast("array<string>")) for n in range(least + 1, most + 1)]
+    return F.flatten(F.array(of_length(least), *longer))
+
 
-    return F.flatten(F.transform(padded, runs))
+def exploded_runs(words: DataFrame, word: str, least: int = 3, most: int = 5) -> DataFrame:
+    """The other columns of words beside each of its char_runs, a row for each, as `term`. It says
+    the same by two plain explosions, which Spark compiles."""
+    at = words.withColumn("_w", F.concat(F.lit(" "), word, F.lit(" "))).withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_w") - least + 1, F.lit(1)))))
+    longer = [F.when(F.length("_w") - F.col("_i") + 1 >= n, F.substring("_w", F.col("_i"), F.lit(n))) for n in range(least + 1, most + 1)]
+    runs = F.explode(F.array(F.substring("_w", F.col("_i"), F.lit(least)), *longer))
+    return at.select(*[c for c in words.columns if c != word], runs.alias("term")).filter("term IS NOT NULL")
+
+
+def char_terms(text: Column, least: int = 3, most: int = 5) -> Column:
+    """The char_runs of all words of a text."""
+    return F.flatten(F.transform(char_words(text), lambda w: char_runs(w, least, most)))
 
 
 def term_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -65,6 +88,129 @@ def tfidf(docs: DataFrame, key: str, terms: Column, vocabulary: int) -> DataFram
     return weighted(tf, key, vocabulary_of(tf, n, vocabulary))
 
 
+class RunTable:
+    """Numbers of terms that are runs of characters, found for many words at once: a trie whose
+    steps (node, character) are looked up in one array, or by bisection if that would be large."""
+
+    def __init__(self, terms: list[str]):
+        self.terms, nodes = terms, {"": 0}
+        chars = sorted({c for t in terms for c in t})
+        for t in terms:
+            for n in range(1, len(t) + 1):
+                nodes.setdefault(t[:n], len(nodes))
+        number, self.chars = {c: i for i, c in enumerate(chars)}, np.array([ord(c) for c in chars], np.int64)
+        self.width, self.dead = len(chars) + 1, len(nodes)  # the last character stands for all others
+        self.term = np.full(len(nodes) + 1, -1, np.int32)
+        self.term[[nodes[t] for t in terms]] = np.arange(len(terms))
+        steps = sorted((nodes[t[:-1]] * self.width + number[t[-1]], n) for t, n in nodes.items() if t)
+        self.keys, self.next = (np.array([x[i] for x in steps], np.int64) for i in (0, 1))
+
+    def stepped(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function from nodes and characters to the nodes below."""
+        if (self.dead + 1) * self.width <= DENSE:
+            below = np.full((self.dead + 1) * self.width, self.dead, np.int32)
+            below[self.keys] = self.next
+            return lambda node, char: below[node * self.width + char]
+        keys, nodes = np.append(self.keys, np.iinfo(np.int64).max), np.append(self.next, self.dead)
+
+        def bisect(node, char):
+            key = node.astype(np.int64) * self.width + char
+            at = np.searchsorted(keys, key)
+            return np.where(keys[at] == key, nodes[at], self.dead)
+
+        return bisect
+
+    def spelled(self, words: pa.StringArray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the char_runs of words, word after word, and how many each word has;
+        runs that are no terms are left out."""
+        step, found, many = self.stepped(), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        number = np.full(0x110000, self.width - 1, np.int32)
+        number[self.chars] = np.arange(self.width - 1)
+        for lo in range(0, len(words), SLICE):
+            some = words.slice(lo, SLICE)
+            text = number[np.frombuffer("".join([f" {w} " for w in some.to_pylist()]).encode("utf-32-le"), np.uint32)]
+            size = pc.utf8_length(some).to_numpy().astype(np.int64) + 2
+            begin = np.cumsum(size) - size
+            left = np.repeat(begin + size, size) - np.arange(len(text))  # characters up to the word's end
+            node, hits = np.zeros(len(text), np.int32), np.full((len(text), most - least + 1), -1, np.int32)
+            text = np.concatenate([text, np.full(most, self.width - 1, np.int32)])
+            for n in range(1, most + 1):
+                node = step(node, text[n - 1 : n - 1 + len(node)])
+                if n >= least:
+                    hits[:, n - least] = np.where(left >= n, self.term[node], hits[:, n - least])
+                else:
+                    whole = begin[size == n]  # shorter than a run
+                    hits[whole, 0] = self.term[node[whole]]
+            known = hits >= 0
+            found.append(hits[known])
+            many.append(np.add.reduceat(known.sum(1), begin))
+        return np.concatenate(found), np.concatenate(many)
+
+
+def run_counts(lists: pa.ListArray, table: RunTable, least: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of rows of words, some at a time: the first one's place, and a matrix (row, number) of how
+    often each has each term. A word is spelled out once for many rows that hold it."""
+    lens, size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64), max(1, len(table.terms))
+    ends, first = np.cumsum(lens), 0
+    while first < len(lists):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] - lens[first] + SPELLED, "right")))
+        coded = lists.slice(first, last - first).flatten().dictionary_encode()
+        codes, (found, many) = coded.indices.to_numpy(), table.spelled(coded.dictionary, least, most)
+        begins, place = np.cumsum(many) - many, np.concatenate([[0], np.cumsum(lens[first:last])])
+        for lo in range(0, last - first, COUNTED):
+            hi = min(lo + COUNTED, last - first)
+            owner, total = np.repeat(np.arange(hi - lo) * size, lens[first + lo : first + hi]), np.zeros((hi - lo) * size, np.int64)
+            for x in range(place[lo], place[hi], SLICE):
+                c = codes[x : min(x + SLICE, place[hi])]
+                n = many[c]
+                runs = found[np.repeat(begins[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                total += np.bincount(np.repeat(owner[x - place[lo] : x - place[lo] + len(c)], n) + runs, minlength=len(total))
+            yield first + lo, total.reshape(-1, size)
+        first = last
+        del coded, codes, found
+        pa.default_memory_pool().release_unused()
+
+
+def char_tfidf(docs: DataFrame, key: str, text: Column, vocabulary: int, digits: int | None = None, least: int = 3, most: int = 5) -> DataFrame:
+    """What tfidf gives for char_terms, weights rounded to `digits` if given. Runs never cross
+    words, so totals follow from the counts of different words, and there is no table of the runs
+    of all documents: each is counted in its row against the vocabulary, which alone (bounded by
+    its size) reaches the driver; once for df, once for weights. Documents are dealt by key and
+    cut into words once."""
+    words = stored(docs.repartition(key).select(key, char_words(text).alias("words")))
+    counts = words.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    totals = exploded_runs(counts, "w", least, most).groupBy("term").agg(F.sum("n").alias("total"))
+    terms = [r.term for r in totals.orderBy(F.desc("total"), "term").limit(vocabulary).collect()]
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast(RunTable(terms))
+
+    def holders(batches):
+        df = np.zeros(max(1, len(terms)), np.int64)
+        for batch in batches:
+            for _, total in run_counts(batch.column(0), shared.value, least, most):
+                df += np.count_nonzero(total, axis=0)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["at", "df"])
+
+    held = words.select("words").mapInArrow(holders, "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).collect()
+    df = np.zeros(max(1, len(terms)))
+    df[[r["at"] for r in held]] = [r["df"] for r in held]
+    idf = sc.broadcast(np.log((1.0 + words.count()) / (1.0 + df)) + 1.0)
+    schema = T.StructType([docs.schema[key], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+
+    def weigh(batches):
+        named = pa.array(shared.value.terms, pa.string())
+        for batch in batches:
+            for first, total in run_counts(batch.column(1), shared.value, least, most):
+                row, at = np.nonzero(total)
+                w = (1.0 + np.log(total[row, at])) * idf.value[at]
+                w /= np.sqrt(np.bincount(row, w * w, len(total)))[row]
+                w = w if digits is None else np.floor(w * 10.0**digits + 0.5) / 10.0**digits
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), named.take(pa.array(at)), pa.array(w)], schema.names)
+
+    return words.mapInArrow(weigh, schema)
+
+
 def numbered_terms(weights: DataFrame) -> DataFrame:
     """A vocabulary with positions; it is bounded, so one window over it is cheap."""
     return weights.select("term").distinct().withColumn("at", F.row_number().over(Window.orderBy("term")) - 1)

@@ -460,7 +460,7 @@ def tfidf_word(spark, sf):
 @query(tfidf_sql(CHAR_TERMS, 20_000))
 def tfidf_char(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", "text")
-    return features.tfidf(d, "doc_id", features.char_terms(F.col("text")), 20_000).withColumn("weight", R6(F.col("weight")))
+    return features.char_tfidf(d, "doc_id", F.col("text"), 20_000, digits=6)
 
 
 CTFIDF = """WITH x AS (SELECT lang || '/' || source AS g, unnest(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z\\-]{2,}'), lambda t: lower(t)), lambda t: t NOT IN (""" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + """))) AS term FROM documents),
