@@ -147,9 +147,10 @@ class RunTable:
         return np.concatenate(found), np.concatenate(many)
 
 
-def run_counts(lists: pa.ListArray, table: RunTable, least: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of rows of words, some at a time: the first one's place, and a matrix (row, number) of how
-    often each has each term. A word is spelled out once for many rows that hold it."""
+def run_counts(texts: pa.StringArray, table: RunTable, least: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of lower-cased texts, some at a time: the first one's place, and a matrix (row, number) of
+    how often each has each term. A word is spelled out once for many rows that hold it."""
+    lists = pc.ascii_split_whitespace(texts)  # may give empty words, whose only run is no term
     lens, size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64), max(1, len(table.terms))
     ends, first = np.cumsum(lens), 0
     while first < len(lists):
@@ -176,9 +177,15 @@ def char_tfidf(docs: DataFrame, key: str, text: Column, vocabulary: int, digits:
     words, so totals follow from the counts of different words, and there is no table of the runs
     of all documents: each is counted in its row against the vocabulary, which alone (bounded by
     its size) reaches the driver; once for df, once for weights. Documents are dealt by key and
-    cut into words once."""
-    words = stored(docs.repartition(key).select(key, char_words(text).alias("words")))
-    counts = words.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    lower-cased once."""
+    texts = stored(docs.repartition(key).select(key, F.lower(text).alias("text")))
+
+    def counted(batches):
+        for batch in batches:
+            found = pc.ascii_split_whitespace(batch.column(0)).flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["w", "n"])
+
+    counts = texts.select("text").mapInArrow(counted, "w string, n long").filter("w != ''").groupBy("w").agg(F.sum("n").alias("n"))
     totals = exploded_runs(counts, "w", least, most).groupBy("term").agg(F.sum("n").alias("total"))
     terms = [r.term for r in totals.orderBy(F.desc("total"), "term").limit(vocabulary).collect()]
     sc = docs.sparkSession.sparkContext
@@ -192,23 +199,25 @@ def char_tfidf(docs: DataFrame, key: str, text: Column, vocabulary: int, digits:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["at", "df"])
 
-    held = words.select("words").mapInArrow(holders, "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).collect()
+    held = texts.select("text").mapInArrow(holders, "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(max(1, len(terms)))
     df[[r["at"] for r in held]] = [r["df"] for r in held]
-    idf = sc.broadcast(np.log((1.0 + words.count()) / (1.0 + df)) + 1.0)
-    schema = T.StructType([docs.schema[key], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+    idf = sc.broadcast(np.log((1.0 + texts.count()) / (1.0 + df)) + 1.0)
+    schema = T.StructType([docs.schema[key], T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("w", T.ArrayType(T.DoubleType()))])
 
     def weigh(batches):
-        named = pa.array(shared.value.terms, pa.string())
         for batch in batches:
             for first, total in run_counts(batch.column(1), shared.value, least, most):
                 row, at = np.nonzero(total)
                 w = (1.0 + np.log(total[row, at])) * idf.value[at]
                 w /= np.sqrt(np.bincount(row, w * w, len(total)))[row]
                 w = w if digits is None else np.floor(w * 10.0**digits + 0.5) / 10.0**digits
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), named.take(pa.array(at)), pa.array(w)], schema.names)
+                ends = pa.array(np.searchsorted(row, np.arange(len(total) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(total)), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), w))], schema.names)
 
-    return words.mapInArrow(weigh, schema)
+    rows = texts.mapInArrow(weigh, schema).select(key, "w", F.posexplode("at").alias("i", "at")).select(key, "at", F.expr("w[i]").alias("weight"))
+    named = docs.sparkSession.createDataFrame(pa.table({"at": pa.array(range(len(terms)), pa.int32()), "term": pa.array(terms, pa.string())}))
+    return rows.join(F.broadcast(named), "at").select(key, "term", "weight")
 
 
 def numbered_terms(weights: DataFrame) -> DataFrame:
