@@ -20,7 +20,7 @@ from ..sources.tables import stored
 WORDS = r"[\p{L}\p{N}_]{2,}"
 #: Of a batch of documents, so many words are spelled out at a time, and the terms of so many
 #: documents and words are counted at once. Steps of a trie that are kept in one array at most.
-SPELLED, COUNTED, SLICE, DENSE = 2_000_000, 32, 65_536, 1 << 25
+SPELLED, COUNTED, SLICE, DENSE = 4_000_000, 32, 65_536, 1 << 25
 
 
 def word_terms(text: Column, pairs: bool = True) -> Column:
@@ -160,13 +160,14 @@ def run_counts(texts: pa.StringArray, table: RunTable, least: int, most: int) ->
         begins, place = np.cumsum(many) - many, np.concatenate([[0], np.cumsum(lens[first:last])])
         for lo in range(0, last - first, COUNTED):
             hi = min(lo + COUNTED, last - first)
-            owner, total = np.repeat(np.arange(hi - lo) * size, lens[first + lo : first + hi]), np.zeros((hi - lo) * size, np.int64)
+            owner, total = np.repeat(np.arange(hi - lo) * size, lens[first + lo : first + hi]), None
             for x in range(place[lo], place[hi], SLICE):
                 c = codes[x : min(x + SLICE, place[hi])]
                 n = many[c]
                 runs = found[np.repeat(begins[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                total += np.bincount(np.repeat(owner[x - place[lo] : x - place[lo] + len(c)], n) + runs, minlength=len(total))
-            yield first + lo, total.reshape(-1, size)
+                more = np.bincount(np.repeat(owner[x - place[lo] : x - place[lo] + len(c)], n) + runs, minlength=(hi - lo) * size)
+                total = more if total is None else total + more
+            yield first + lo, np.zeros((hi - lo, size), np.int64) if total is None else total.reshape(-1, size)
         first = last
         del coded, codes, found
         pa.default_memory_pool().release_unused()
@@ -177,8 +178,10 @@ def char_tfidf(docs: DataFrame, key: str, text: Column, vocabulary: int, digits:
     words, so totals follow from the counts of different words, and there is no table of the runs
     of all documents: each is counted in its row against the vocabulary, which alone (bounded by
     its size) reaches the driver; once for df, once for weights. Documents are dealt by key and
-    lower-cased once."""
-    texts = stored(docs.repartition(key).select(key, F.lower(text).alias("text")))
+    lower-cased once; texts of a repeated key are joined, as they count as one document."""
+    lower, repeated = F.lower(text).alias("text"), docs.groupBy(key).count().filter("count > 1")
+    alone = docs.repartition(key).select(key, lower)
+    texts = stored(alone if repeated.isEmpty() else docs.groupBy(key).agg(F.concat_ws(" ", F.collect_list(lower)).alias("text")))
 
     def counted(batches):
         for batch in batches:
@@ -192,7 +195,7 @@ def char_tfidf(docs: DataFrame, key: str, text: Column, vocabulary: int, digits:
     shared = sc.broadcast(RunTable(terms))
 
     def holders(batches):
-        df = np.zeros(max(1, len(terms)), np.int64)
+        df = np.zeros(max(1, len(shared.value.terms)), np.int64)
         for batch in batches:
             for _, total in run_counts(batch.column(0), shared.value, least, most):
                 df += np.count_nonzero(total, axis=0)
@@ -202,18 +205,22 @@ def char_tfidf(docs: DataFrame, key: str, text: Column, vocabulary: int, digits:
     held = texts.select("text").mapInArrow(holders, "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(max(1, len(terms)))
     df[[r["at"] for r in held]] = [r["df"] for r in held]
-    idf = sc.broadcast(np.log((1.0 + texts.count()) / (1.0 + df)) + 1.0)
+    idf = sc.broadcast(np.log((1.0 + docs.count()) / (1.0 + df)) + 1.0)
     schema = T.StructType([docs.schema[key], T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("w", T.ArrayType(T.DoubleType()))])
 
     def weigh(batches):
         for batch in batches:
             for first, total in run_counts(batch.column(1), shared.value, least, most):
-                row, at = np.nonzero(total)
-                w = (1.0 + np.log(total[row, at])) * idf.value[at]
+                size, flat = total.shape[1], total.ravel()
+                place = np.flatnonzero(flat > 0)
+                ends = np.searchsorted(place, np.arange(len(total) + 1) * size)
+                row = np.repeat(np.arange(len(total)), np.diff(ends))
+                at = place - row * size
+                w = (1.0 + np.log(flat[place])) * idf.value[at]
                 w /= np.sqrt(np.bincount(row, w * w, len(total)))[row]
                 w = w if digits is None else np.floor(w * 10.0**digits + 0.5) / 10.0**digits
-                ends = pa.array(np.searchsorted(row, np.arange(len(total) + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(total)), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), w))], schema.names)
+                lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (at.astype(np.int32), w)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(total)), *lists], schema.names)
 
     rows = texts.mapInArrow(weigh, schema).select(key, "w", F.posexplode("at").alias("i", "at")).select(key, "at", F.expr("w[i]").alias("weight"))
     named = docs.sparkSession.createDataFrame(pa.table({"at": pa.array(range(len(terms)), pa.int32()), "term": pa.array(terms, pa.string())}))
