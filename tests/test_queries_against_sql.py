@@ -5,6 +5,7 @@ import os
 import re
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 from typeloom.plans import more_queries, queries  # noqa: F401
@@ -73,6 +74,23 @@ def test_upper_case_keeps_letters_single(spark, tmp_path):
     same_on(spark, tmp_path, "mentions_pn", **{t: f"SELECT row_number() OVER () AS {i}, t AS text FROM (VALUES " + ", ".join(f"('{x}')" for x in v) + ") v(t)" for t, (i, v) in tables.items()})
 
 
+def test_names_that_differ_by_case_are_written(spark, duck, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        df = QUERIES["cluster_source_pivot"](spark, SF)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    df.write.parquet(f"{tmp_path}/out")
+    rel = duck.sql(SQL["cluster_source_pivot"])
+    got = pq.read_table(f"{tmp_path}/out")
+    assert got.column_names == rel.columns
+    got = sorted(repr([plain(x) for x in r]) for r in zip(*[c.to_pylist() for c in got.columns]))
+    assert got == sorted(repr([plain(x) for x in r]) for r in rel.fetchall())
+    assert df.sparkSession.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"
+    assert spark.sparkContext.parallelize([(1, 2)]).toDF(["n", "m"]).sparkSession is spark
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     df = QUERIES[name](spark, SF)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pages as html
 from ..functions import salvage, text, units
 from ..operators import clustering, dimensions, entities, evaluation, features, gateway, hybrid, ranking
-from ..sources.tables import stored
+from ..sources.tables import case_sensitive, stored
 from . import views
 from .registry import SQL, load, query
 from .views import CENTROIDS, EDGE_SQL, LINES_SQL, NAMED_SQL, NEAREST, PARTS, RECORDS, WORDS_SQL
@@ -354,7 +354,7 @@ def review_queue(spark, sf):
     count(*) FILTER (l_returnflag = 'N') AS "N", count(*) FILTER (l_returnflag = 'X') AS "X" FROM records GROUP BY 1""")
 def cluster_source_pivot(spark, sf):
     r = views.records(spark, sf).withColumnRenamed("p_name", "cluster")
-    return ranking.cluster_summary(r, "cluster", "l_quantity", "l_returnflag", ["A", "N", "X"]).withColumn("mean_confidence", R6(F.col("mean_confidence")))
+    return case_sensitive(ranking.cluster_summary(r, "cluster", "l_quantity", "l_returnflag", ["A", "N", "X"]).withColumn("mean_confidence", R6(F.col("mean_confidence"))))
 
 
 @query(f"""WITH l AS ({LINES_SQL}), h AS (SELECT *, regexp_matches(line, '{EDGE_SQL}') AS hit FROM l),

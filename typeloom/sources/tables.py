@@ -10,6 +10,7 @@ import zipfile
 from io import BytesIO
 from xml.etree import ElementTree
 
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +21,9 @@ CHARSETS = {"cp1252": "windows-1252", "utf-8-sig": "UTF-8"}
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of the session and read again, which cuts its lineage and
-    survives lost executors."""
+def stored(df: DataFrame, reader: SparkSession | None = None) -> DataFrame:
+    """df written to the shared folder of the session and read again (by another session, if one
+    is given), which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root and not spark.sparkContext.master.startswith("local"):
@@ -30,7 +31,21 @@ def stored(df: DataFrame) -> DataFrame:
     root = root or os.path.join(tempfile.gettempdir(), "checkpoints")
     path = f"{root.rstrip('/')}/typeloom/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (reader or spark).read.schema(df.schema).parquet(path)
+
+
+def case_sensitive(df: DataFrame) -> DataFrame:
+    """df, stored, in a session of its own in which n and N are two names, so that Spark writes
+    both. The session of df, which others use too, stays as it is and reads the inputs. Who reads
+    such a file with Spark needs spark.sql.caseSensitive as well."""
+    spark, to_df = df.sparkSession, RDD.toDF
+    own = spark.newSession()
+    RDD.toDF = to_df  # PySpark gives it to the newest session
+    for k, v in spark.conf.getAll.items():
+        if own.conf.get(k, None) != v:
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.caseSensitive", "true")
+    return stored(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), own).toDF(*df.columns)
 
 
 def first_bytes(spark: SparkSession, path: str, n: int = 65536) -> bytes:
